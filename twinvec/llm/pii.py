@@ -128,10 +128,10 @@ def detect(df: DataFrame, kinds=BASE + ADDED, text: str = "text", threshold: flo
     then by kind as listed; places in code points, end exclusive."""
     body = F.coalesce(F.col(text), F.lit(""))
     empty = F.array().cast("array<string>")
-    out = df
+    out = df.withColumn("__digit", body.rlike("[0-9]"))
     for k in kinds:
         p = F.lit(PATTERNS[k])
-        there = _hint(k, body)
+        there = _hint(k, body) if k == "email" else F.col("__digit") & _hint(k, body)
         out = out.withColumns({f"__m_{k}": F.when(there, F.regexp_extract_all(body, p, F.lit(0))).otherwise(empty)})
     for k in kinds:
         out = out.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(body, PATTERNS[k], -1)).otherwise(empty)})
@@ -142,7 +142,7 @@ def detect(df: DataFrame, kinds=BASE + ADDED, text: str = "text", threshold: flo
         out = out.withColumns({f"__b_{k}": F.when(F.size(m) > 0, prefix_sums(both)).otherwise(F.array().cast("array<int>"))})
         parts.append(_spans(k, rank, threshold))
     out = out.withColumn("pii", F.sort_array(F.concat(*parts)))
-    return out.drop(*[f"__{x}_{k}" for k in kinds for x in "mgb"])
+    return out.drop("__digit", *[f"__{x}_{k}" for k in kinds for x in "mgb"])
 
 
 def redact(df: DataFrame, kinds=BASE + ADDED, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
