@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinvec.llm import chat, mixing, pii, url_filter
+from twinvec.llm import chat, html_text, lang_id, mixing, pii, url_filter
 from twinvec.llm.common import written
 
 
@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return p.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.train(d.where(~lang_id.held_out("doc_id")))
+    return lang_id.predict(d, model).select("doc_id", lang_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
     d = written(d, "sizes")
@@ -53,7 +64,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_mix_sources, op7_pii, op8_url_filter, op10_chat_format)}
+    return {f.__name__: f for f in (op1_html_text, op6_language_id, op5_mix_sources, op7_pii, op8_url_filter, op10_chat_format)}
 
 
 _ESC = "replace(coalesce({0}, ''), chr(92), chr(92) || chr(92))"
