@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinvec.llm import chat, html_text, lang_id, mixing, pii, url_filter
+from twinvec.llm import chat, html_text, lang_id, mixing, packing, pii, url_filter
 from twinvec.llm.common import written
 
 
@@ -18,6 +18,16 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = lang_id.train(d.where(~lang_id.held_out("doc_id")))
@@ -64,7 +74,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_text, op6_language_id, op5_mix_sources, op7_pii, op8_url_filter, op10_chat_format)}
+    return {f.__name__: f for f in (op1_html_text, op2_retrieval_packing, op6_language_id, op5_mix_sources, op7_pii, op8_url_filter, op10_chat_format)}
 
 
 _ESC = "replace(coalesce({0}, ''), chr(92), chr(92) || chr(92))"
