@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinvec.llm import chat, html_text, lang_id, mixing, packing, pii, url_filter
+from twinvec.llm import chat, html_text, lang_id, mixing, ngram_join, packing, pii, url_filter
 from twinvec.llm.common import written
 
 
@@ -58,6 +58,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -74,7 +78,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_text, op2_retrieval_packing, op6_language_id, op5_mix_sources, op7_pii, op8_url_filter, op10_chat_format)}
+    return {f.__name__: f for f in (op1_html_text, op2_retrieval_packing, op6_language_id, op5_mix_sources, op7_pii, op8_url_filter, op9_ngram_join, op10_chat_format)}
 
 
 _ESC = "replace(coalesce({0}, ''), chr(92), chr(92) || chr(92))"
