@@ -110,3 +110,38 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     )
+
+
+def resolve(found: DataFrame, verify, across) -> DataFrame:
+    """Components of a similarity join whose candidates come in key groups.
+
+    found: rows (gram null, a, b) are pairs to check; rows (gram, a, b) say that id
+    a (of size b) is in the large group of key gram, of which only pairs with the
+    least member are among the pairs. verify(pairs (a, b)) keeps the links;
+    across(groups (gram, doc_id, n, component_id)) gives the pairs between
+    components of groups. Each id is checked against its least candidate
+    first; pairs that the components then join need no check; all others get one.
+    -> (id, component_id) of ids with links.
+    """
+    pairs = written(found.where("gram is null").select("a", "b").distinct(), "pairs")
+    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = written(verify(least), "links")
+    comps = written(components(links), "components")
+
+    def labelled(df: DataFrame, key: str, to: str) -> DataFrame:
+        c = comps.select(F.col("id").alias("__id"), F.col("component_id").alias("__c"))
+        return df.join(c, df[key] == F.col("__id"), "left").withColumn(to, F.coalesce("__c", key)).drop("__id", "__c")
+
+    rest = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    large = labelled(found.where("gram is not null").select("gram", F.col("a").alias("doc_id"), F.col("b").alias("n")), "doc_id", "component_id")
+    large = written(large, "groups")
+    mixed = large.groupBy("gram").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("gram")
+    mixed = written(mixed, "mixed")
+    if not mixed.isEmpty():
+        rest = rest.union(across(large.join(mixed, "gram")))
+    rest = written(rest.distinct().join(least, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        comps = written(components(links.union(verify(rest))), "components")
+    for t in (pairs, large, mixed):
+        dropped(t)
+    return comps

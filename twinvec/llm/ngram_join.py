@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinvec.llm.common import components, dropped, written
+from twinvec.llm.common import dropped, resolve, written
 
 NGRAM, PERCENT = 4, 85
 BITS = 48
@@ -329,32 +329,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return total.where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _across(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(gram, doc_id, n, component_id, parity) of gram groups with several components
-    -> (a, b): all pairs across components that sizes and parities allow."""
+def block_pairs(rows: DataFrame, compare, carried: str) -> DataFrame:
+    """(gram, doc_id, n, component_id, carried) of key groups -> (a, b), what
+    compare(left, right, same block) gives for each two blocks of a group."""
     sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    r = rows.join(sizes, "gram").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    r = rows.select("gram", "doc_id", "n", "component_id", carried).join(sizes, "gram")
+    r = r.withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     r = r.withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
         left, right = pdf[pdf["i"] == x], pdf[pdf["i"] == y]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        found = compare(left, right, x == y) if len(left) and len(right) else []
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+
+    return r.groupBy("gram", "x", "y").applyInPandas(each, "a long, b long").distinct()
+
+
+def _across(percent: int):
+    """Pairs across components that sizes and parities allow."""
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[int, int]]:
         bits = [np.stack([np.frombuffer(v, dtype=np.uint64) for v in d["parity"]]) for d in (left, right)]
-        out = []
         comp, ids, n = (right[c].to_numpy() for c in ("component_id", "doc_id", "n"))
-        for k, row in enumerate(zip(left["doc_id"], left["n"], left["component_id"], strict=True)):
+        out = []
+        for k, (doc, size, own) in enumerate(zip(left["doc_id"], left["n"], left["component_id"], strict=True)):
             differ = np.bitwise_count(bits[1] ^ bits[0][k]).sum(axis=1)
             # Jaccard j: the sets differ in (1 - j) / (1 + j) of the sum of their sizes at most.
-            ok = (comp != row[2]) & _fits(n, row[1], percent) & ((100 + percent) * differ <= (100 - percent) * (n + row[1]))
-            if x == y:
-                ok &= ids > row[0]
-            out += [(min(row[0], o), max(row[0], o)) for o in ids[ok].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            ok = (comp != own) & _fits(n, size, percent) & ((100 + percent) * differ <= (100 - percent) * (n + size))
+            if same:
+                ok &= ids > doc
+            out += [(min(doc, o), max(doc, o)) for o in ids[ok].tolist()]
+        return out
 
-    return r.groupBy("gram", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    return compare
 
 
 def ngram_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -368,32 +377,16 @@ def ngram_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataF
     reps = table.where("prefix is not null").join(kept, "doc_id").where("digest = d")
     reps = written(reps.dropDuplicates(["doc_id"]).drop("d", "digest"), "reps")
     found = written(candidates(reps, ranges, percent), "candidates")
-    pairs = written(found.where("gram is null").select("a", "b").distinct(), "pairs")
     sets = reps.select("doc_id", "n", F.posexplode("parts").alias("fragment", "grams")).where("size(grams) > 0")
-
-    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verified(least, sets, percent), "links")
-    comps = written(components(links), "components")
-
-    def labelled(df: DataFrame, key: str, to: str) -> DataFrame:
-        c = comps.select(F.col("id").alias("__id"), F.col("component_id").alias("__c"))
-        return df.join(c, df[key] == F.col("__id"), "left").withColumn(to, F.coalesce("__c", key)).drop("__id", "__c")
-
-    rest = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    large = labelled(found.where("gram is not null").select("gram", F.col("a").alias("doc_id"), F.col("b").alias("n")), "doc_id", "component_id")
-    large = written(large, "groups")
-    mixed = written(large.groupBy("gram").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("gram"), "mixed")
-    if not mixed.isEmpty():
-        parity = reps.select("doc_id", "parity")
-        rest = rest.union(_across(large.join(mixed, "gram").join(parity, "doc_id"), percent))
-    rest = written(rest.distinct().join(least, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = verified(rest, sets, percent)
-        comps = written(components(links.union(more)), "components")
+    parity = reps.select("doc_id", "parity")
+    comps = resolve(
+        found,
+        lambda pairs: verified(pairs, sets, percent),
+        lambda groups: block_pairs(groups.join(parity, "doc_id"), _across(percent), "parity"),
+    )
+    dropped(found)
     ends = classes.join(comps, classes["rep"] == comps["id"], "left").where("rows > 1 or id is not null")
     ends = written(ends.select(F.col("digest").alias("d"), F.coalesce("component_id", "rep").alias("component_id")), "ends")
-    for t in (found, pairs, large):
-        dropped(t)
     slim = table.select("doc_id", "n", "digest")
     out = slim.join(ends, slim["digest"] == ends["d"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinvec.llm import chat, embed_dedup, html_text, lang_id, mixing, ngram_join, packing, pii, url_filter
+from twinvec.llm import chat, chroma, embed_dedup, html_text, lang_id, mixing, ngram_join, packing, pii, url_filter
 from twinvec.llm.common import written
 
 
@@ -38,6 +38,12 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # No table holds audio: every vector is rendered as a recording, near copies as near copies.
+    recordings = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec_id"), "embedding")
+    return chroma.match(recordings, "embedding", chroma.NOTE_RATE, chroma.melody)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
     d = written(d, "sizes")
@@ -82,7 +88,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_text, op2_retrieval_packing, op3_embedding_dedup, op6_language_id, op5_mix_sources, op7_pii, op8_url_filter, op9_ngram_join, op10_chat_format)}
+    return {f.__name__: f for f in (op1_html_text, op2_retrieval_packing, op3_embedding_dedup, op4_chroma_fingerprints, op6_language_id, op5_mix_sources, op7_pii, op8_url_filter, op9_ngram_join, op10_chat_format)}
 
 
 _ESC = "replace(coalesce({0}, ''), chr(92), chr(92) || chr(92))"
