@@ -1,13 +1,61 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read
-again as the next one's input."""
+again as the next one's input.
+
+1. language_id     rejects texts without a letter or without a likely language
+2. near_duplicates keeps the least id of each group of near copies (five-word grams, 0.8)
+3. pii             replaces personal data by the name of its kind
+4. mix_sources     repeats, drops and cuts documents until sources have their shares
+5. pack            cuts and joins the token ids into sequences
+
+Nulls, empty and long texts, repeated rows and empty tables are handled as the
+operators say; a null or empty text goes at the first stage. Extra columns stay
+until the last stage. n_chars, where there, follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from twinvec.llm import lang_id, mixing, ngram_join, packing, pii
 from twinvec.llm.common import written
+from twinvec.llm.queries import tokenizer_path
+
+MIN_SCORE = 0.1
+GRAM_WORDS, PERCENT = 5, 80
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = lang_id.train(docs.where(~lang_id.held_out("doc_id")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    tagged = lang_id.predict(docs.select(F.struct(*columns).alias("row"), "text"), model)
+    return tagged.where((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= MIN_SCORE)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = ngram_join.ngram_join(docs, GRAM_WORDS, PERCENT)
+    kept = written(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    one = docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
+    return one.dropDuplicates(["doc_id", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(pii.redact(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(mixing.mix(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
 
-STAGES = []
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("pii", remove_pii), ("mix_sources", mix_sources), ("pack", pack)]
 #: Language identification and retrieval cannot be written in SQL.
 ORACLE_SQL = None
 
