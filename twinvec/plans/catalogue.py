@@ -2,10 +2,609 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from twinvec.functions import intervals as R
+from twinvec.functions import vector as V
+from twinvec.operators import graph, knn, layout, metrics, pq, search, shard, skyline
+from twinvec.plans import fixture as X
+from twinvec.streaming import dynamic
+
+K, DIGITS = 10, 6
+_queries: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _r(c, digits: int = DIGITS):
+    return F.round(c, digits) + 0.0
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """The stated queries against all rows, as a plan: dx2 and dy2 in columns."""
+    q = X.queries(spark, sf_dir).select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("e").alias("qe"), "alpha")
+    p = X.points(spark, sf_dir).crossJoin(F.broadcast(q)).where("id <> qid")
+    return p.withColumn("dx2", V.l2_sq(F.col("qx"), F.col("x"))).withColumn("dy2", V.l2_sq(F.col("qy"), F.col("y")))
+
+
+def _rank(expr: str, extra: str = "") -> str:
+    return f"""WITH {X.SQL} SELECT qid, rank, id, dist FROM (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank
+FROM (SELECT qid, id, round({expr}, 6) AS dist FROM d {extra})) WHERE rank <= {K}"""
+
+
+_FUSED = "alpha * sqrt(dx2) + (1 - alpha) * sqrt(dy2)"
+
+
+# Scalar and vector functions
+
+
+@query(f"WITH {X.SQL} SELECT qid, id, round(dx2, 6) AS dx2, round(sqrt(dy2), 6) AS dy FROM d")
+def l2_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("qid", "id", _r(F.col("dx2")).alias("dx2"), _r(F.sqrt("dy2")).alias("dy"))
+
+
+@query(f"WITH {X.SQL} SELECT qid, id, round(list_cosine_similarity(qe, e), 6) + 0.0 AS similarity, round(1 - list_cosine_similarity(qe, e), 6) AS distance FROM q, v WHERE qid <> id")
+def cosine_pairs(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("qid", "id", _r(V.cosine_similarity(F.col("qe"), F.col("e"))).alias("similarity"), _r(V.cosine_distance(F.col("qe"), F.col("e"))).alias("distance"))
+
+
+@query(f"""WITH {X.SQL}, n AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda t: t * t))) AS norm FROM v)
+SELECT id, CAST(i AS BIGINT) AS pos, round(e[i] / norm, 6) + 0.0 AS value, round(norm, 6) AS norm FROM n, range(1, 65) t(i)""")
+def normalize(spark, sf_dir):
+    p = X.points(spark, sf_dir).withColumn("norm", V.norm(F.col("e")))
+    p = p.select("id", "norm", F.posexplode(V.l2_normalize(F.col("e"))).alias("pos", "value"))
+    return p.select("id", (F.col("pos") + 1).cast("long").alias("pos"), _r(F.col("value")).alias("value"), _r(F.col("norm")).alias("norm"))
+
+
+@query(f"WITH {X.SQL} SELECT qid, id, round(alpha * sqrt(dx2) / ({_FUSED}), 6) AS share FROM d")
+def contribution_share(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("qid", "id", _r(V.contribution_share(F.col("alpha"), F.sqrt("dx2"), F.sqrt("dy2"))).alias("share"))
+
+
+# Exact search
+
+
+@query(_rank(_FUSED))
+def fused_topk_mixed_alpha(spark, sf_dir):
+    return knn.exact_dual_knn(X.points(spark, sf_dir), X.queries(spark, sf_dir), K, "fused", digits=DIGITS).select("qid", "rank", "id", "dist")
+
+
+@query(_rank("alpha * dx2 + (1 - alpha) * dy2"))
+def legacy_sq_topk(spark, sf_dir):
+    return knn.exact_dual_knn(X.points(spark, sf_dir), X.queries(spark, sf_dir), K, "fused_sq", digits=DIGITS).select("qid", "rank", "id", "dist")
+
+
+@query(_rank("sqrt(dx2)"))
+def x_only_topk(spark, sf_dir):
+    return knn.exact_dual_knn(X.points(spark, sf_dir), X.queries(spark, sf_dir), K, "x", digits=DIGITS).select("qid", "rank", "id", "dist")
+
+
+@query(_rank("sqrt(dy2)"))
+def y_only_topk(spark, sf_dir):
+    return knn.exact_dual_knn(X.points(spark, sf_dir), X.queries(spark, sf_dir), K, "y", digits=DIGITS).select("qid", "rank", "id", "dist")
+
+
+@query(_rank("sqrt(dx2 + dy2)"))
+def concat_topk(spark, sf_dir):
+    return knn.exact_dual_knn(X.points(spark, sf_dir), X.queries(spark, sf_dir), K, "concat", digits=DIGITS).select("qid", "rank", "id", "dist")
+
+
+_GRID = f"""WITH {X.SQL}, g AS (SELECT qid, id, CAST(a AS DOUBLE) / 10 AS alpha, dx2, dy2 FROM d, range(0, 11) t(a))
+SELECT qid, alpha, rank, id, dist FROM (SELECT qid, alpha, id, dist, row_number() OVER (PARTITION BY qid, alpha ORDER BY dist, id) AS rank
+FROM (SELECT qid, alpha, id, round({_FUSED}, 6) AS dist FROM g)) WHERE rank <= {K}"""
+
+
+@query(_GRID)
+def fused_topk_fixed_alpha_grid(spark, sf_dir):
+    q = X.queries(spark, sf_dir).drop("alpha").withColumn("alpha", F.explode(F.array(*[F.lit(a / 10.0) for a in range(11)])))
+    return knn.exact_dual_knn(X.points(spark, sf_dir), q, K, "fused", digits=DIGITS)
+
+
+@query(_rank(_FUSED, "WHERE id % 7 <> 3"))
+def tombstone_filtered_topk(spark, sf_dir):
+    p = X.points(spark, sf_dir)
+    dead = p.where("id % 7 = 3").select("id")
+    return knn.exact_dual_knn(p.join(dead, "id", "left_anti"), X.queries(spark, sf_dir), K, "fused", digits=DIGITS).select("qid", "rank", "id", "dist")
+
+
+@query(f"""WITH {X.SQL}, f AS (SELECT qid, id, round({_FUSED}, 6) AS dist FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM f),
+t AS (SELECT * FROM r WHERE rank <= 100), w AS (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM t WHERE id BETWEEN 100 AND 399)
+SELECT qid, rank, id, dist FROM w WHERE rank <= {K}""")
+def gt_window(spark, sf_dir):
+    truth = knn.exact_dual_knn(X.points(spark, sf_dir), X.queries(spark, sf_dir), 100, "fused", digits=DIGITS)
+    return search.truth_window(truth, 100, 400, K).select("qid", "rank", "id", "dist")
+
+
+@query(f"""WITH {X.SQL}, f AS (SELECT qid, id, round({_FUSED}, 6) AS dist, dx2, dy2 FROM d),
+a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sqrt(dx2), 12), id) AS rx, row_number() OVER (PARTITION BY qid ORDER BY round(sqrt(dy2), 12), id) AS ry FROM f)
+SELECT qid, rank, id, dist FROM (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM a WHERE rx <= 20 OR ry <= 20) WHERE rank <= {K}""")
+def dual_union_rerank(spark, sf_dir):
+    return knn.dual_union_rerank(X.points(spark, sf_dir), X.queries(spark, sf_dir), K, 20, 20, DIGITS)
+
+
+# Aggregates, medoids, skylines
+
+
+@query(f"""WITH {X.SQL}, u AS (SELECT 'x' AS space, i AS pos, x[i] AS val FROM v, range(1, 33) t(i) UNION ALL SELECT 'y', i, y[i] FROM v, range(1, 33) t(i))
+SELECT space, CAST(pos AS BIGINT) AS pos, round(avg(val), 6) + 0.0 AS value FROM u GROUP BY space, pos""")
+def centroids(spark, sf_dir):
+    c = graph.centroids(X.points(spark, sf_dir))
+    return c.select("space", F.posexplode("centroid").alias("p", "v")).select("space", (F.col("p") + 1).cast("long").alias("pos"), _r(F.col("v")).alias("value"))
+
+
+_MEANS = "m AS (SELECT list(ax ORDER BY i) AS cx, list(ay ORDER BY i) AS cy FROM (SELECT i, avg(x[i]) AS ax, avg(y[i]) AS ay FROM v, range(1, 33) t(i) GROUP BY i))"
+
+
+@query(f"""WITH {X.SQL}, {_MEANS}, f AS (SELECT 'x' AS space, id, round({X.sql_sq("cx", "x")}, 6) AS d2 FROM v, m UNION ALL SELECT 'y', id, round({X.sql_sq("cy", "y")}, 6) FROM v, m)
+SELECT space, id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY d2, id) AS r FROM f) WHERE r = 1""")
+def medoid(spark, sf_dir):
+    p = X.points(spark, sf_dir)
+    return graph.medoids(p, graph.centroids(p), DIGITS)
+
+
+_LAYER0 = f"""WITH {X.SQL}, s AS (SELECT qid, id, round(dx2, 6) AS d1, round(dy2, 6) AS d2 FROM d)
+SELECT qid, id, d1, d2 FROM (SELECT *, min(d1) OVER (PARTITION BY qid ORDER BY d2, d1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s) WHERE m IS NULL OR d1 < m"""
+
+
+def _distances(spark, sf_dir) -> DataFrame:
+    return _pairs(spark, sf_dir).select("qid", "id", _r(F.col("dx2")).alias("d1"), _r(F.col("dy2")).alias("d2"))
+
+
+@query(_LAYER0)
+def skyline_layer0(spark, sf_dir):
+    return skyline.skyline(_distances(spark, sf_dir))
+
+
+@query()
+def skyline_layers(spark, sf_dir):
+    return skyline.truncate_layers(skyline.skyline_layers(_distances(spark, sf_dir)), 40)
+
+
+@query(f"""WITH {X.SQL}, {_MEANS}, s AS (SELECT id, round({X.sql_sq("cx", "x")}, 6) AS d1, round({X.sql_sq("cy", "y")}, 6) AS d2 FROM v, m)
+SELECT id, d1, d2 FROM (SELECT *, max(d1) OVER (ORDER BY d2 DESC, d1 DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s) WHERE (m IS NULL AND d1 > 0) OR d1 > m""")
+def entry_points(spark, sf_dir):
+    p = X.points(spark, sf_dir)
+    d = graph.to_centres(p, graph.centroids(p)).select("id", _r(F.col("dx2")).alias("d1"), _r(F.col("dy2")).alias("d2"))
+    return skyline.entry_points(d)
+
+
+# Graphs
+
+_KNN = f"""{X.SQL}, kd AS (SELECT a.id AS src, b.id AS dst, round(sqrt({X.sql_sq("a.x", "b.x")}), 6) AS dist FROM v a, v b WHERE a.id <> b.id),
+kg AS (SELECT src, pos, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS pos FROM kd) WHERE pos <= {K})"""
+
+
+def _graph(spark, sf_dir) -> DataFrame:
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    return graph.knn_graph(p, K, DIGITS)
+
+
+@query(f"WITH {_KNN} SELECT src, pos, dst, dist FROM kg")
+def knn_graph(spark, sf_dir):
+    return _graph(spark, sf_dir)
+
+
+@query(f"WITH {_KNN} SELECT dst AS src, row_number() OVER (PARTITION BY dst ORDER BY dist, src) AS pos, src AS dst, dist FROM kg")
+def reverse_edges(spark, sf_dir):
+    return graph.reverse_edges(_graph(spark, sf_dir))
+
+
+@query(f"""WITH {_KNN}, u AS (SELECT src, dst FROM kg UNION SELECT dst, src FROM kg), n AS (SELECT src, count(*) AS n FROM u GROUP BY src)
+SELECT max(n) AS most, min(n) AS least, round(avg(n), 6) AS mean, count(*) FILTER (n < 2) AS under_two FROM n""")
+def degree_stats(spark, sf_dir):
+    g = _graph(spark, sf_dir).select("src", "dst")
+    return graph.degree_stats(g.union(g.select("dst", "src")).distinct())
+
+
+@query(f"WITH {_KNN} SELECT s.src, a.dst, min(s.pos) AS pos FROM (SELECT src, src AS at, 0 AS pos FROM kg WHERE src < 50 AND pos = 1) s JOIN kg a ON s.at = a.src GROUP BY s.src, a.dst")
+def one_hop_expand(spark, sf_dir):
+    f = X.queries(spark, sf_dir).select(F.col("qid").alias("src"), F.col("qid").alias("at"), F.lit(0).cast("long").alias("pos"))
+    return graph.expand(f, _graph(spark, sf_dir).select(F.col("src").alias("at"), "dst")).select("src", "dst", F.col("pos").cast("int").alias("pos"))
+
+
+@query(f"""WITH {_KNN} SELECT DISTINCT a.src, b.dst FROM kg a JOIN kg b ON a.dst = b.src WHERE a.src < 50 AND b.dst <> a.src
+AND NOT EXISTS (SELECT 1 FROM kg c WHERE c.src = a.src AND c.dst = b.dst)""")
+def two_hop_expand(spark, sf_dir):
+    return graph.two_hops(_graph(spark, sf_dir), X.queries(spark, sf_dir).select(F.col("qid").alias("src")))
+
+
+@query(f"""WITH {_KNN}, dead AS (SELECT id FROM v WHERE id % 7 = 3), live AS (SELECT src, dst FROM kg WHERE src % 7 <> 3)
+SELECT DISTINCT src, dst FROM (SELECT src, dst FROM live WHERE dst % 7 <> 3 UNION ALL
+SELECT l.src, k.dst FROM live l JOIN kg k ON l.dst = k.src WHERE l.dst % 7 = 3 AND k.dst % 7 <> 3) WHERE src <> dst""")
+def delete_splice(spark, sf_dir):
+    dead = X.points(spark, sf_dir).where("id % 7 = 3").select("id")
+    return graph.splice(_graph(spark, sf_dir).select("src", "dst"), dead)
+
+
+# Intervals
+
+
+@query("""WITH h AS (SELECT vec_id AS id, CAST(vec_id % 9 - 4 AS DOUBLE) AS slope, CAST(vec_id * 7 % 11 - 5 AS DOUBLE) / 2 AS rhs FROM embeddings)
+SELECT id, CASE WHEN slope = 0 AND rhs >= 0 THEN 0.0 WHEN slope > 0 AND rhs >= 0 THEN 0.0 WHEN slope < 0 AND rhs / slope <= 1 THEN greatest(0.0, rhs / slope) END + 0.0 AS lo,
+CASE WHEN slope = 0 AND rhs >= 0 THEN 1.0 WHEN slope > 0 AND rhs >= 0 THEN least(1.0, rhs / slope) WHEN slope < 0 AND rhs / slope <= 1 THEN 1.0 END + 0.0 AS hi FROM h""")
+def occlusion_halfplane(spark, sf_dir):
+    h = X.points(spark, sf_dir).select("id", (F.col("id") % 9 - 4).cast("double").alias("slope"), ((F.col("id") * 7 % 11 - 5) / 2.0).alias("rhs"))
+    s = R.half_plane(F.col("slope"), F.col("rhs"))
+    return h.select("id", (s["lo"] + 0.0).alias("lo"), (s["hi"] + 0.0).alias("hi"))
+
+
+def _exploded(df: DataFrame, c) -> DataFrame:
+    return df.select("id", F.explode(c).alias("r")).select("id", _r(F.col("r.lo")).alias("lo"), _r(F.col("r.hi")).alias("hi"))
+
+
+@query(f"WITH {X.SQL_INTERVALS} SELECT id, greatest(lo, 0.3) AS lo, least(hi, 0.7) AS hi FROM iv WHERE greatest(lo, 0.3) < least(hi, 0.7)")
+def interval_intersect(spark, sf_dir):
+    return _exploded(X.intervals(spark, sf_dir), R.intersect(F.col("ranges"), F.lit(0.3), F.lit(0.7)))
+
+
+@query(f"WITH {X.SQL_INTERVALS} SELECT id, lo, hi FROM un")
+def interval_union(spark, sf_dir):
+    return _exploded(X.intervals(spark, sf_dir), R.union(F.col("ranges")))
+
+
+@query(f"""WITH {X.SQL_INTERVALS}, e AS (SELECT id, coalesce(lag(hi) OVER (PARTITION BY id ORDER BY lo), 0.0) AS lo, lo AS hi FROM un UNION ALL SELECT id, max(hi), 1.0 FROM un GROUP BY id)
+SELECT id, lo, hi FROM e WHERE round(hi - lo, 9) >= 0.01""")
+def interval_complement(spark, sf_dir):
+    return _exploded(X.intervals(spark, sf_dir), R.complement(F.col("ranges")))
+
+
+@query(f"WITH {X.SQL_INTERVALS} SELECT id, round(sum(hi - lo), 6) AS width FROM un GROUP BY id")
+def interval_width(spark, sf_dir):
+    return X.intervals(spark, sf_dir).select("id", _r(R.width(F.col("ranges"))).alias("width"))
+
+
+@query(f"WITH {X.SQL_INTERVALS} SELECT id, CAST(floor(round(lo * 33.37, 9)) AS TINYINT) AS lo, CAST(ceil(round(hi * 33.37, 9)) AS TINYINT) AS hi FROM iv")
+def quantize_outward(spark, sf_dir):
+    third = F.transform("ranges", lambda r: R.span(r.lo * 0.3337, r.hi * 0.3337))
+    return X.intervals(spark, sf_dir).select("id", F.explode(R.quantize(third)).alias("r")).select("id", "r.lo", "r.hi")
+
+
+@query()
+def compress_greedy2(spark, sf_dir):
+    return _exploded(X.intervals(spark, sf_dir), R.compress(F.col("ranges"), 2, "gap"))
+
+
+@query()
+def compress_maxcover2(spark, sf_dir):
+    return _exploded(X.intervals(spark, sf_dir), R.compress(F.col("ranges"), 2, "split"))
+
+
+@query(f"""WITH {X.SQL_INTERVALS} SELECT vec_id AS id, CAST(vec_id % 11 AS DOUBLE) / 10 AS alpha,
+vec_id % 6 = 0 OR EXISTS (SELECT 1 FROM iv WHERE iv.id = vec_id AND round(lo * 100) <= vec_id % 11 * 10 AND vec_id % 11 * 10 <= round(hi * 100)) AS active FROM embeddings""")
+def alpha_active_edges(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", ((F.col("id") % 11) / 10.0).alias("alpha")).join(X.intervals(spark, sf_dir), "id", "left")
+    ranges = R.quantize(F.coalesce("ranges", R.none()))
+    return p.select("id", "alpha", R.active(ranges, F.col("alpha")).alias("active"))
+
+
+_ACTIVE = f"WITH {X.SQL_INTERVALS} SELECT a AS percent, (SELECT count(*) FROM un WHERE round(lo * 100) <= a AND a <= round(hi * 100)) AS edges FROM range(0, 101) t(a)"
+
+
+@query(_ACTIVE)
+def active_edge_counts(spark, sf_dir):
+    u = X.intervals(spark, sf_dir).select("id", F.explode(R.quantize(R.union(F.col("ranges")))).alias("r")).select("r.lo", "r.hi")
+    return graph.active_counts(u)
+
+
+@query(f"WITH {X.SQL_INTERVALS} SELECT id % 11 AS tenth, count(*) AS edges, count(*) FILTER (round(lo * 100) <= id % 11 * 10 AND id % 11 * 10 <= round(hi * 100)) AS active, round(avg(hi - lo), 6) AS mean_width FROM un GROUP BY id % 11")
+def activity_by_alpha(spark, sf_dir):
+    u = X.intervals(spark, sf_dir).select("id", F.explode(R.union(F.col("ranges"))).alias("r"))
+    a, lo, hi = F.col("id") % 11 * 10, F.round(F.col("r.lo") * 100), F.round(F.col("r.hi") * 100)
+    return u.groupBy((F.col("id") % 11).alias("tenth")).agg(
+        F.count("*").alias("edges"), F.sum(((lo <= a) & (a <= hi)).cast("long")).alias("active"), _r(F.avg(F.col("r.hi") - F.col("r.lo"))).alias("mean_width")
+    )
+
+
+# Metrics
+
+_TOPS = f"""{X.SQL}, f AS (SELECT qid, id, round({_FUSED}, 6) AS dist, round(sqrt(dx2), 6) AS dx, round(sqrt(dy2), 6) AS dy FROM d),
+ra AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank, row_number() OVER (PARTITION BY qid ORDER BY dx, id) AS rx, row_number() OVER (PARTITION BY qid ORDER BY dy, id) AS ry FROM f)"""
+
+
+def _tops(spark, sf_dir, k: int = K):
+    p, q = X.points(spark, sf_dir), X.queries(spark, sf_dir)
+    return [knn.exact_dual_knn(p, q, n, o, digits=DIGITS).drop("alpha") for o, n in (("fused", 4 * k), ("x", k), ("y", k))]
+
+
+@query(f"""WITH {_TOPS}, kt AS (SELECT qid, dist AS kth FROM ra WHERE rank = {K}), gold AS (SELECT ra.qid, id FROM ra JOIN kt USING (qid) WHERE rank <= 40 AND (rank <= {K} OR dist <= kth))
+SELECT q.qid, CAST(least(count(ra.id), {K}) AS BIGINT) AS hits, CAST(least(count(ra.id), {K}) * 100.0 / {K} AS DOUBLE) AS recall
+FROM q LEFT JOIN gold USING (qid) LEFT JOIN ra ON ra.qid = gold.qid AND ra.id = gold.id AND rx <= {K} GROUP BY q.qid""")
+def recall_at_k(spark, sf_dir):
+    truth, x, _ = _tops(spark, sf_dir)
+    return metrics.recall_at_k(x, truth, K)
+
+
+@query(f"""WITH {_TOPS}, act AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS ar FROM ra WHERE rank <= 40 AND id % 3 <> 0),
+kt AS (SELECT qid, dist AS kth FROM act WHERE ar = {K}), gold AS (SELECT act.qid, id FROM act LEFT JOIN kt USING (qid) WHERE ar <= {K} OR dist <= kth)
+SELECT q.qid, CAST(least(count(ra.id), {K}) AS BIGINT) AS hits, CAST(least(count(ra.id), {K}) * 100.0 / {K} AS DOUBLE) AS recall
+FROM (SELECT DISTINCT qid FROM act) q LEFT JOIN gold USING (qid) LEFT JOIN ra ON ra.qid = gold.qid AND ra.id = gold.id AND rx <= {K} GROUP BY q.qid""")
+def recall_at_k_active(spark, sf_dir):
+    truth, x, _ = _tops(spark, sf_dir)
+    return metrics.recall_at_k(x, truth, K, X.points(spark, sf_dir).where("id % 3 <> 0"))
+
+
+@query(f"""WITH {_TOPS} SELECT qid, count(*) FILTER (rank <= {K} AND rx <= {K}) AS by_x, count(*) FILTER (rank <= {K} AND ry <= {K}) AS by_y,
+count(*) FILTER (rank <= {K} AND (rx <= {K} OR ry <= {K})) AS by_union, count(*) FILTER (rx <= {K} OR ry <= {K}) AS union_size FROM ra GROUP BY qid""")
+def coverage_oracle(spark, sf_dir):
+    truth, x, y = _tops(spark, sf_dir)
+    return metrics.coverage(x, y, truth.where(F.col("rank") <= K)).select("qid", "by_x", "by_y", "by_union", "union_size")
+
+
+@query("""SELECT CAST(a AS DOUBLE) / 20 AS alpha, CASE WHEN a <= 1 THEN 0 WHEN a >= 19 THEN 20 ELSE a END AS kx, CASE WHEN a <= 1 THEN 20 WHEN a >= 19 THEN 0 ELSE 20 - a END AS ky FROM range(0, 21) t(a)""")
+def budget_allocation(spark, sf_dir):
+    a = spark.range(21).select((F.col("id") / 20.0).alias("alpha"))
+    kx, ky = metrics.budget_split(F.col("alpha"), 10)
+    return a.select("alpha", kx.alias("kx"), ky.alias("ky"))
+
+
+_CURVE = f"""{_TOPS}, cu AS (SELECT 'x' AS series, b AS budget, CAST(b AS DOUBLE) * 1.5 AS cost, (SELECT count(*) FROM ra WHERE rank <= {K} AND rx <= b) * 1.0 / (SELECT count(*) FROM ra WHERE rank <= {K}) AS recall
+FROM (SELECT unnest([10, 20, 40, 80, 160]) AS b))"""
+
+
+def _curve(spark, sf_dir):
+    p, q = X.points(spark, sf_dir), X.queries(spark, sf_dir)
+    truth = knn.exact_dual_knn(p, q, K, "fused", digits=DIGITS).select("qid", "id")
+    x = knn.exact_dual_knn(p, q, 160, "x", digits=DIGITS).select("qid", "id", F.col("rank").alias("rx"))
+    hits = truth.join(x, ["qid", "id"], "left")
+    b = F.explode(F.array(*[F.lit(b) for b in (10, 20, 40, 80, 160)]))
+    c = hits.withColumn("budget", b).groupBy("budget").agg((F.sum((F.col("rx") <= F.col("budget")).cast("int")) / F.count("*")).alias("recall"))
+    return c.select(F.lit("x").alias("series"), "budget", (F.col("budget") * 1.5).alias("cost"), "recall")
+
+
+@query(f"""WITH {_CURVE}, l AS (SELECT *, lead(recall) OVER (PARTITION BY series ORDER BY budget) AS r2, lead(cost) OVER (PARTITION BY series ORDER BY budget) AS c2 FROM cu)
+SELECT series, target, round(cost + (target - recall) / (r2 - recall) * (c2 - cost), 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY series, target ORDER BY budget) AS k
+FROM l, (SELECT CAST(unnest([0.2, 0.4, 0.6, 0.8, 0.95]) AS DOUBLE) AS target) WHERE recall <= target AND r2 >= target AND r2 > recall) WHERE k = 1""")
+def matched_recall_interp(spark, sf_dir):
+    m = metrics.matched_recall(_curve(spark, sf_dir), [0.2, 0.4, 0.6, 0.8, 0.95])
+    return m.select("series", "target", _r(F.col("cost")).alias("cost"))
+
+
+@query(f"WITH {_CURVE} SELECT series, target, min(cost) AS cost FROM cu, (SELECT CAST(unnest([0.2, 0.4, 0.6, 0.8, 0.95]) AS DOUBLE) AS target) WHERE recall >= target GROUP BY series, target")
+def work_frontier(spark, sf_dir):
+    return metrics.work_frontier(_curve(spark, sf_dir), [0.2, 0.4, 0.6, 0.8, 0.95])
+
+
+@query(f"""WITH {_TOPS}, s AS (SELECT dist, row_number() OVER (ORDER BY dist) AS k, count(*) OVER () AS n FROM ra)
+SELECT CAST(p AS DOUBLE) AS p, max(dist) FILTER (k <= CAST(floor(p * n) AS BIGINT) + 1) AS value FROM s, (SELECT CAST(unnest([0.5, 0.9, 0.99]) AS DOUBLE) AS p) GROUP BY p""")
+def stats_percentiles(spark, sf_dir):
+    f = _pairs(spark, sf_dir).select(_r(V.fuse(F.col("alpha"), F.col("dx2"), F.col("dy2"))).alias("dist"))
+    parts = [metrics.percentile_floor(f, "dist", p).select(F.lit(p).alias("p"), "value") for p in (0.5, 0.9, 0.99)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"""WITH {_TOPS}, s AS (SELECT dx / (dx + dy) AS v FROM ra) SELECT count(v) AS valid, count(*) - count(v) AS undefined, round(avg(v), 6) AS mean,
+round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90 FROM s""")
+def distance_scale_summary(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select(_r(F.sqrt("dx2")).alias("dx"), _r(F.sqrt("dy2")).alias("dy"))
+    s = metrics.summary(p, F.when(F.col("dx") + F.col("dy") > 0, F.col("dx") / (F.col("dx") + F.col("dy"))))
+    return s.select("valid", "undefined", *[_r(F.col(c)).alias(c) for c in ("mean", "p10", "median", "p90")])
+
+
+# Layout
+
+
+@query("SELECT id, CAST(i // 12 AS BIGINT) AS page_id, CAST(i % 12 AS BIGINT) AS slot FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings)")
+def page_layout(spark, sf_dir):
+    return layout.assign_pages(X.points(spark, sf_dir), 12)
+
+
+@query(f"""WITH {_TOPS}, pg AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 12 AS page FROM v)
+SELECT qid, count(DISTINCT page) AS pages, count(*) AS nodes FROM ra JOIN pg USING (id) WHERE rank <= 40 GROUP BY qid""")
+def page_counts(spark, sf_dir):
+    top = knn.exact_dual_knn(X.points(spark, sf_dir), X.queries(spark, sf_dir), 40, "fused", digits=DIGITS)
+    return layout.page_reads(top, layout.assign_pages(X.points(spark, sf_dir), 12))
+
+
+@query("SELECT CAST(slots AS BIGINT) AS slots, CAST(4 + 40 * (4 + 2 * slots) AS BIGINT) AS bytes, CAST(8192 // (4 + 40 * (4 + 2 * slots)) AS BIGINT) AS per_page FROM (SELECT unnest([0, 2, 6, 7]) AS slots)")
+def record_sizes(spark, sf_dir):
+    return spark.createDataFrame([(s, b := layout.topology_bytes(40, s), layout.records_per_page(b)) for s in (0, 2, 6, 7)], "slots long, bytes long, per_page long")
+
+
+@query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 3)")
+def id_remap(spark, sf_dir):
+    p = X.points(spark, sf_dir)
+    return layout.remap_ids(p, p.where("id % 7 = 3"))
+
+
+@query("SELECT 0 AS missing, 0 AS twice, 0 AS strange, 0 AS beyond")
+def layout_violations(spark, sf_dir):
+    p = X.points(spark, sf_dir)
+    return layout.violations(layout.assign_pages(p, 12), p, 12).select(*[F.col(c).cast("int").alias(c) for c in ("missing", "twice", "strange", "beyond")])
+
+
+# Quantisation
+
+CHUNKS, CODES = 8, 64
+_PQ = f"""{X.SQL}, b AS (SELECT row_number() OVER (ORDER BY id) - 1 AS code, x, y FROM (SELECT * FROM v ORDER BY id LIMIT {CODES})),
+ch AS (SELECT unnest(range(0, {CHUNKS})) AS c),
+en AS (SELECT v.id, ch.c, b.code, list_sum(list_transform(range(1, 5), lambda i: (v.x[ch.c * 4 + i] - b.x[ch.c * 4 + i]) * (v.x[ch.c * 4 + i] - b.x[ch.c * 4 + i]))) AS ex,
+  list_sum(list_transform(range(1, 5), lambda i: (v.y[ch.c * 4 + i] - b.y[ch.c * 4 + i]) * (v.y[ch.c * 4 + i] - b.y[ch.c * 4 + i]))) AS ey FROM v, ch, b),
+cx AS (SELECT id, c, arg_min(code, round(ex, 12) * 1000000 + code * 0.0000001) AS code FROM en GROUP BY id, c), cy AS (SELECT id, c, arg_min(code, round(ey, 12) * 1000000 + code * 0.0000001) AS code FROM en GROUP BY id, c)"""
+_ADC = f"""{_PQ}, ad AS (SELECT e.qid, x.id, e.alpha, sum(t.ex) AS ax, sum(t2.ey) AS ay FROM q e JOIN cx x ON x.id <> e.qid JOIN en t ON t.id = e.qid AND t.c = x.c AND t.code = x.code
+JOIN cy y ON y.id = x.id AND y.c = x.c JOIN en t2 ON t2.id = e.qid AND t2.c = y.c AND t2.code = y.code GROUP BY e.qid, x.id, e.alpha),
+ar AS (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (SELECT qid, id, round(alpha * sqrt(ax) + (1 - alpha) * sqrt(ay), 6) AS dist FROM ad))"""
+
+
+def _coded(spark, sf_dir, space: str):
+    p = X.points(spark, sf_dir).select("id", F.col(space).alias("vec"))
+    book = pq.fixed_codebook(p, CHUNKS, X.HALF, CODES)
+    return pq.encode(p, book), book
+
+
+@query(f"WITH {_PQ} SELECT id, CAST(c AS BIGINT) AS chunk, CAST(code AS BIGINT) AS code FROM cx")
+def pq_encode_fixed(spark, sf_dir):
+    c, _ = _coded(spark, sf_dir, "x")
+    return c.select("id", F.posexplode("codes").alias("chunk", "code")).select("id", F.col("chunk").cast("long").alias("chunk"), F.col("code").cast("long").alias("code"))
+
+
+def _adc(spark, sf_dir, k: int) -> DataFrame:
+    (cx, bx), (cy, by) = (_coded(spark, sf_dir, s) for s in "xy")
+    return pq.adc_search(cx, X.queries(spark, sf_dir), bx, k, cy, by, digits=DIGITS)
+
+
+@query(f"WITH {_ADC} SELECT qid, rank, id, dist FROM ar WHERE rank <= {K}")
+def adc_topk_fixed(spark, sf_dir):
+    return _adc(spark, sf_dir, K)
+
+
+@query(f"""WITH {_ADC} SELECT qid, rank, id, dist FROM (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank
+FROM (SELECT d.qid, d.id, round({_FUSED}, 6) AS dist FROM d JOIN ar ON ar.qid = d.qid AND ar.id = d.id WHERE ar.rank <= 40)) WHERE rank <= {K}""")
+def pq_rerank(spark, sf_dir):
+    return knn.rerank(_adc(spark, sf_dir, 40).select("qid", "id"), X.points(spark, sf_dir), X.queries(spark, sf_dir), K, DIGITS)
+
+
+@query()
+def pq_kmeans(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    book = pq.train(p, CHUNKS, X.HALF, CODES)
+    return pq.adc_search(pq.encode(p, book), X.queries(spark, sf_dir), book, K, digits=DIGITS)
+
+
+@query()
+def pq_refined(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    return pq.refine(p, pq.fixed_codebook(p, CHUNKS, X.HALF, CODES))
+
+
+@query(f"""WITH {_PQ}, pr AS (SELECT id AS a, (id + 1) % (SELECT count(*) FROM v) AS b FROM v)
+SELECT a, b, round(sum(list_sum(list_transform(range(1, 5), lambda i: (p.x[s.c * 4 + i] - r.x[s.c * 4 + i]) * (p.x[s.c * 4 + i] - r.x[s.c * 4 + i])))), 6) AS d2
+FROM pr JOIN cx s ON s.id = a JOIN cx t ON t.id = b AND t.c = s.c JOIN b p ON p.code = s.code JOIN b r ON r.code = t.code GROUP BY a, b""")
+def code_distances(spark, sf_dir):
+    c, book = _coded(spark, sf_dir, "x")
+    n = c.count()
+    return pq.code_distance(c, c.select(F.col("id").alias("a"), ((F.col("id") + 1) % n).alias("b")), book).select("a", "b", _r(F.col("d2")).alias("d2"))
+
+
+# Shards
+
+
+@query(f"""WITH {X.SQL}, ce AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cid, x AS cv FROM (SELECT * FROM v ORDER BY id LIMIT 8))
+SELECT id, rank, cid, d2 FROM (SELECT id, cid, d2, row_number() OVER (PARTITION BY id ORDER BY d2, cid) AS rank FROM (SELECT id, cid, round({X.sql_sq("x", "cv")}, 6) AS d2 FROM v, ce)) WHERE rank <= 2""")
+def shard_assign_k2(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    return knn.assign_centers(p, shard.first_centers(p, 8), 2).withColumn("d2", _r(F.col("d2")))
+
+
+@query(f"""WITH {X.SQL}, ce AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cid, x AS cv FROM (SELECT * FROM v ORDER BY id LIMIT 8))
+SELECT cid, count(*) AS n FROM (SELECT id, cid, row_number() OVER (PARTITION BY id ORDER BY round({X.sql_sq("x", "cv")}, 12), cid) AS rank FROM v, ce) WHERE rank = 1 GROUP BY cid""")
+def cluster_sizes(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    return shard.cluster_sizes(p, shard.first_centers(p, 8))
+
+
+@query()
+def shard_by_budget(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    return shard.partition_with_budget(p, 200, copies=2)
+
+
+@query()
+def sample_bernoulli(spark, sf_dir):
+    return shard.random_slice(X.points(spark, sf_dir).select("id", "label"), 0.2, 42)
+
+
+# Graph building, search and updates
+
+
+def _dual(spark, sf_dir):
+    return graph.build_dual(X.points(spark, sf_dir).select("id", "x", "y"), degree=16, pool=40)
+
+
+@query()
+def graph_build(spark, sf_dir):
+    return _dual(spark, sf_dir).select("src", "pos", "dst", "layer", F.size("ranges").alias("slots"), _r(R.width(F.col("ranges"))).alias("width"))
+
+
+@query()
+def graph_build_single(spark, sf_dir):
+    return graph.build_single(X.points(spark, sf_dir).select("id", F.col("x").alias("vec")), degree=16, pool=40)
+
+
+@query()
+def graph_fixed_alpha(spark, sf_dir):
+    return graph.build_fixed(X.points(spark, sf_dir).select("id", "x", "y"), alpha=0.5, degree=16, pool=40)
+
+
+@query()
+def graph_merge(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", "x", "y")
+    return shard.build_sharded(p, max_rows=200, degree=16, pool=40).select("src", "pos", "dst", "layer")
+
+
+@query()
+def topology_compact(spark, sf_dir):
+    return graph.with_ranges(_dual(spark, sf_dir), "merge").select("src", "pos", "dst", F.size("ranges").alias("slots"))
+
+
+def _search(spark, sf_dir, mode: str, **options):
+    p = X.points(spark, sf_dir).select("id", "x", "y")
+    return search.search(p, _dual(spark, sf_dir), X.queries(spark, sf_dir), k=K, pool=64, mode=mode, **options).withColumn("dist", _r(F.col("dist")))
+
+
+@query()
+def search_beam(spark, sf_dir):
+    return _search(spark, sf_dir, "beam")
+
+
+@query()
+def search_page(spark, sf_dir):
+    return _search(spark, sf_dir, "page")
+
+
+@query()
+def search_rerank(spark, sf_dir):
+    return _search(spark, sf_dir, "rerank")
+
+
+@query()
+def search_dap(spark, sf_dir):
+    return _search(spark, sf_dir, "dap")
+
+
+@query()
+def search_frames(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", "x", "y")
+    return search.search_frames(p, _dual(spark, sf_dir), X.queries(spark, sf_dir), k=K, pool=40).withColumn("dist", _r(F.col("dist")))
+
+
+@query()
+def search_multigraph(spark, sf_dir):
+    return search.search_multigraph(X.points(spark, sf_dir).select("id", "x", "y"), X.queries(spark, sf_dir), k=K, budget=20).withColumn("dist", _r(F.col("dist")))
+
+
+@query()
+def visit_frequency(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", "x", "y")
+    return metrics.visit_counts(search.trace(p, _dual(spark, sf_dir), X.queries(spark, sf_dir), pool=40))
+
+
+@query(f"""WITH ev AS (SELECT event_id % (SELECT count(*) FROM embeddings) AS tag, event_id AS seq, event_type IN ('click', 'view') OR event_id % 3 = 0 AS dead FROM events),
+la AS (SELECT tag, arg_max(dead, seq) AS dead, max(seq) AS seq FROM ev GROUP BY tag)
+SELECT vec_id AS tag, coalesce(seq, -1) AS seq FROM embeddings LEFT JOIN la ON tag = vec_id WHERE NOT coalesce(dead, false)""")
+def dynamic_replay(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    p = X.points(spark, sf_dir)
+    n = p.count()
+    dead = F.col("event_type").isin("click", "view") | (F.col("event_id") % 3 == 0)
+    ops = ev.select((F.col("event_id") % n).alias("tag"), F.col("event_id").alias("seq"), F.when(dead, "delete").otherwise("insert").alias("op"))
+    return dynamic.apply_ops(p.select(F.col("id").alias("tag"), F.lit(-1).cast("long").alias("seq")), ops)
