@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +54,7 @@ def greedy_pages(edges: DataFrame, capacity: int, max_edges: int = 20_000_000) -
         raise ValueError(f"{n} edges: shard the graph first, at most {max_edges} a call")
 
     def run(pdf):
+        pdf = pdf.sort_values(["src", "dst"])
         src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
         nodes = np.unique(np.concatenate((src, dst)))
         out, left = [], dict.fromkeys(nodes.tolist())
@@ -75,11 +77,9 @@ def greedy_pages(edges: DataFrame, capacity: int, max_edges: int = 20_000_000) -
                     break
                 node = min(score, key=lambda o: (-score[o], o)) if score else next(iter(left))
             page += 1
-        import pandas as pd
-
         return pd.DataFrame(out, columns=["page_id", "slot", "id"])
 
-    return edges.select("src", "dst").orderBy("src", "dst").groupBy(F.lit(0)).applyInPandas(run, "page_id long, slot long, id long")
+    return edges.select(F.lit(0).alias("shard"), "src", "dst").groupBy("shard").applyInPandas(run, "page_id long, slot long, id long")
 
 
 def pad_pages(pages: DataFrame, capacity: int) -> DataFrame:
@@ -111,8 +111,6 @@ def random_rotation(dim: int, seed: int = 42) -> np.ndarray:
 
 def rotate(df: DataFrame, matrix: np.ndarray) -> DataFrame:
     """(id, vec) -> vectors times the matrix; distances stay."""
-    import pandas as pd
-
     shared = df.sparkSession.sparkContext.broadcast(matrix)
 
     @F.pandas_udf("array<double>")

@@ -101,9 +101,12 @@ def walk(ix: Index, qx, qy, alpha: float, pool: int, mode: str = "beam", beam: i
                     continue
                 seen.update(new.tolist())
                 if mode == "dap":
-                    _, dx, dy = ix.exact(new, qx, qy, alpha)
-                    ok = (len(found) < pool) | ((dx < DAP * best[0]) & (dy < DAP * best[1]))
-                    best = [min(best[0], dx.min()), min(best[1], dy.min())]
+                    # Near to the best seen in both spaces, or good enough by the fused distance.
+                    fused, dx, dy = ix.exact(new, qx, qy, alpha)
+                    early = (dx < DAP * best[0]) & (dy < DAP * best[1])
+                    if early.any():
+                        best = [min(best[0], dx[early].min()), min(best[1], dy[early].min())]
+                    ok = early | (len(found) < pool) | (fused < found[-1][0])
                     new = new[ok]
                     if not len(new):
                         continue
