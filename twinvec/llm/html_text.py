@@ -136,7 +136,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             if not head:
                 continue
             shut, name, attrs = page[at + 1] == "/", head[1].lower(), ""
-        if name not in INLINE:
+        if name not in INLINE and name not in RAW:
             flush()
         elif name == "br":
             buf.append(" ")
