@@ -9,10 +9,10 @@ document finds its neighbours by BM25 and shares windows with them.
    are broadcast. The tokenised rows are a written table.
 2. A shard holds an inverted index of its tails, token id -> (tail, weight), the
    weights from BM25 under the counts of the whole corpus. The longest unused
-   tail seeds a window; its unused neighbours, best score first and those that
-   share no token last, join while they fit; the best of the others is cut to
-   fill the window, its rest staying unused under its index entry. So a shard
-   pads one sequence at most.
+   tail seeds a window; its unused neighbours join, best score first and those
+   that share no token last, until one does not fit. That one is cut to fill the
+   window, its rest staying unused under its index entry. So a shard pads one
+   sequence at most.
 
 Null texts count as empty: one piece, the end id. Repeated ids are separate
 documents and spread over the shards. Ties go to the tail that comes first by
@@ -307,15 +307,11 @@ def fill(tails: list[np.ndarray], counts: np.ndarray, window: int = WINDOW):
             order = np.argsort(-index.scores(seed), kind="stable")
             order = order[left[order] > 0]
             for i in order.tolist():
-                if left[i] <= room:
-                    room -= int(left[i])
-                    take(i, int(left[i]))
-                    if not room:
-                        break
-            if room:
-                rest = order[left[order] > 0]
-                if len(rest):
-                    take(int(rest[0]), room)
+                n = min(int(left[i]), room)
+                room -= n
+                take(i, n)
+                if not room:
+                    break
         yield out
 
 
