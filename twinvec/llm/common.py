@@ -1,13 +1,12 @@
-"""What the operators share: scratch tables, words, prefix sums, components."""
+"""What the operators share: words, prefix sums, components, joins by key groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinvec.scratch import dropped, written
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,39 +16,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only a
-    local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="twinvec-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, label: str = "t") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and a lost
-    executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinvec-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._twinvec_path = path
-    return out
-
-
-def dropped(df: DataFrame | None) -> None:
-    """Deletes the files of a table from written() that nothing reads any more."""
-    path = getattr(df, "_twinvec_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def prefix_sums(lens: Column, block: int = 256) -> Column:
     """array<int> -> array<int> of the sums before each element. Blocks keep the
     work near k * block for k elements, where one fold with appends takes k * k."""
@@ -112,18 +78,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
 
 
-def resolve(found: DataFrame, verify, across) -> DataFrame:
+def resolve(found: DataFrame, verify, across, screen=None) -> DataFrame:
     """Components of a similarity join whose candidates come in key groups.
 
     found: rows (gram null, a, b) are pairs to check; rows (gram, a, b) say that id
     a (of size b) is in the large group of key gram, of which only pairs with the
-    least member are among the pairs. verify(pairs (a, b)) keeps the links;
-    across(groups (gram, doc_id, n, component_id)) gives the pairs between
-    components of groups. Each id is checked against its least candidate
-    first; pairs that the components then join need no check; all others get one.
-    -> (id, component_id) of ids with links.
+    least member are among the pairs. screen(pairs) drops pairs that cannot be links;
+    verify(pairs (a, b)) keeps the links; across(groups (gram, doc_id, n, component_id,
+    stray)) gives pairs of each stray, a member outside its group's largest
+    component, with all members of other components. Each id is checked against
+    its least candidate first; pairs that the components then join need no check;
+    all others get one. -> (id, component_id) of ids with links.
     """
-    pairs = written(found.where("gram is null").select("a", "b").distinct(), "pairs")
+    pairs = found.where("gram is null").select("a", "b").distinct()
+    pairs = written(screen(pairs) if screen else pairs, "pairs")
     least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(verify(least), "links")
     comps = written(components(links), "components")
@@ -133,15 +101,20 @@ def resolve(found: DataFrame, verify, across) -> DataFrame:
         return df.join(c, df[key] == F.col("__id"), "left").withColumn(to, F.coalesce("__c", key)).drop("__id", "__c")
 
     rest = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    rest = written(rest.join(least, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = written(links.union(verify(rest)), "links")
+        comps = written(components(links), "components")
     large = labelled(found.where("gram is not null").select("gram", F.col("a").alias("doc_id"), F.col("b").alias("n")), "doc_id", "component_id")
     large = written(large, "groups")
-    mixed = large.groupBy("gram").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("gram")
-    mixed = written(mixed, "mixed")
-    if not mixed.isEmpty():
-        rest = rest.union(across(large.join(mixed, "gram")))
-    rest = written(rest.distinct().join(least, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        comps = written(components(links.union(verify(rest))), "components")
-    for t in (pairs, large, mixed):
+    parts = large.groupBy("gram", "component_id").agg(F.count("*").alias("members"))
+    main = parts.groupBy("gram").agg(F.max(F.struct("members", -F.col("component_id"))).alias("m"), F.count("*").alias("parts"))
+    main = written(main.where("parts > 1").select("gram", (-F.col("m.col2")).alias("main")), "mixed")
+    if not main.isEmpty():
+        strays = large.join(main, "gram").withColumn("stray", F.col("component_id") != F.col("main")).drop("main")
+        more = written(across(strays).join(pairs, ["a", "b"], "left_anti"), "across")
+        if not more.isEmpty():
+            comps = written(components(links.union(verify(more))), "components")
+    for t in (pairs, large, main):
         dropped(t)
     return comps

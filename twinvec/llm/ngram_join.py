@@ -16,11 +16,13 @@ has is left out. Any order is right; frequencies only make candidates few.
    into FRAGMENTS of the order. Rows of one digest are one class from here on.
 3. Candidates. Prefix grams go to ranges of the order as arrays. A gram of up to
    SMALL classes gives their pairs, a larger one links each class to the least.
-4. Verification counts the overlap of each fragment by itself and sums them per
-   pair. Each class is first checked against its least candidate; pairs that the
-   components then join need no check, all others get one. In gram groups over
-   SMALL whose members are not yet one component, all pairs across components
-   are compared, in blocks of bounded size.
+4. Pairs whose sizes or parities (SIGNATURE bits that count the grams at a place modulo
+   2) rule them out go. Verification counts the overlap of each fragment by itself
+   and sums them per pair. Each class is first checked against its least candidate;
+   pairs that the components then join need no check, all others get one. In gram
+   groups over SMALL whose members are not one component by then, the members
+   outside the group's largest component are compared with all members, in
+   blocks of bounded size.
 
 Hashes have 48 bits; overlaps are wrong only where different grams of two
 compared documents collide. Null texts and texts without words have an empty
@@ -53,6 +55,7 @@ SMALL, BLOCK = 8, 256
 FLUSH = 3_000_000
 CHUNK = 3_000_000
 SIGNATURE = 1024
+MARKS = 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -202,11 +205,11 @@ def gram_order(docs: DataFrame, ranges: int, n: int = NGRAM) -> Order:
     return Order(bitmap, top["gram"].to_numpy(np.uint64), (2 + np.log2(np.maximum(top["df"].to_numpy(np.float64), 1) / HEAVY_DF)).astype(np.uint64))
 
 
-def signature(keys: np.ndarray) -> bytes:
+def signature(keys: np.ndarray) -> np.ndarray:
     """Parities of the grams by place: two sets differ in at least as many grams
     as their signatures in bits."""
     bits = np.bincount((_mix(keys) % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def document_sets(docs: DataFrame, order: Order, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -244,11 +247,11 @@ def document_sets(docs: DataFrame, order: Order, n: int = NGRAM, percent: int =
                         parity.append(signature(own & mask))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a : a + len(texts)], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
-                     pa.array(parts, pa.list_(pa.list_(pa.int64()))), pa.array(parity, pa.binary())],
+                     pa.array(parts, pa.list_(pa.list_(pa.int64()))), pa.array(parity, pa.list_(pa.int64()))],
                     names=["doc_id", "n", "digest", "prefix", "parts", "parity"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, parts array<array<long>>, parity binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, parts array<array<long>>, parity array<long>")
 
 
 def _fits(na, nb, percent: int = PERCENT):
@@ -318,6 +321,19 @@ def candidates(reps: DataFrame, ranges: int, percent: int = PERCENT) -> DataFram
     return sent.groupBy("r").applyInPandas(join, "gram long, a long, b long")
 
 
+def sets_of(pairs: DataFrame, table: DataFrame, reps: DataFrame | None) -> DataFrame:
+    """Sets of the ids in pairs -> doc_id, n, fragment, grams. Rows of other ids go before
+    any shuffle, by a broadcast of at most MARKS marks of the wanted ids; what
+    passes by chance goes in the joins. reps: who stands for an id, if ids repeat."""
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    marks = pairs.select(mark("a").alias("mark")).union(pairs.select(mark("b").alias("mark"))).distinct()
+    s = table.where("parts is not null").select("doc_id", "n", "digest", "parts")
+    s = s.withColumn("mark", mark("doc_id")).join(F.broadcast(written(marks, "marks")), "mark", "left_semi")
+    if reps is not None:
+        s = s.join(reps.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    return s.select("doc_id", "n", F.posexplode("parts").alias("fragment", "grams")).where("size(grams) > 0")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) -> those whose overlap, summed over the fragments, is enough. sets: (doc_id,
     n, fragment, grams), a row for each fragment of each set."""
@@ -329,37 +345,45 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return total.where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) -> those that sizes and parities allow. sets: (doc_id, n, parity)."""
+    x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
+
+
 def block_pairs(rows: DataFrame, compare, carried: str) -> DataFrame:
-    """(gram, doc_id, n, component_id, carried) of key groups -> (a, b), what
-    compare(left, right, same block) gives for each two blocks of a group."""
-    sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    r = rows.select("gram", "doc_id", "n", "component_id", carried).join(sizes, "gram")
-    r = r.withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    r = r.withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
+    """(gram, doc_id, n, component_id, stray, carried) of key groups -> (a, b), what
+    compare(strays, members) gives for each block of a group's strays and each
+    block of its members. No task holds more than two blocks of a group."""
+    r = rows.select("gram", "doc_id", "n", "component_id", "stray", carried)
+    sizes = r.groupBy("gram").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("xs"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"))
+    r = r.join(written(sizes, "blocks"), "gram")
+    at = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    left = r.where("stray").withColumn("x", at("xs")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("side", F.lit(0))
+    right = r.withColumn("y", at("ys")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1))).withColumn("side", F.lit(1))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        left, right = pdf[pdf["i"] == x], pdf[pdf["i"] == y]
-        found = compare(left, right, x == y) if len(left) and len(right) else []
+        sides = [pdf[pdf["side"] == k] for k in (0, 1)]
+        found = compare(*sides, False) if len(sides[0]) and len(sides[1]) else []
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
-    return r.groupBy("gram", "x", "y").applyInPandas(each, "a long, b long").distinct()
+    return left.unionByName(right).drop("xs", "ys").groupBy("gram", "x", "y").applyInPandas(each, "a long, b long").distinct()
 
 
 def _across(percent: int):
     """Pairs across components that sizes and parities allow."""
 
     def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[int, int]]:
-        bits = [np.stack([np.frombuffer(v, dtype=np.uint64) for v in d["parity"]]) for d in (left, right)]
+        bits = [np.stack([np.asarray(v, dtype=np.int64) for v in d["parity"]]).view(np.uint64) for d in (left, right)]
         comp, ids, n = (right[c].to_numpy() for c in ("component_id", "doc_id", "n"))
         out = []
         for k, (doc, size, own) in enumerate(zip(left["doc_id"], left["n"], left["component_id"], strict=True)):
             differ = np.bitwise_count(bits[1] ^ bits[0][k]).sum(axis=1)
             # Jaccard j: the sets differ in (1 - j) / (1 + j) of the sum of their sizes at most.
             ok = (comp != own) & _fits(n, size, percent) & ((100 + percent) * differ <= (100 - percent) * (n + size))
-            if same:
-                ok &= ids > doc
             out += [(min(doc, o), max(doc, o)) for o in ids[ok].tolist()]
         return out
 
@@ -374,15 +398,16 @@ def ngram_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataF
     classes = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     classes = written(classes, "classes")
     kept = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("digest").alias("d"))
-    reps = table.where("prefix is not null").join(kept, "doc_id").where("digest = d")
-    reps = written(reps.dropDuplicates(["doc_id"]).drop("d", "digest"), "reps")
+    reps = table.where("prefix is not null").select("doc_id", "n", "digest", "prefix", "parity").join(kept, "doc_id").where("digest = d")
+    reps = written(reps.dropDuplicates(["doc_id"]).drop("d"), "reps")
+    repeated = not table.groupBy("doc_id").count().where("count > 1").isEmpty()
     found = written(candidates(reps, ranges, percent), "candidates")
-    sets = reps.select("doc_id", "n", F.posexplode("parts").alias("fragment", "grams")).where("size(grams) > 0")
-    parity = reps.select("doc_id", "parity")
+    parity = reps.select("doc_id", "n", "parity")
     comps = resolve(
         found,
-        lambda pairs: verified(pairs, sets, percent),
-        lambda groups: block_pairs(groups.join(parity, "doc_id"), _across(percent), "parity"),
+        lambda pairs: verified(pairs, sets_of(pairs, table, reps if repeated else None), percent),
+        lambda groups: block_pairs(groups.join(parity.drop("n"), "doc_id"), _across(percent), "parity"),
+        lambda pairs: plausible(pairs, parity, percent),
     )
     dropped(found)
     ends = classes.join(comps, classes["rep"] == comps["id"], "left").where("rows > 1 or id is not null")
