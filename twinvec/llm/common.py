@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,51 +33,85 @@ def prefix_sums(lens: Column, block: int = 256) -> Column:
     )
 
 
+#: Links that a task holds while it contracts them.
+HELD = 2_000_000
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index that links reach, of each of n."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        live = a != b
+        if not live.any():
+            return root
+        i, j = i[live], j[live]
+        np.minimum.at(root, np.maximum(a, b)[live], np.minimum(a, b)[live])
+        while ((above := root[root]) != root).any():
+            root = above
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v) -> fewer edges of the same components: each task links what its own
+    rows connect to the least id among it, HELD rows at a time."""
+
+    def star(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        root = roots(len(ids), at[: len(u)], at[len(u) :])
+        some = root != np.arange(len(ids))
+        return ids[some], ids[root[some]]
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+            size += len(held[-1][0])
+            if size >= HELD:
+                u, v = star(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [(u, v)], len(u)
+                if size >= HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    held, size = [], 0
+        if size:
+            u, v = star(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(a, b) links between ids -> (id, component_id), component_id the smallest
     id reachable. Only ids with a link appear. Self-links and repeats are ignored.
 
-    Alternating large-star and small-star rounds: every round is a few
-    shuffles on ids, whatever the size of a component; its state is a
-    written table.
+    Tasks contract the links they hold, then large-star and small-star rounds
+    alternate until all edges form stars: every round is a few shuffles on ids,
+    whatever the size of a component; its state is a written table.
     """
-    edges = links.select(
-        F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")
-    ).where("u <> v").distinct()
-    edges = written(edges, "edges")
-    first, seen = edges, None
+    edges = links.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")).where("u <> v")
+    edges = written(contracted(edges), "edges")
     for _ in range(max_rounds):
+        # Stars: every end has one centre, and no centre is an end.
+        none = F.lit(None).cast("long")
+        sides = edges.select(F.col("u").alias("n"), "v", F.lit(0).alias("centre")).union(edges.select(F.col("v").alias("n"), none, F.lit(1)))
+        state = sides.groupBy("n").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("centre").alias("centre"))
+        if state.where("lo <> hi or (lo is not null and centre = 1)").isEmpty():
+            break
         # Large star: each node's larger neighbours go to its smallest neighbour.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star")
-        large = (
-            edges.select(F.col("v").alias("n"), F.col("u").alias("x"))
-            .join(least.withColumnRenamed("u", "n"), "n")
-            .select(F.col("x").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
-        )
-        large = written(large, "large")
+        least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = edges.select(F.col("v").alias("n"), F.col("u").alias("x")).join(least, "n")
+        large = written(large.select(F.col("x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # Small star: each node's smaller neighbours go to the smallest of them.
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct()
-        )
-        new = written(small, "edges")
-        state = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        for t in (least, large, low, edges if edges is not first else None):
-            dropped(t)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        new = written(contracted(small.where("u <> v").distinct()), "edges")
+        dropped(large)
+        dropped(edges)
         edges = new
-        if state == seen:
-            break
-        seen = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    dropped(first)
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
-    )
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(edges.select("v", "v")).distinct()
 
 
 def resolve(found: DataFrame, verify, across, screen=None) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinvec.llm.common import components, written
+from twinvec.llm.common import components, roots, written
 
 THRESHOLD = 0.93
 CELL, LEAF = 2048, 48
@@ -144,21 +144,6 @@ def dual_links(s: CoverTree, t: CoverTree, same: bool, threshold: float):
     return count_s, count_t, np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index that links reach, of each of n."""
-    root = np.arange(n)
-    while len(i):
-        m = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, m)
-        np.minimum.at(new, j, m)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
 def _matrix(col: pd.Series) -> np.ndarray:
     x = np.stack([np.asarray(v, dtype=np.float64) for v in col])
     return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
