@@ -37,6 +37,20 @@ def test_text_surges_without_an_article():
     assert html_text.main_text(f"<body>{menu}{body}{menu}</body>") == want
 
 
+WRAPPED = {
+    "<div class='layout has-sidebar'><article><p>x</p></article></div><div class='sidebar'>s</div>": "x",
+    "<div class='sidebar'><article><p>all of the text</p></article></div>": "all of the text",
+    "<article><p>a</p><section id='discussion'><h2 id='social-impact'>b</h2><p>c</p></section><section id='related-work'><p>d</p></section></article>": "a\n\nb\n\nc\n\nd",
+    "<article><p>a</p><h2 id='search-algorithms'>b</h2><div class='notice'>c</div><div class='sidebar'>d</div></article>": "a\n\nb\n\nc",
+    "<article><p style='overflow: hidden'>a</p><p style=\"visibility: hidden\">b</p><p title='the hidden valley'>c</p><p hidden>d</p></article>": "a\n\nb\n\nc",
+}
+
+
+@pytest.mark.parametrize("page", list(WRAPPED))
+def test_names_and_values_that_only_look_like_boilerplate(page):
+    assert html_text.main_text(page) == WRAPPED[page]
+
+
 def test_html_query(spark, sf):
     got = queries.op1_html_text(spark, sf).collect()
     pages = {r.page_id: r.html for r in queries.table(spark, sf, "pages").collect()}

@@ -2,8 +2,9 @@
 
 Markup is stripped into lines, one a block element. A line's weight is its text
 length, less the text of links; lines inside menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, known by their element, role or
-class names, weigh nothing. Sums over WINDOW neighbouring lines form the
+adverts, forms and reader comments, known by their element, role, class or id,
+weigh nothing. A name counts if all its parts do or say nothing, and an element
+with most of the text is not judged by its names. Sums over WINDOW neighbouring lines form the
 distribution. A region begins where the sum surges over the threshold at a line
 with text and ends where it dives back; lines of kept regions that are not
 boilerplate are the text. If the page marks its article (<article>, <main>),
@@ -44,30 +45,54 @@ NAMES = frozenset(
 HEAD_NAMES = frozenset(("header", "head"))
 COMMENTS = frozenset("comment comments reply replies respond disqus discussion teaser related".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Names that leave no doubt, and words that make no subject of what they stand beside.
+SURE = NAMES - frozenset(
+    """promotion navigation menu consent notice notices alert subscribe subscription signup login share sharing social related recommended
+    recommendations teaser reply replies respond discussion widget form search skip banner sponsored overlay""".split()
+)
+TOPICS = frozenset("adverts advertisement advertising sponsor advert comment cookie cookies newsletter pagination breadcrumb aside".split())
+PLAIN = frozenset("box wrap wrapper container inner outer bar block area panel list item items unit slot content body top bottom left right main primary secondary site page global".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Attributes one by one, values consumed.
+_ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def _boilerplate(name: str, attrs: str, in_main: bool) -> bool:
-    if name in ("html", "body"):
+def _named(token: str, is_id: bool) -> bool:
+    """Whether a class or id name says boilerplate: all its parts do or say nothing, and one does for sure."""
+    parts = [x for x in _PARTS.split(token) if x]
+    if not all(x in NAMES or x in PLAIN for x in parts):
         return False
+    return any(x in SURE for x in parts) and not (is_id and len(parts) == 1 and parts[0] in TOPICS)
+
+
+def _boilerplate(name: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate by what it is, by its names, and of these by
+    names of reader comments."""
+    if name in ("html", "body"):
+        return False, False, False
     if name in SKIP or (name == "header" and not in_main):
-        return True
+        return True, False, False
     if not attrs:
-        return False
-    names: set[str] = set()
+        return False, False, False
+    by_name = comments = False
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
         if key == "role":
             if value.strip() in ROLES:
-                return True
-        elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        elif key in ("class", "id"):
-            names.update(_PARTS.split(value))
-    if name in MAIN:
-        return bool(names & COMMENTS)
-    return bool(names & NAMES) or (not in_main and bool(names & HEAD_NAMES))
+                return True, False, False
+        elif key == "hidden" or (key == "aria-hidden" and value.strip() == "true"):
+            return True, False, False
+        elif key in ("class", "id") and name not in HEADINGS:
+            for token in value.split():
+                parts = set(_PARTS.split(token))
+                if name in MAIN:
+                    says = bool(parts & COMMENTS) and parts - {""} <= COMMENTS | PLAIN
+                else:
+                    says = _named(token, key == "id") or (not in_main and token in HEAD_NAMES)
+                by_name |= says
+                comments |= says and bool(parts & COMMENTS)
+    return False, by_name, comments
 
 
 def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
@@ -75,9 +100,11 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
     whether the page marks its main part)."""
     out: list[tuple[str, int, bool, bool]] = []
     buf: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
+    stack: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, main, place in named
+    named: list[list] = []  # first line, end, of comments: elements that are boilerplate by their names
+    mains: list[list] = []  # first line, end, boilerplate of each main part
+    open_mains: list[int] = []
     bad = inside = links = anchors = 0
-    marked = False
     pos, n = 0, len(page)
 
     def flush() -> None:
@@ -92,8 +119,12 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
     def close(k: int) -> None:
         nonlocal bad, inside
         while len(stack) > k:
-            _, b, m = stack.pop()
+            _, b, m, w = stack.pop()
             bad, inside = bad - b, inside - m
+            if m:
+                mains[open_mains.pop()][1] = len(out)
+            if w >= 0:
+                named[w][1] = len(out)
 
     while pos < n:
         at = page.find("<", pos)
@@ -161,20 +192,49 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         if name in VOID or attrs.endswith("/"):
             continue
         if name in INLINE:
-            if _ATTR.search(attrs) and _boilerplate(name, attrs, inside > 0):
-                stack.append(("#" + name, False, False))  # inline boilerplate is too rare to cut a line for
-                stack.pop()
-            continue
+            continue  # inline boilerplate is too rare to cut a line for
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)  # its end tag may be left out
-        bp = _boilerplate(name, attrs, inside > 0)
-        is_main = name in MAIN and not bp
-        if is_main and not bad:
-            marked = True
-        stack.append((name, bp, is_main))
+        bp, by_name, comments = _boilerplate(name, attrs, inside > 0)
+        is_main = name in MAIN and not (bp or by_name)
+        if is_main:
+            open_mains.append(len(mains))
+            mains.append([len(out), 0, bad > 0])
+        stack.append((name, bp, is_main, len(named) if by_name else -1))
+        if by_name:
+            named.append([len(out), 0, comments])
         bad, inside = bad + bp, inside + is_main
     flush()
-    return out, marked
+    close(0)
+    return _judged(out, named, mains)
+
+
+def _judged(out: list, named: list, mains: list) -> tuple[list[tuple[str, int, bool, bool]], bool]:
+    """Lines of elements named as boilerplate become it, but for those of an element
+    with most of the text (one named for comments: and with a main part)."""
+    size = [0]
+    for t, _, bp, _ in out:
+        size.append(size[-1] + (0 if bp else len(t)))
+    waiting = list(named)
+    while True:
+        cover = [0] * (len(out) + 1)
+        for a, b, _ in waiting:
+            cover[a] += 1
+            cover[b] -= 1
+        depth, free, hidden = 0, 0, []
+        for i, (t, _, bp, _) in enumerate(out):
+            depth += cover[i]
+            hidden.append(bp or depth > 0)
+            free += 0 if hidden[-1] else len(t)
+        shown = any(a < b and not bad and not hidden[a] for a, b, bad in mains)
+        for w in waiting:
+            a, b, comments = w
+            has_main = not shown and any(a <= x and y <= b and x < y and not bad for x, y, bad in mains)
+            if size[b] - size[a] > free and (has_main or (not comments and size[b] - size[a] > SURGE)):
+                waiting.remove(w)  # and once more, with its lines
+                break
+        else:
+            return [(t, n, h, m) for (t, n, _, m), h in zip(out, hidden, strict=True)], shown
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
