@@ -114,6 +114,16 @@ def test_scripts_narrow_candidates(spark):
     assert not m.scripts[2][m.langs.index("en")] and m.scripts[2][m.langs.index("ru")]
 
 
+def test_bilingual_texts_keep_their_certainty(spark, sf, model):
+    d = queries.table(spark, sf, "documents").where("length(text) > 300").select("lang", "text").collect()
+    by: dict = {}
+    for r in d:
+        by.setdefault(r.lang, []).append(r.text[:300])
+    mixed = [(i, x + " " + y) for a in by for b in by if a != b for i, (x, y) in enumerate(zip(by[a][:8], by[b][:8], strict=False))]
+    got = lang_id.predict(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()
+    assert len(got) > 20 and all(r.score > 0.3 for r in got)
+
+
 # Packing
 
 

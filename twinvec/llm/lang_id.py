@@ -9,7 +9,7 @@ size depends on the number of languages alone. Prediction reads whole texts.
 A word is a run of letters and marks. A word in a script that no learned
 language uses scores nothing. The label of a text is the language of most
 letters; its score is that share, times the certainty that the language beats
-the next one over the whole text. Null texts and texts without a letter, and
+the next one within each of its spans, by letters. Null texts and texts without a letter, and
 all texts if nothing was learned, give `und` with score 0; ties go to the first
 language in code point order. Rows are judged one by one: repeated rows keep a
 row each, empty tables give empty results, other columns pass through.
@@ -151,8 +151,10 @@ def _viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def spans(texts: list[str], model: Model, penalty: float = PENALTY):
-    """For each text: (letters of each language under the best path, scores of
-    the whole text by language, labels of its words), or None without a letter."""
+    """For each text: (letters of each language under the best path, those letters
+    weighted by the certainty of their spans, labels of its words), or None without
+    a letter. A span is a run of words of one label; its certainty is the logistic
+    of the label's lead over the next language within the span."""
     out = []
     k = len(model.langs)
     for a, b in _chunks(texts):
@@ -175,7 +177,15 @@ def spans(texts: list[str], model: Model, penalty: float = PENALTY):
                 out.append(None)
                 continue
             path = _viterbi(scores[x:y], penalty)
-            out.append((np.bincount(path, weights=length[x:y] * some[x:y], minlength=k), scores[x:y].sum(axis=0, dtype=np.float64), path))
+            letters = length[x:y] * some[x:y]
+            head = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+            total = np.add.reduceat(scores[x:y], head, axis=0, dtype=np.float64)
+            label, row = path[head], np.arange(len(head))
+            lead = total[row, label].copy()
+            total[row, label] = -np.inf
+            lead = lead - total.max(axis=1) if k > 1 else np.full(len(head), 50.0)
+            sure = np.add.reduceat(letters, head) / (1.0 + np.exp(-np.clip(lead, -50, 50)))
+            out.append((np.bincount(path, weights=letters, minlength=k), np.bincount(label, weights=sure, minlength=k), path))
     return out
 
 
@@ -194,12 +204,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                 names.append(UND)
                 scores.append(0.0)
                 continue
-            chars, total, _ = got
+            chars, sure, _ = got
             i = int(chars.argmax())
-            rest = np.delete(total, i)
-            lead = total[i] - rest.max() if len(rest) else 50.0
             names.append(m.langs[i])
-            scores.append(float(chars[i] / chars.sum() / (1.0 + np.exp(-np.clip(lead, -50, 50)))))
+            scores.append(float(sure[i] / chars.sum()))
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     out = docs.withColumn("__lang", label(F.col(text)))
