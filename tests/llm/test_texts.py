@@ -51,6 +51,18 @@ def test_names_and_values_that_only_look_like_boilerplate(page):
     assert html_text.main_text(page) == WRAPPED[page]
 
 
+def test_unmarked_pages_keep_closing_sections_and_linked_paragraphs():
+    long = [f"{'word ' * 100}{i}" for i in range(10)]
+    advert = "".join(f"<div class='ad'>buy {i}</div>" for i in range(3))
+    linked = f"<a href='/'>{'link ' * 20}</a>end"
+    page = "".join(f"<p>{x}</p>" for x in [*long[:5], linked, *long[5:]]) + advert + f"<p>{'close ' * 66}end</p>"
+    want = [*long[:5], f"{'link ' * 20}end", *long[5:], f"{'close ' * 66}end"]
+    assert html_text.main_text(f"<body>{page}</body>") == "\n\n".join(want)
+    menu = "".join(f"<div><a href='/{i}'>{i}</a></div>" for i in range(12))
+    far = f"<body><p>{long[0]}</p><p>{long[1]}</p>{menu}<p>{'close ' * 20}end</p></body>"
+    assert html_text.main_text(far) == "\n\n".join([*long[:2], f"{'close ' * 20}end"])
+
+
 def test_html_query(spark, sf):
     got = queries.op1_html_text(spark, sf).collect()
     pages = {r.page_id: r.html for r in queries.table(spark, sf, "pages").collect()}

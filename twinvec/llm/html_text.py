@@ -3,13 +3,12 @@
 Markup is stripped into lines, one a block element. A line's weight is its text
 length, less the text of links; lines inside menus, headers, footers, sidebars,
 adverts, forms and reader comments, known by their element, role, class or id,
-weigh nothing. A name counts if all its parts do or say nothing, and an element
+are left out first, so that they part no region. A name counts if all its parts do or say nothing, and an element
 with most of the text is not judged by its names. Sums over WINDOW neighbouring lines form the
 distribution. A region begins where the sum surges over the threshold at a line
-with text and ends where it dives back; lines of kept regions that are not
-boilerplate are the text. If the page marks its article (<article>, <main>),
-lines outside it weigh nothing and the threshold is 0; else it is `surge`, and
-regions with under a quarter of the largest region's weight go.
+with text and ends where it dives back, less lines without weight at its ends;
+the lines of all regions are the text. If the page marks its article (<article>, <main>),
+lines outside it are left out too and the threshold is 0; else it is `surge`.
 
 Null html gives an empty text, as does a page without content. Pages are judged
 one by one, whole: repeated rows, ties, extra columns and empty tables need no
@@ -243,7 +242,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     found, marked = lines(page)
     if not found:
         return ""
-    weight = [0 if bp or (marked and not ins) else max(0, len(t) if marked else len(t) - 2 * a) for t, a, bp, ins in found]
+    found = [x for x in found if not x[2] and (x[3] or not marked)]
+    weight = [max(0, len(t) if marked else len(t) - 2 * a) for t, a, _, _ in found]
     threshold = 0 if marked else surge
     n, half = len(weight), window // 2
     prefix = [0]
@@ -262,9 +262,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         regions.append((start, n))
     if not regions and any(weight):  # too short a page to surge: the whole is the region
         regions = [(0, n)]
-    mass = [prefix[b] - prefix[a] for a, b in regions]
-    least = 0 if marked else max(mass, default=0) / 4
-    keep = [found[i][0] for (a, b), m in zip(regions, mass, strict=True) if m >= least for i in range(a, b) if weight[i]]
+    keep = []
+    for a, b in regions:
+        some = [i for i in range(a, b) if weight[i]]
+        keep += [t for t, _, _, _ in found[some[0] : some[-1] + 1]]
     return "\n\n".join(keep)
 
 
