@@ -54,6 +54,46 @@ def test_ngram_empty_and_repeated(spark):
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
+def by_row(spark, rows, n=4, percent=85):
+    """Rows under repeated and null ids against brute force over row numbers."""
+    want = brute.ngram_join([(i, t) for i, (_, t) in enumerate(rows)], n, percent)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        c = want[i][1]
+        least[c] = k if least.get(c) is None else least[c] if k is None else min(k, least[c])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in ngram_join.ngram_join(df, n, percent).collect()]
+    key = lambda r: str(r)
+    assert sorted(got, key=key) == sorted([(k, want[i][0], least[want[i][1]]) for i, (k, _) in enumerate(rows)], key=key)
+    kept = ngram_join.near_duplicates(df.withColumn("row", df["doc_id"]).withColumn("uid", df["text"]).withColumn("digest", df["doc_id"]), n, percent)
+    assert kept.columns == ["doc_id", "text", "row", "uid", "digest"]
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    groups = {}
+    for i, (k, t) in enumerate(rows):
+        groups.setdefault(want[i][1], []).append((k is None, k or 0, t))
+    assert len(kept) == len(groups)
+    for g in groups.values():
+        none, k, _ = min(g, key=lambda x: x[:2])
+        assert any((None if none else k, t) in kept for a, b, t in g if (a, b) == (none, k))
+
+
+def test_ngram_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(24)]
+    a, b = " ".join(words), " ".join(words[::-1])
+    by_row(spark, [(1, a), (1, b), (2, b + " x"), (3, a + " y"), (None, a + " z"), (None, "p q r s t u v"), (None, "p q r s t u v"), (4, None), (4, ""), (5, "c d e f")])
+    rng = random.Random(11)
+    by_row(spark, [(None if rng.random() < 0.1 else rng.randrange(40), t) for _, t in family(rng, [])])
+
+
+def test_ngram_hot_grams_meet_in_the_sender(spark, monkeypatch):
+    for name, v in (("SMALL", 2), ("FLUSH", 300), ("BLOCK", 4), ("CHECKED", 2), ("RANGE_ROWS", 1)):
+        monkeypatch.setattr(ngram_join, name, v)
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(30)]
+    docs = [(i, " ".join(common + [f"u{i}x{j}" for j in range(rng.randint(0, 8))])) for i in range(120)]
+    check_grams(spark, docs + [(500 + i, f"{t} tail") for i, t in docs[:40]])
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5)]

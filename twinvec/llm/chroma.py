@@ -6,7 +6,7 @@ is summed into the twelve pitch classes, smoothed over time and scaled to length
 read off an integral image; each difference is cut into four levels, and the
 Gray codes make one packed 32-bit integer a frame.
 
-Keys, pairs of integers SPAN frames apart, make candidates as the grams of the
+Keys, the higher bits of the levels of three integers SPAN frames apart, make candidates as the grams of the
 n-gram join do, with frequent keys star-wise first and in blocks of bounded size
 where recordings are not connected yet. Two recordings are linked when
 the histogram of offsets at which their keys agree has a peak of MIN_VOTES or
@@ -14,9 +14,8 @@ more and, aligned there, they overlap in MIN_OVERLAP integers with a bit error
 rate of MAX_BER at most. Recordings with equal fingerprints are one class.
 
 Null, silent or short recordings have a fingerprint without integers or without
-keys, and no links but those of equal fingerprints. Repeated rows keep a row
-each. Of different recordings under one id the one of the least digest stands
-for the id. Empty tables give empty results; other columns are ignored.
+keys; without integers they link with nothing, without keys with equal fingerprints alone. Repeated rows and
+different recordings under one id keep a row each and link by themselves. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,55 +29,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinvec.llm import ngram_join
-from twinvec.llm.common import resolve, written
+from twinvec.llm.common import dropped, resolve, written
 
 FRAME_S, OVERLAP = 0.12, 4
 LOW_HZ, HIGH_HZ = 200.0, 3600.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 WIDTH = 16
 LEVEL = 0.06
-SPAN = 8
-MIN_VOTES, MIN_OVERLAP, MAX_BER = 4, 16, 0.15
+SPAN = 4
+MIN_VOTES, MIN_OVERLAP, MAX_BER = 2, 16, 0.15
 #: (kind, first pitch class, pitch classes, frames) of each filter, spread over the picture by rule.
 FILTERS = tuple((i % 6, (5 * i) % (13 - h), h, w) for i in range(16) for h, w in [((3, 4, 6, 12)[(i // 2) % 4], (8, 16, 12, 16)[i % 4])])
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """frames x 12, rows of length 1 (or 0 where silent)."""
+    """samples: a recording, or recordings of one length as rows -> (recordings x)
+    frames x 12, rows of length 1 (or 0 where silent)."""
     n = 1 << max(4, math.ceil(math.log2(rate * FRAME_S)))
     hop = n // OVERLAP
-    if len(samples) < n:
-        return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, n)[::hop]
+    outer = samples.shape[:-1]
+    if samples.shape[-1] < n:
+        return np.zeros((*outer, 0, 12))
+    frames = np.lib.stride_tricks.sliding_window_view(samples, n, axis=-1)[..., ::hop, :]
     window = np.hanning(n).astype(np.float32)
     hz = np.fft.rfftfreq(n, 1 / rate)
     used = np.flatnonzero((hz >= LOW_HZ) & (hz <= min(HIGH_HZ, rate / 2)))
-    to = np.zeros((len(used), 12))
+    lo, hi = used[0], used[-1] + 1
+    to = np.zeros((len(used), 12), np.float32)
     to[np.arange(len(used)), np.round(12 * np.log2(hz[used] / 440.0)).astype(int) % 12] = 1
-    parts = [np.abs(np.fft.rfft(frames[k : k + 2048] * window)[:, used]) ** 2 @ to for k in range(0, len(frames), 2048)]
-    c = np.concatenate(parts)
-    if len(c) < len(SMOOTH):
-        return np.zeros((0, 12))
-    c = sum(w * c[k : len(c) - len(SMOOTH) + 1 + k] for k, w in enumerate(SMOOTH))
-    norm = np.linalg.norm(c, axis=1, keepdims=True)
+    parts = []
+    for k in range(0, frames.shape[-2], 2048):
+        f = np.fft.rfft(frames[..., k : k + 2048, :] * window)[..., lo:hi]
+        parts.append((f.real**2 + f.imag**2) @ to)
+    c = np.concatenate(parts, axis=-2).astype(np.float64)
+    m = c.shape[-2] - len(SMOOTH) + 1
+    if m < 1:
+        return np.zeros((*outer, 0, 12))
+    c = sum(w * c[..., k : m + k, :] for k, w in enumerate(SMOOTH))
+    norm = np.linalg.norm(c, axis=-1, keepdims=True)
     return np.where(norm > 1e-6, c / np.maximum(norm, 1e-6), 0.0)
 
 
 def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Packed integers, one for each place of the window."""
+    """Packed integers, one for each place of the window. samples: a recording, or
+    recordings of one length as rows."""
     c = chroma(np.asarray(samples, dtype=np.float32), rate)
-    n = len(c) - WIDTH + 1
+    n = c.shape[-2] - WIDTH + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint32)
-    image = np.zeros((len(c) + 1, 13))
-    image[1:, 1:] = c.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+        return np.zeros((*c.shape[:-2], 0), dtype=np.uint32)
+    image = np.zeros((*c.shape[:-2], c.shape[-2] + 1, 13))
+    image[..., 1:, 1:] = c.cumsum(axis=-2).cumsum(axis=-1)
 
     def total(x0: int, x1: int, y0: int, y1: int) -> np.ndarray:
-        return image[at + x1, y1] - image[at + x0, y1] - image[at + x1, y0] + image[at + x0, y0]
+        return image[..., x1 : x1 + n, y1] - image[..., x0 : x0 + n, y1] - image[..., x1 : x1 + n, y0] + image[..., x0 : x0 + n, y0]
 
-    out = np.zeros(n, dtype=np.uint32)
+    out = np.zeros((*c.shape[:-2], n), dtype=np.uint32)
     for kind, y, h, w in FILTERS:
         area, every = total(0, w, y, y + h), w * h
         if kind == 0:  # a band against all classes
@@ -104,11 +110,34 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
     return out
 
 
+#: Samples that are transformed together.
+SLAB = 1 << 19
+
+
+def fingerprint_all(recordings: list[np.ndarray], rate: int) -> list[np.ndarray]:
+    """Fingerprints of many recordings; those of one length are computed together."""
+    out: list = [None] * len(recordings)
+    by: dict[int, list[int]] = {}
+    for i, x in enumerate(recordings):
+        by.setdefault(len(x), []).append(i)
+    for size, at in by.items():
+        step = max(1, SLAB // max(size, 1))
+        for k in range(0, len(at), step):
+            for i, f in zip(at[k : k + step], fingerprint(np.stack([recordings[i] for i in at[k : k + step]]), rate), strict=True):
+                out[i] = f
+    return out
+
+
+#: The higher bit of each filter's level, which noise flips least.
+HIGHER = np.uint32(0xAAAAAAAA)
+
+
 def keys(fp: np.ndarray) -> np.ndarray:
     """The key at each place, in 48 bits."""
-    if len(fp) <= SPAN:
+    if len(fp) <= 2 * SPAN:
         return np.zeros(0, dtype=np.uint64)
-    both = (fp[:-SPAN].astype(np.uint64) << np.uint64(32)) | fp[SPAN:].astype(np.uint64)
+    one, two, three = ((fp[k : len(fp) - 2 * SPAN + k] & HIGHER).astype(np.uint64) for k in (0, SPAN, 2 * SPAN))
+    both = ((one << np.uint64(32)) | (two >> np.uint64(1)) | one) + three * np.uint64(0x9E3779B97F4A7C15)
     return ngram_join._mix(both) >> np.uint64(16)
 
 
@@ -143,40 +172,44 @@ def pcm16(value: bytes) -> np.ndarray:
 
 
 def fingerprints(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=pcm16) -> DataFrame:
-    """(rec_id, column) -> rec_id, n, fp (little-endian 32-bit integers), digest, prefix
+    """(rec_id, column) -> uid (a row number), rec_id, n, fp (little-endian 32-bit integers), digest, prefix
     (the distinct keys, null without any). decode: a value -> samples."""
 
     def run(batches):
-        for pdf in batches:
-            fps = [fingerprint(decode(v), rate) if v is not None else np.zeros(0, np.uint32) for v in pdf[column]]
-            distinct = [np.unique(keys(f)).astype(np.int64) for f in fps]
-            yield pd.DataFrame(
-                {"rec_id": pdf["rec_id"], "n": [len(f) for f in fps], "fp": [f.astype("<u4").tobytes() for f in fps],
-                 "digest": [xxhash.xxh3_128_digest(f.tobytes()) if len(f) >= MIN_OVERLAP else None for f in fps],
-                 "prefix": [k if len(k) else None for k in distinct]}
-            )
-
-    df = recordings.select(F.col("rec_id").cast("long").alias("rec_id"), column)
-    return df.mapInPandas(run, "rec_id long, n long, fp binary, digest binary, prefix array<long>")
+        for whole in batches:
+            for k in range(0, len(whole), 256):
+                pdf = whole.iloc[k : k + 256]
+                none = np.zeros(0, np.float32)
+                fps = fingerprint_all([decode(v) if v is not None else none for v in pdf[column]], rate)
+                distinct = [np.unique(keys(f)).astype(np.int64) for f in fps]
+                yield pd.DataFrame(
+                    {"uid": pdf["uid"].to_numpy(), "rec_id": pdf["rec_id"].array, "n": [len(f) for f in fps], "fp": [f.astype("<u4").tobytes() for f in fps],
+                     "digest": [xxhash.xxh3_128_digest(f.tobytes()) if len(f) else None for f in fps],
+                     "prefix": [k if len(k) else None for k in distinct]}
+                )
+
+    # Ids go as text: pandas would make numbers with nulls inexact.
+    df = recordings.select(F.monotonically_increasing_id().alias("uid"), F.col("rec_id").cast("long").cast("string").alias("rec_id"), column)
+    out = df.mapInPandas(run, "uid long, rec_id string, n long, fp binary, digest binary, prefix array<long>")
+    return out.withColumn("rec_id", F.col("rec_id").cast("long"))
 
 
 def match(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=pcm16) -> DataFrame:
     """-> rec_id, n_frames, class_id (least id of an equal fingerprint), component_id
     (least id reachable by links), a row for each row."""
-    rows = recordings.count()
-    ranges = 1 << min(13, max(6, math.ceil(math.log2(max(1, rows / 4000)))))
     table = written(fingerprints(recordings, column, rate, decode), "fingerprints")
-    classes = written(table.where("digest is not null").groupBy("digest").agg(F.min("rec_id").alias("rep"), F.count("*").alias("rows")), "classes")
-    kept = classes.groupBy(F.col("rep").alias("rec_id")).agg(F.min("digest").alias("d"))
-    reps = table.where("prefix is not null").join(kept, "rec_id").where("digest = d").dropDuplicates(["rec_id"])
-    reps = written(reps.select(F.col("rec_id").alias("doc_id"), "n", "fp", "prefix"), "reps")
-    found = written(ngram_join.candidates(reps, ranges, percent=0), "candidates")
+    ranges = ngram_join.ranges_for(table.count())
+    reps = table.where("digest is not null").groupBy("digest").agg(
+        F.min("uid").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.min("rec_id").alias("least")
+    )
+    reps = written(reps, "classes")
+    found = written(ngram_join.candidates(reps.where("prefix is not null"), ranges, percent=0), "candidates")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([same_recording(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(a, b, strict=True)])
 
-    prints = reps.select("doc_id", "fp")
+    prints = reps.where("prefix is not null").select("doc_id", "fp")
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = prints.select(F.col("doc_id").alias("a"), F.col("fp").alias("fa"))
@@ -187,11 +220,14 @@ def match(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=
         return ngram_join.block_pairs(groups.join(prints, "doc_id"), _compare, "fp")
 
     comps = resolve(found, verify, across)
-    ends = classes.join(comps, classes["rep"] == comps["id"], "left").where("rows > 1 or id is not null")
-    ends = written(ends.select(F.col("digest").alias("d"), "rep", F.coalesce("component_id", "rep").alias("component_id")), "ends")
+    dropped(found)
+    ends = reps.select("digest", "rows", "least", "doc_id").join(comps, F.col("doc_id") == F.col("id"), "left").where("rows > 1 or id is not null")
+    ends = ends.select(F.col("digest").alias("d"), F.coalesce("component_id", "doc_id").alias("c"), "least")
+    first = ends.groupBy(F.col("c").alias("k")).agg(F.min("least").alias("component_id"))
+    ends = written(ends.join(first, F.col("c") == F.col("k")).select("d", "least", "component_id"), "ends")
     slim = table.select("rec_id", "n", "digest")
     out = slim.join(ends, slim["digest"] == ends["d"], "left")
-    return out.select("rec_id", F.col("n").alias("n_frames"), F.coalesce("rep", "rec_id").alias("class_id"), F.coalesce("component_id", "rec_id").alias("component_id"))
+    return out.select("rec_id", F.col("n").alias("n_frames"), F.coalesce("least", "rec_id").alias("class_id"), F.coalesce("component_id", "rec_id").alias("component_id"))
 
 
 def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[int, int]]:

@@ -80,15 +80,15 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(a, b) links between ids -> (id, component_id), component_id the smallest
-    id reachable. Only ids with a link appear. Self-links and repeats are ignored.
+def stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(a, b) links -> a written table (u, v): each id of a component, but the least,
+    with the least. Self-links and repeats are ignored.
 
     Tasks contract the links they hold, then large-star and small-star rounds
     alternate until all edges form stars: every round is a few shuffles on ids,
     whatever the size of a component; its state is a written table.
     """
-    edges = links.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")).where("u <> v")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     edges = written(contracted(edges), "edges")
     for _ in range(max_rounds):
         # Stars: every end has one centre, and no centre is an end.
@@ -96,7 +96,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         sides = edges.select(F.col("u").alias("n"), "v", F.lit(0).alias("centre")).union(edges.select(F.col("v").alias("n"), none, F.lit(1)))
         state = sides.groupBy("n").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("centre").alias("centre"))
         if state.where("lo <> hi or (lo is not null and centre = 1)").isEmpty():
-            break
+            return edges
         # Large star: each node's larger neighbours go to its smallest neighbour.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -109,17 +109,26 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         dropped(large)
         dropped(edges)
         edges = new
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(edges.select("v", "v")).distinct()
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def labels(star: DataFrame) -> DataFrame:
+    """A table of stars() -> (id, component_id), the centres among the ids."""
+    return star.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(star.select("v", "v")).distinct()
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+    """(a, b) links between ids -> (id, component_id), component_id the smallest
+    id reachable. Only ids with a link appear."""
+    return labels(stars(links.select(F.col(a).alias("a"), F.col(b).alias("b")), max_rounds))
 
 
 def resolve(found: DataFrame, verify, across, screen=None) -> DataFrame:
     """Components of a similarity join whose candidates come in key groups.
 
     found: rows (gram null, a, b) are pairs to check; rows (gram, a, b) say that id
-    a (of size b) is in the large group of key gram, of which only pairs with the
-    least member are among the pairs. screen(pairs) drops pairs that cannot be links;
+    a (of size b) is in the large group of key gram, of which only pairs with few
+    members are among the pairs. screen(pairs) drops pairs that cannot be links;
     verify(pairs (a, b)) keeps the links; across(groups (gram, doc_id, n, component_id,
     stray)) gives pairs of each stray, a member outside its group's largest
     component, with all members of other components. Each id is checked against
@@ -128,29 +137,35 @@ def resolve(found: DataFrame, verify, across, screen=None) -> DataFrame:
     """
     pairs = found.where("gram is null").select("a", "b").distinct()
     pairs = written(screen(pairs) if screen else pairs, "pairs")
-    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verify(least), "links")
-    comps = written(components(links), "components")
+    least = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
+    # Links are written before they are contracted: else a task holds the workers of both steps.
+    star = stars(written(verify(least), "links"))
 
     def labelled(df: DataFrame, key: str, to: str) -> DataFrame:
-        c = comps.select(F.col("id").alias("__id"), F.col("component_id").alias("__c"))
+        c = labels(star).select(F.col("id").alias("__id"), F.col("component_id").alias("__c"))
         return df.join(c, df[key] == F.col("__id"), "left").withColumn(to, F.coalesce("__c", key)).drop("__id", "__c")
 
+    def more(links: DataFrame) -> DataFrame:
+        new = stars(star.select(F.col("u").alias("a"), F.col("v").alias("b")).union(written(links, "links")))
+        dropped(star)
+        return new
+
     rest = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     rest = written(rest.join(least, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = written(links.union(verify(rest)), "links")
-        comps = written(components(links), "components")
-    large = labelled(found.where("gram is not null").select("gram", F.col("a").alias("doc_id"), F.col("b").alias("n")), "doc_id", "component_id")
+        star = more(verify(rest))
+    large = labelled(found.where("gram is not null").select("gram", F.col("a").alias("doc_id"), F.col("b").alias("n")).distinct(), "doc_id", "component_id")
     large = written(large, "groups")
     parts = large.groupBy("gram", "component_id").agg(F.count("*").alias("members"))
     main = parts.groupBy("gram").agg(F.max(F.struct("members", -F.col("component_id"))).alias("m"), F.count("*").alias("parts"))
     main = written(main.where("parts > 1").select("gram", (-F.col("m.col2")).alias("main")), "mixed")
+    tables = [pairs, least, rest, large, main]
     if not main.isEmpty():
         strays = large.join(main, "gram").withColumn("stray", F.col("component_id") != F.col("main")).drop("main")
-        more = written(across(strays).join(pairs, ["a", "b"], "left_anti"), "across")
-        if not more.isEmpty():
-            comps = written(components(links.union(verify(more))), "components")
-    for t in (pairs, large, main):
+        others = written(across(strays).join(pairs, ["a", "b"], "left_anti"), "across")
+        tables.append(others)
+        if not others.isEmpty():
+            star = more(verify(others))
+    for t in tables:
         dropped(t)
-    return comps
+    return labels(star)

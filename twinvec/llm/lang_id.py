@@ -78,7 +78,7 @@ def _words(texts: list[str]):
     return cps, start, end, owner, is_letter, (h >> np.uint32(16)).astype(np.int64)
 
 
-def _chunks(texts: list, most: int = 2_000_000):
+def _chunks(texts: list, most: int = 500_000):
     """Slices of about `most` characters; a longer text is a slice by itself."""
     a = size = 0
     for i, t in enumerate(texts):

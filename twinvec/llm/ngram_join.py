@@ -6,30 +6,35 @@ similarity t or more share a gram among the first n - ceil(t * n) + 1 of each,
 so only those prefixes make candidates; a prefix gram that no other document
 has is left out. Any order is right; frequencies only make candidates few.
 
-1. Counts. Each task sorts its gram hashes and sends them, as differences, to
-   ranges of the hash; a range counts in how many rows each stands. Counted are
+1. Counts. Each task counts its gram hashes and sends them, as differences with
+   their counts, to ranges of the hash; a range counts in how many rows each
+   stands. Counted are
    hashes in the lower REGION of their space: prefixes reach no further unless a
    document has few rare grams. Kept are a bitmap of fixed size (grams of two
    rows or more) and the HEAVY most frequent grams.
-2. Sets. The second pass writes per document its size and a digest of its set,
-   and, if its prefix holds a gram that others may have, the set itself, cut
-   into FRAGMENTS of the order. Rows of one digest are one class from here on.
-3. Candidates. Prefix grams go to ranges of the order as arrays. A gram of up to
+2. Sets. The second pass writes per row its size and a digest of its set,
+   and, if its prefix holds a gram that others may have, the prefix and the text.
+   Rows of one digest are one class from here on, known by its least row number.
+3. Candidates. Prefix grams go to ranges of the hash as arrays. A gram of up to
    SMALL classes gives their pairs, a larger one links each class to the least.
+   Tasks do so for the grams that are large among their own rows already and send
+   on one member of each, so that a range gets few rows of the most frequent gram.
 4. Pairs whose sizes or parities (SIGNATURE bits that count the grams at a place modulo
-   2) rule them out go. Verification counts the overlap of each fragment by itself
+   2) rule them out go. Verification sends each text once to a block of pairs, cuts
+   the sets into FRAGMENTS of the order, counts the overlap of each fragment by itself
    and sums them per pair. Each class is first checked against its least candidate;
    pairs that the components then join need no check, all others get one. In gram
    groups over SMALL whose members are not one component by then, the members
-   outside the group's largest component are compared with all members, in
-   blocks of bounded size.
+   outside the group's largest component are compared with all members of
+   sizes that fit, in blocks of bounded size.
 
+The number of ranges follows the rows, so a range stays as it is when data grow.
 Hashes have 48 bits; overlaps are wrong only where different grams of two
 compared documents collide. Null texts and texts without words have an empty
-set and no links. Repeated rows keep a row each. Of different texts under one id,
-the one of the least digest stands for the id; the others link with equal texts
-alone. Empty tables give empty results; other columns are
-ignored.
+set and no links. Repeated rows and different texts under one id keep a row each,
+and each links by its own text; a null id is no component's least id unless there is no
+other. Empty tables give empty results; other columns are ignored. docs is read
+twice and must give the same rows each time (a table does).
 """
 
 from __future__ import annotations
@@ -43,6 +48,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinvec.llm.common import dropped, resolve, written
 
@@ -52,8 +58,10 @@ KEY_BITS, FILTER_BITS = 34, 28
 REGION = 0.4
 HEAVY_DF, HEAVY = 32, 1 << 18
 SMALL, BLOCK = 8, 256
-FLUSH = 3_000_000
-CHUNK = 3_000_000
+FLUSH = 1_500_000
+CHUNK = 1_000_000
+#: Rows a range, about; candidates of one class that one block checks.
+RANGE_ROWS, CHECKED = 4000, 256
 SIGNATURE = 1024
 MARKS = 1 << 18
 
@@ -158,13 +166,12 @@ def gram_order(docs: DataFrame, ranges: int, n: int = NGRAM) -> Order:
         size = 0
 
         def flush():
-            h = np.sort(np.concatenate(held))
-            key = h >> np.uint64(BITS - KEY_BITS)
-            of = (key >> np.uint64(shift)).astype(np.int64)
-            cut = np.searchsorted(of, np.arange(ranges + 1))
-            rows = [(r, pack.compress(np.diff(key[a:b], prepend=np.uint64(r << shift)).astype(np.uint32).tobytes())) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+            key, times = np.unique(np.concatenate(held) >> np.uint64(BITS - KEY_BITS), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["r", "keys"])
+            r, cut = np.unique((key >> np.uint64(shift)).astype(np.int64), return_index=True)
+            gaps = [np.diff(key[a:b], prepend=np.uint64(k << shift)).astype(np.uint32) for k, a, b in zip(r.tolist(), cut, np.append(cut[1:], len(key)), strict=True)]
+            each = np.split(times.astype(np.uint32), cut[1:])
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int32())] + [pa.array([pack.compress(x.tobytes()) for x in col], pa.binary()) for col in (gaps, each)], names=["r", "keys", "times"])
 
         for batch in batches:
             for _, texts in _chunks(batch.column("text")):
@@ -183,7 +190,11 @@ def gram_order(docs: DataFrame, ranges: int, n: int = NGRAM) -> Order:
         open_ = zstandard.ZstdDecompressor()
         r = int(pdf["r"].iloc[0])
         keys = np.concatenate([np.cumsum(np.frombuffer(open_.decompress(x), dtype=np.uint32).astype(np.uint64)) for x in pdf["keys"]]) + np.uint64(r << shift)
-        key, df = np.unique(keys, return_counts=True)
+        times = np.concatenate([np.frombuffer(open_.decompress(x), dtype=np.uint32) for x in pdf["times"]])
+        rows = np.argsort(keys, kind="stable")
+        keys = keys[rows]
+        head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        key, df = keys[head], np.add.reduceat(times[rows].astype(np.int64), head)
         several = df > 1
         bits = np.zeros(width, dtype=np.uint8)
         bits[(key[several] >> np.uint64(KEY_BITS - FILTER_BITS)).astype(np.int64) - r * width] = 1
@@ -194,7 +205,7 @@ def gram_order(docs: DataFrame, ranges: int, n: int = NGRAM) -> Order:
              "df": np.concatenate(([0], df[often])), "bits": [np.packbits(bits, bitorder="little").tobytes()] + [None] * int(often.sum())}
         )
 
-    counted = docs.select("text").mapInArrow(send, "r int, keys binary").groupBy("r").applyInPandas(count, "r int, gram long, df long, bits binary")
+    counted = docs.select("text").mapInArrow(send, "r int, keys binary, times binary").groupBy("r").applyInPandas(count, "r int, gram long, df long, bits binary")
     counted = written(counted, "counts")
     bitmap = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
     for row in counted.where("r >= 0").select("r", "bits").toLocalIterator():
@@ -212,20 +223,20 @@ def signature(keys: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def document_sets(docs: DataFrame, order: Order, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text) -> doc_id, n, digest, prefix (grams that others may have, null
-    without any), parts (the set, a fragment an element), parity."""
-    shared = docs.sparkSession.sparkContext.broadcast((order.bitmap, order.heavy, order.heavy_class))
+def document_sets(docs: DataFrame, shared, n: int = NGRAM, percent: int = PERCENT, carry: bool = False) -> DataFrame:
+    """(doc_id, text) -> uid (a row number), doc_id, n, digest, prefix (grams that others
+    may have, null without any), parity and text (null without prefix), and with
+    `carry` row, a struct of all columns. shared: a broadcast Order."""
     mask = np.uint64((1 << BITS) - 1)
+    ends = [T.StructField(k, t) for k, t in (("n", T.LongType()), ("digest", T.BinaryType()), ("prefix", T.ArrayType(T.LongType())), ("parity", T.ArrayType(T.LongType())), ("text", T.StringType()))]
 
     def run(batches):
         o = Order(*shared.value)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             for a, texts in _chunks(batch.column("text")):
                 h, at = gram_sets(texts, n)
                 keys = o.keys(h)
-                sizes, digests, prefixes, parts, parity = [], [], [], [], []
+                sizes, digests, prefixes, parity = [], [], [], []
                 for i in range(len(texts)):
                     own = keys[at[i] : at[i + 1]]
                     sizes.append(len(own))
@@ -237,112 +248,160 @@ def document_sets(docs: DataFrame, order: Order, n: int = NGRAM, percent: int =
                         first = first[(first > mask) | (first >= LIMIT)]
                         shown = first.astype(np.int64) if len(first) else None
                     prefixes.append(shown)
-                    if shown is None:
-                        parts.append(None)
-                        parity.append(None)
-                    else:
-                        own = np.sort(own)
-                        cut = np.searchsorted(own, CUTS)
-                        parts.append([x.astype(np.int64) for x in np.split(own, cut)])
-                        parity.append(signature(own & mask))
+                    parity.append(None if shown is None else signature(own & mask))
+                part = batch.slice(a, len(texts))
+                kept = [t if p is not None else None for t, p in zip(texts, prefixes, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a : a + len(texts)], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
-                     pa.array(parts, pa.list_(pa.list_(pa.int64()))), pa.array(parity, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "digest", "prefix", "parts", "parity"],
+                    [part.column(c) for c in names[:-1]]
+                    + [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64())), pa.array(kept, pa.string())],
+                    names=[*names[:-1], *[f.name for f in ends]],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, parts array<array<long>>, parity array<long>")
+    columns = [F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id")]
+    if carry:
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    given = docs.select(*columns, F.col("text").cast("string").alias("text"))
+    names = given.columns
+    return given.mapInArrow(run, T.StructType([*given.schema.fields[:-1], *ends]))
 
 
 def _fits(na, nb, percent: int = PERCENT):
     return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
 
 
+def _grouped(gram: np.ndarray, doc: np.ndarray, n: np.ndarray):
+    """Rows by gram and id, once each: gram, id, size, the group's first row and its size, by row."""
+    rows = np.lexsort((doc, gram))
+    gram, doc, n = gram[rows], doc[rows], n[rows]
+    new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])))
+    gram, doc, n = gram[new], doc[new], n[new]
+    head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    size = np.diff(np.append(head, len(gram)))
+    return gram, doc, n, np.repeat(head, size), np.repeat(size, size)
+
+
 def candidates(reps: DataFrame, ranges: int, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, prefix) -> rows (a, b): pairs to check; rows with gram set: (a =
     member, b = its n) of gram groups over SMALL."""
+    few = np.int64(-1)  # the size that marks the one member sent on of a group that is large already
+
+    def stars_of(gram, doc, n, head, large):
+        """Pairs of the large groups' first members with the others, where sizes fit, and the members."""
+        b = np.flatnonzero(large & (head != np.arange(len(gram))))
+        ok = _fits(n[head[b]], n[b], percent)
+        return (doc[head[b][ok]], doc[b[ok]]), (gram[large], doc[large], n[large])
 
     def send(batches):
         held: list[tuple] = []
-        size = 0
+        size = salt = 0
 
         def flush():
-            key = np.concatenate([x[0] for x in held])
-            rest = [np.concatenate([x[j] for x in held]) for j in (1, 2)]
+            nonlocal salt
+            gram, doc, n, head, many = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
+            large = many > SMALL
+            (a, b), (g, d, own) = stars_of(gram, doc, n, head, large)
+            sent = ~large | (head == np.arange(len(gram)))
+            state = np.where(large, few, 0)
+            key, doc, n, state = gram[sent], doc[sent], n[sent], state[sent]
             # Ranges of the hash inside each class: no range holds the frequent grams alone.
-            of = ((key & ((1 << BITS) - 1)) * ranges) >> BITS if ranges <= 1 << 14 else (key & ((1 << BITS) - 1)) >> (BITS - int(math.log2(ranges)))
+            of = (key & ((1 << BITS) - 1)) >> (BITS - int(math.log2(ranges)))
             rows = np.argsort(of, kind="stable")
-            of = of[rows]
-            cut = np.searchsorted(of, np.arange(ranges + 1))
-            some = [(r, rows[a:b]) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-            cols = [pa.array([r for r, _ in some], pa.int32())] + [pa.array([x[i].tobytes() for _, i in some], pa.binary()) for x in (key, *rest)]
-            return pa.RecordBatch.from_arrays(cols, names=["r", "grams", "docs", "sizes"])
-
+            r, cut = np.unique(of[rows], return_index=True)
+            some = np.split(rows, cut[1:])
+            cols = [r.tolist()] + [[x[i].tobytes() for i in some] for x in (key, doc, n, state)]
+            for k in range(0, max(len(a), len(g)), 100_000):  # what is found here already, under spread keys
+                x = slice(k, k + 100_000)
+                salt += 1
+                for c, v in zip(cols, (-1 - salt % ranges, *(y[x].astype(np.int64).tobytes() for y in (a, b, g, d))), strict=True):
+                    c.append(v)
+                done.append(own[x].astype(np.int64).tobytes())
+            blank = [None] * (len(cols[0]) - len(done))
+            out = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in (*cols[1:], blank + done)], names=["r", "grams", "docs", "sizes", "states", "own"])
+            done.clear()
+            return out
+
+        done: list[bytes] = []
         for batch in batches:
             p = batch.column("prefix")
             count = np.diff(p.offsets.to_numpy())
             held.append((p.flatten().to_numpy().astype(np.int64), np.repeat(batch.column("doc_id").to_numpy().astype(np.int64), count), np.repeat(batch.column("n").to_numpy().astype(np.int64), count)))
             size += len(held[-1][0])
-            if size > FLUSH:
+            if size > FLUSH // 3:
                 yield flush()
                 size = 0
         if size:
             yield flush()
 
+    def rows_of(pairs, members) -> pd.DataFrame:
+        a, b = pairs
+        g, d, n = members
+        return pd.DataFrame(
+            {"gram": pd.array(np.concatenate((np.zeros(len(a), np.int64), g)), dtype="Int64").copy(), "a": np.concatenate((a, d)), "b": np.concatenate((b, n))}
+        ).assign(gram=lambda x: x["gram"].mask(np.arange(len(x)) < len(a)))
+
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        gram, doc, n = (np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf[c]]) for c in ("grams", "docs", "sizes"))
-        rows = np.lexsort((doc, gram))
-        gram, doc, n = gram[rows], doc[rows], n[rows]
-        new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])))
-        gram, doc, n = gram[new], doc[new], n[new]
-        head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        size = np.diff(np.append(head, len(gram)))
-        group = np.repeat(np.arange(len(head)), size)
-        at = np.arange(len(gram)) - head[group]
+        read = lambda c: np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf[c]])
+        if pdf["r"].iloc[0] < 0:  # found by the sender
+            return rows_of((read("grams"), read("docs")), (read("sizes"), read("states"), read("own")))
+        gram, doc, n, state = (read(c) for c in ("grams", "docs", "sizes", "states"))
+        known = np.unique(gram[state == few])
+        gram, doc, n, head, many = _grouped(gram, doc, n)
+        large = (many > SMALL) | np.isin(gram, known)
         left, right = [], []
+        at = np.arange(len(gram)) - head
         for gap in range(1, SMALL):  # pairs of the small groups, by distance
-            b = np.flatnonzero((size[group] <= SMALL) & (at >= gap))
+            b = np.flatnonzero(~large & (at >= gap))
             left.append(b - gap)
             right.append(b)
-        b = np.flatnonzero((size[group] > SMALL) & (at > 0))
-        left.append(head[group[b]])
-        right.append(b)
         a, b = np.concatenate(left), np.concatenate(right)
         ok = _fits(n[a], n[b], percent)
-        pairs = np.unique(np.stack((doc[a[ok]], doc[b[ok]]), axis=1), axis=0)
-        large = size[group] > SMALL
-        return pd.DataFrame(
-            {"gram": pd.array(np.concatenate((np.zeros(len(pairs), np.int64), gram[large])), dtype="Int64").copy(),
-             "a": np.concatenate((pairs[:, 0], doc[large])), "b": np.concatenate((pairs[:, 1], n[large]))}
-        ).assign(gram=lambda x: x["gram"].mask(np.arange(len(x)) < len(pairs)))
+        (x, y), members = stars_of(gram, doc, n, head, large)
+        pairs = np.unique(np.stack((np.concatenate((doc[a[ok]], x)), np.concatenate((doc[b[ok]], y))), axis=1), axis=0)
+        return rows_of((pairs[:, 0], pairs[:, 1]), members)
 
-    sent = reps.select("doc_id", "n", "prefix").mapInArrow(send, "r int, grams binary, docs binary, sizes binary")
+    sent = reps.select("doc_id", "n", "prefix").mapInArrow(send, "r int, grams binary, docs binary, sizes binary, states binary, own binary")
     return sent.groupBy("r").applyInPandas(join, "gram long, a long, b long")
 
 
-def sets_of(pairs: DataFrame, table: DataFrame, reps: DataFrame | None) -> DataFrame:
-    """Sets of the ids in pairs -> doc_id, n, fragment, grams. Rows of other ids go before
-    any shuffle, by a broadcast of at most MARKS marks of the wanted ids; what
-    passes by chance goes in the joins. reps: who stands for an id, if ids repeat."""
+def verified(pairs: DataFrame, table: DataFrame, shared, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """(a, b) -> those whose overlap, summed over the fragments of the order, is enough.
+    table: (uid, text); shared: a broadcast Order. Texts of other ids go before any
+    shuffle, by a broadcast of at most MARKS marks of the wanted ids; what passes by chance
+    goes in the joins. Each block of up to about CHECKED pairs of one a gets a's text once."""
     mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
-    marks = pairs.select(mark("a").alias("mark")).union(pairs.select(mark("b").alias("mark"))).distinct()
-    s = table.where("parts is not null").select("doc_id", "n", "digest", "parts")
-    s = s.withColumn("mark", mark("doc_id")).join(F.broadcast(written(marks, "marks")), "mark", "left_semi")
-    if reps is not None:
-        s = s.join(reps.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
-    return s.select("doc_id", "n", F.posexplode("parts").alias("fragment", "grams")).where("size(grams) > 0")
+    marks = written(pairs.select(mark("a").alias("mark")).union(pairs.select(mark("b").alias("mark"))).distinct(), "marks")
+    texts = table.where("text is not null").select(F.col("uid").alias("id"), "text").withColumn("mark", mark("id"))
+    texts = texts.join(F.broadcast(marks), "mark", "left_semi").drop("mark")
+    hot = pairs.groupBy("a").count().where(F.col("count") > CHECKED).withColumnRenamed("a", "h")
+    block = F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / CHECKED)), F.lit(0)).cast("int")
+    placed = pairs.join(hot, F.col("a") == F.col("h"), "left").select("a", "b", block.alias("block"))
+    # Merge joins at every size: neither side has a bound.
+    right = placed.hint("merge").join(texts, F.col("b") == F.col("id")).select("a", "block", F.lit(1).alias("side"), "b", "text")
+    left = placed.select("a", "block").distinct().hint("merge").join(texts, F.col("a") == F.col("id")).select("a", "block", F.lit(0), F.col("a"), "text")
 
+    def run(batches):
+        o = Order(*shared.value)
+        base, whose = np.zeros(0, np.uint64), None
+        for batch in batches:
+            a, block, side, b = (batch.column(c).to_numpy() for c in ("a", "block", "side", "b"))
+            for k, texts in _chunks(batch.column("text")):
+                h, at = gram_sets(texts, n)
+                keys = o.keys(h)
+                linked = []
+                for i in range(len(texts)):
+                    own, r = keys[at[i] : at[i + 1]], k + i
+                    if side[r] == 0:
+                        base, whose = np.sort(own), (a[r], block[r])
+                    elif whose == (a[r], block[r]) and len(base):
+                        hit = own[base[np.minimum(np.searchsorted(base, own), len(base) - 1)] == own]
+                        shares = np.bincount(np.searchsorted(CUTS, hit, side="right"), minlength=len(CUTS) + 1)
+                        if (100 + percent) * int(shares.sum()) >= percent * (len(base) + len(own)):
+                            linked.append(r)
+                yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], names=["a", "b"])
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) -> those whose overlap, summed over the fragments, is enough. sets: (doc_id,
-    n, fragment, grams), a row for each fragment of each set."""
-    x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("fragment").alias("fb"), F.col("grams").alias("gb"))
-    part = pairs.join(x, "a").join(y, (pairs["b"] == y["b"]) & (F.col("fragment") == F.col("fb")))
-    part = part.select("a", pairs["b"], "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("shared"))
-    total = part.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return total.where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    both = left.union(right).toDF("a", "block", "side", "b", "text")
+    return both.repartition("a", "block").sortWithinPartitions("a", "block", "side", "b").mapInArrow(run, "a long, b long")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -354,23 +413,30 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
-def block_pairs(rows: DataFrame, compare, carried: str) -> DataFrame:
+def block_pairs(rows: DataFrame, compare, carried: str, percent: int = 0) -> DataFrame:
     """(gram, doc_id, n, component_id, stray, carried) of key groups -> (a, b), what
     compare(strays, members) gives for each block of a group's strays and each
-    block of its members. No task holds more than two blocks of a group."""
-    r = rows.select("gram", "doc_id", "n", "component_id", "stray", carried)
-    sizes = r.groupBy("gram").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("xs"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"))
-    r = r.join(written(sizes, "blocks"), "gram")
+    block of its members whose sizes may fit. No task holds more than two blocks of a group."""
+    # Sizes that fit lie in neighbouring classes; at 0 percent all sizes fit.
+    near = 1 if percent else 0
+    cls = F.floor(F.log("n") / (math.log(100 / percent) + 1e-6)).cast("int") if percent else F.lit(0)
+    r = written(rows.select("gram", "doc_id", "n", "component_id", "stray", carried, cls.alias("k")), "across_rows")
+    sizes = r.groupBy("gram", "k").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("xs"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"))
+    sizes = written(sizes, "blocks").select(F.col("gram").alias("g"), F.col("k").alias("other"), "xs", "ys")
+    reach = r.withColumn("other", F.explode(F.sequence(F.col("k") - near, F.col("k") + near)))
+    reach = reach.join(sizes, (F.col("gram") == F.col("g")) & (reach["other"] == sizes["other"])).drop("g").drop(sizes["other"])
     at = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    left = r.where("stray").withColumn("x", at("xs")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("side", F.lit(0))
-    right = r.withColumn("y", at("ys")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1))).withColumn("side", F.lit(1))
+    mine = sizes.select(F.col("g"), F.col("other").alias("o"), F.col("xs").alias("mx"), F.col("ys").alias("my"))
+    reach = reach.join(mine, (F.col("gram") == F.col("g")) & (F.col("k") == F.col("o"))).drop("g", "o")
+    left = reach.where("stray and ys > 0").select("gram", F.col("k").alias("kx"), F.col("other").alias("ky"), at("mx").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(0).alias("side"), "doc_id", "n", "component_id", carried)
+    right = reach.where("xs > 0").select("gram", F.col("other").alias("kx"), F.col("k").alias("ky"), F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), at("my").alias("y"), F.lit(1).alias("side"), "doc_id", "n", "component_id", carried)
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [pdf[pdf["side"] == k] for k in (0, 1)]
         found = compare(*sides, False) if len(sides[0]) and len(sides[1]) else []
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
-    return left.unionByName(right).drop("xs", "ys").groupBy("gram", "x", "y").applyInPandas(each, "a long, b long").distinct()
+    return left.unionByName(right).groupBy("gram", "kx", "ky", "x", "y").applyInPandas(each, "a long, b long").distinct()
 
 
 def _across(percent: int):
@@ -390,28 +456,49 @@ def _across(percent: int):
     return compare
 
 
-def ngram_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id, a row for each row."""
-    rows = docs.count()
-    ranges = 1 << min(13, max(6, math.ceil(math.log2(max(1, rows / 4000)))))
-    table = written(document_sets(docs, gram_order(docs, ranges, n), n, percent), "sets")
-    classes = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    classes = written(classes, "classes")
-    kept = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("digest").alias("d"))
-    reps = table.where("prefix is not null").select("doc_id", "n", "digest", "prefix", "parity").join(kept, "doc_id").where("digest = d")
-    reps = written(reps.dropDuplicates(["doc_id"]).drop("d"), "reps")
-    repeated = not table.groupBy("doc_id").count().where("count > 1").isEmpty()
-    found = written(candidates(reps, ranges, percent), "candidates")
-    parity = reps.select("doc_id", "n", "parity")
+def ranges_for(rows: int) -> int:
+    """A power of 2, as many as hashes can tell apart at most (1.3e11 rows)."""
+    return 1 << min(KEY_BITS - 9, max(6, math.ceil(math.log2(max(1, rows / RANGE_ROWS)))))
+
+
+def _joined(docs: DataFrame, n: int, percent: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """-> the rows (of document_sets), and (d, best) for each digest d of several rows or
+    with links: best, (no id, id, uid) of the first row of its component."""
+    ranges = ranges_for(docs.count())
+    order = gram_order(docs, ranges, n)
+    shared = docs.sparkSession.sparkContext.broadcast((order.bitmap, order.heavy, order.heavy_class))
+    table = written(document_sets(docs, shared, n, percent, carry), "sets")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best")
+    reps = table.where("n > 0").groupBy("digest").agg(F.min("uid").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), best)
+    reps = written(reps, "classes")
+    shown = reps.where("prefix is not null")
+    found = written(candidates(shown, ranges, percent), "candidates")
+    parity = shown.select("doc_id", "n", "parity")
     comps = resolve(
         found,
-        lambda pairs: verified(pairs, sets_of(pairs, table, reps if repeated else None), percent),
-        lambda groups: block_pairs(groups.join(parity.drop("n"), "doc_id"), _across(percent), "parity"),
+        lambda pairs: verified(pairs, table, shared, n, percent),
+        lambda groups: block_pairs(groups.join(parity.drop("n"), "doc_id"), _across(percent), "parity", percent),
         lambda pairs: plausible(pairs, parity, percent),
     )
     dropped(found)
-    ends = classes.join(comps, classes["rep"] == comps["id"], "left").where("rows > 1 or id is not null")
-    ends = written(ends.select(F.col("digest").alias("d"), F.coalesce("component_id", "rep").alias("component_id")), "ends")
+    ends = reps.select("digest", "rows", "best", "doc_id").join(comps, F.col("doc_id") == F.col("id"), "left").where("rows > 1 or id is not null")
+    ends = ends.select(F.col("digest").alias("d"), F.coalesce("component_id", "doc_id").alias("c"), "best")
+    first = ends.groupBy(F.col("c").alias("k")).agg(F.min("best").alias("least"))
+    return table, written(ends.join(first, F.col("c") == F.col("k")).select("d", F.col("least").alias("best")), "ends")
+
+
+def ngram_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, component_id, a row for each row."""
+    table, ends = _joined(docs, n, percent)
     slim = table.select("doc_id", "n", "digest")
     out = slim.join(ends, slim["digest"] == ends["d"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay when each component keeps one: that of the least id,
+    null last. Rows without words all stay."""
+    table, ends = _joined(docs, n, percent, carry=True)
+    slim = table.select("uid", "digest")
+    gone = slim.join(ends, slim["digest"] == ends["d"]).where("uid <> best.uid").select("uid")
+    return table.select("uid", "row").join(written(gone, "gone"), "uid", "left_anti").select("row.*")
