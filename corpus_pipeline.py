@@ -2,7 +2,7 @@
 again as the next one's input.
 
 1. language_id     rejects texts without a letter or without a likely language
-2. near_duplicates keeps the least id of each group of near copies (five-word grams, 0.8)
+2. near_duplicates keeps the row of the least id of each group of near copies (five-word grams, 0.8)
 3. pii             replaces personal data by the name of its kind
 4. mix_sources     repeats, drops and cuts documents until sources have their shares
 5. pack            cuts and joins the token ids into sequences
@@ -37,10 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.ngram_join(docs, GRAM_WORDS, PERCENT)
-    kept = written(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
-    return one.dropDuplicates(["doc_id", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return ngram_join.near_duplicates(docs, GRAM_WORDS, PERCENT)
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
