@@ -230,15 +230,15 @@ def match(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=
     return out.select("rec_id", F.col("n").alias("n_frames"), F.coalesce("least", "rec_id").alias("class_id"), F.coalesce("component_id", "rec_id").alias("component_id"))
 
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[int, int]]:
-    fps = [np.frombuffer(x, "<u4") for x in right["fp"]]
-    out = []
-    for row in left.itertuples():
-        own = np.frombuffer(row.fp, "<u4")
-        for k, (other, comp) in enumerate(zip(right["doc_id"], right["component_id"], strict=True)):
-            if comp != row.component_id and (not same or other > row.doc_id) and same_recording(own, fps[k]):
-                out.append((min(row.doc_id, other), max(row.doc_id, other)))
-    return out
+def _compare(rows: pd.DataFrame):
+    fps = [np.frombuffer(x, "<u4") for x in rows["fp"]]
+    comp, ids = rows["component_id"].to_numpy(), rows["doc_id"].to_numpy()
+
+    def compare(strays: np.ndarray, members: np.ndarray) -> list[tuple[int, int, float]]:
+        pairs = ((k, m) for k in strays for m in members if comp[k] != comp[m])
+        return [(int(min(ids[k], ids[m])), int(max(ids[k], ids[m])), 0.0) for k, m in pairs if same_recording(fps[k], fps[m])]
+
+    return compare
 
 
 #: How `melody` renders a vector: a note a component, from two octaves of semitones.

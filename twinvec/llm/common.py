@@ -34,7 +34,7 @@ def prefix_sums(lens: Column, block: int = 256) -> Column:
 
 
 #: Links that a task holds while it contracts them.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -84,12 +84,17 @@ def stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links -> a written table (u, v): each id of a component, but the least,
     with the least. Self-links and repeats are ignored.
 
-    Tasks contract the links they hold, then large-star and small-star rounds
+    Tasks contract the links they hold. What is left goes to one task if that can hold
+    it (HELD edges), else large-star and small-star rounds
     alternate until all edges form stars: every round is a few shuffles on ids,
     whatever the size of a component; its state is a written table.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     edges = written(contracted(edges), "edges")
+    if edges.count() <= HELD:
+        star = written(contracted(edges.coalesce(1)), "stars")
+        dropped(edges)
+        return star
     for _ in range(max_rounds):
         # Stars: every end has one centre, and no centre is an end.
         none = F.lit(None).cast("long")
@@ -130,9 +135,10 @@ def resolve(found: DataFrame, verify, across, screen=None) -> DataFrame:
     a (of size b) is in the large group of key gram, of which only pairs with few
     members are among the pairs. screen(pairs) drops pairs that cannot be links;
     verify(pairs (a, b)) keeps the links; across(groups (gram, doc_id, n, component_id,
-    stray)) gives pairs of each stray, a member outside its group's largest
+    stray)) gives pairs (a, b, cost) of each stray, a member outside its group's largest
     component, with all members of other components. Each id is checked against
-    its least candidate first; pairs that the components then join need no check;
+    its least candidate first, and of the pairs between two components that of least cost;
+    pairs that the components then join need no check;
     all others get one. -> (id, component_id) of ids with links.
     """
     pairs = found.where("gram is null").select("a", "b").distinct()
@@ -150,8 +156,10 @@ def resolve(found: DataFrame, verify, across, screen=None) -> DataFrame:
         dropped(star)
         return new
 
-    rest = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    rest = written(rest.join(least, ["a", "b"], "left_anti"), "rest")
+    def apart(df: DataFrame) -> DataFrame:
+        return labelled(labelled(df, "a", "ca"), "b", "cb").where("ca <> cb")
+
+    rest = written(apart(pairs).select("a", "b").join(least, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         star = more(verify(rest))
     large = labelled(found.where("gram is not null").select("gram", F.col("a").alias("doc_id"), F.col("b").alias("n")).distinct(), "doc_id", "component_id")
@@ -163,9 +171,15 @@ def resolve(found: DataFrame, verify, across, screen=None) -> DataFrame:
     if not main.isEmpty():
         strays = large.join(main, "gram").withColumn("stray", F.col("component_id") != F.col("main")).drop("main")
         others = written(across(strays).join(pairs, ["a", "b"], "left_anti"), "across")
-        tables.append(others)
-        if not others.isEmpty():
-            star = more(verify(others))
+        one = apart(others).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("cost", "a", "b")).alias("m"))
+        one = written(one.select("m.a", "m.b"), "nearest")
+        tables += [others, one]
+        if not one.isEmpty():
+            star = more(verify(one))
+            rest = written(apart(others).select("a", "b").join(one, ["a", "b"], "left_anti"), "rest")
+            tables.append(rest)
+            if not rest.isEmpty():
+                star = more(verify(rest))
     for t in tables:
         dropped(t)
     return labels(star)

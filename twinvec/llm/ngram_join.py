@@ -413,47 +413,69 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
-def block_pairs(rows: DataFrame, compare, carried: str, percent: int = 0) -> DataFrame:
-    """(gram, doc_id, n, component_id, stray, carried) of key groups -> (a, b), what
-    compare(strays, members) gives for each block of a group's strays and each
-    block of its members whose sizes may fit. No task holds more than two blocks of a group."""
+def block_pairs(rows: DataFrame, prepare, carried: str, percent: int = 0) -> DataFrame:
+    """(gram, doc_id, n, component_id, stray, carried) of key groups -> (a, b, cost), what
+    compare(stray places, member places) of compare = prepare(rows) gives for the strays and
+    members of a group. Groups of up to BLOCK members go many to a task's call; of a larger
+    one, each block of strays meets each block of members whose sizes may fit. No call
+    holds more than two blocks of a large group."""
     # Sizes that fit lie in neighbouring classes; at 0 percent all sizes fit.
     near = 1 if percent else 0
     cls = F.floor(F.log("n") / (math.log(100 / percent) + 1e-6)).cast("int") if percent else F.lit(0)
     r = written(rows.select("gram", "doc_id", "n", "component_id", "stray", carried, cls.alias("k")), "across_rows")
-    sizes = r.groupBy("gram", "k").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("xs"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"))
-    sizes = written(sizes, "blocks").select(F.col("gram").alias("g"), F.col("k").alias("other"), "xs", "ys")
-    reach = r.withColumn("other", F.explode(F.sequence(F.col("k") - near, F.col("k") + near)))
-    reach = reach.join(sizes, (F.col("gram") == F.col("g")) & (reach["other"] == sizes["other"])).drop("g").drop(sizes["other"])
+    sizes = r.groupBy(F.col("gram").alias("g"), F.col("k").alias("other")).agg(F.sum(F.col("stray").cast("int")).alias("strays"), F.count("*").alias("members"))
+    sizes = written(sizes, "blocks")
+    large = written(sizes.groupBy("g").agg(F.sum("members").alias("all")).where(F.col("all") > BLOCK).select("g"), "large_groups")
+    columns = ["gram", "kx", "ky", "x", "y", "side", "doc_id", "n", "component_id", carried]
+    small = r.join(large, r["gram"] == large["g"], "left_anti")
+    # Side 2: a stray among its group's members.
+    parts = max(64, ranges_for(r.count()))
+    small = small.select(F.pmod(F.xxhash64("gram"), F.lit(parts)).alias("part"), "gram", F.lit(0).alias("kx"), F.lit(0).alias("ky"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.when(F.col("stray"), 2).otherwise(1).alias("side"), *columns[6:])
+    cut = sizes.select("g", "other", F.ceil(F.col("strays") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("members") / BLOCK).cast("int").alias("ys"))
+    wide = r.join(large, r["gram"] == large["g"], "left_semi").withColumn("near", F.explode(F.sequence(F.col("k") - near, F.col("k") + near)))
+    wide = wide.join(cut, (F.col("gram") == F.col("g")) & (F.col("near") == F.col("other"))).drop("g", "other")
+    mine = cut.select("g", "other", F.col("xs").alias("mx"), F.col("ys").alias("my"))
+    wide = wide.join(mine, (F.col("gram") == F.col("g")) & (F.col("k") == F.col("other"))).drop("g", "other")
     at = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    mine = sizes.select(F.col("g"), F.col("other").alias("o"), F.col("xs").alias("mx"), F.col("ys").alias("my"))
-    reach = reach.join(mine, (F.col("gram") == F.col("g")) & (F.col("k") == F.col("o"))).drop("g", "o")
-    left = reach.where("stray and ys > 0").select("gram", F.col("k").alias("kx"), F.col("other").alias("ky"), at("mx").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(0).alias("side"), "doc_id", "n", "component_id", carried)
-    right = reach.where("xs > 0").select("gram", F.col("other").alias("kx"), F.col("k").alias("ky"), F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), at("my").alias("y"), F.lit(1).alias("side"), "doc_id", "n", "component_id", carried)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = wide.where("stray").select("gram", F.col("k").alias("kx"), F.col("near").alias("ky"), at("mx").alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), *columns[6:])
+    right = wide.where("xs > 0").select("gram", F.col("near").alias("kx"), F.col("k").alias("ky"), every("xs").alias("x"), at("my").alias("y"), F.lit(1).alias("side"), *columns[6:])
+    blocks = left.union(right).select(F.xxhash64(*columns[:5]).alias("part"), *columns)
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [pdf[pdf["side"] == k] for k in (0, 1)]
-        found = compare(*sides, False) if len(sides[0]) and len(sides[1]) else []
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+        pdf = pdf.sort_values(columns[:5], kind="stable")
+        keys = pdf[columns[:5]].to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
+        side, compare, found = pdf["side"].to_numpy(), prepare(pdf), set()
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = side[i:j]
+            found.update(compare(i + np.flatnonzero(own != 1), i + np.flatnonzero(own != 0)))
+        return pd.DataFrame(sorted(found), columns=["a", "b", "cost"]).astype({"a": "int64", "b": "int64", "cost": "float64"})
 
-    return left.unionByName(right).groupBy("gram", "kx", "ky", "x", "y").applyInPandas(each, "a long, b long").distinct()
+    return small.union(blocks).groupBy("part").applyInPandas(each, "a long, b long, cost double").distinct()
 
 
 def _across(percent: int):
     """Pairs across components that sizes and parities allow."""
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[int, int]]:
-        bits = [np.stack([np.asarray(v, dtype=np.int64) for v in d["parity"]]).view(np.uint64) for d in (left, right)]
-        comp, ids, n = (right[c].to_numpy() for c in ("component_id", "doc_id", "n"))
-        out = []
-        for k, (doc, size, own) in enumerate(zip(left["doc_id"], left["n"], left["component_id"], strict=True)):
-            differ = np.bitwise_count(bits[1] ^ bits[0][k]).sum(axis=1)
-            # Jaccard j: the sets differ in (1 - j) / (1 + j) of the sum of their sizes at most.
-            ok = (comp != own) & _fits(n, size, percent) & ((100 + percent) * differ <= (100 - percent) * (n + size))
-            out += [(min(doc, o), max(doc, o)) for o in ids[ok].tolist()]
-        return out
-
-    return compare
+    def prepare(rows: pd.DataFrame):
+        bits = np.stack(rows["parity"].tolist()).view(np.uint64)
+        comp, ids, n = (rows[c].to_numpy() for c in ("component_id", "doc_id", "n"))
+
+        def compare(strays: np.ndarray, members: np.ndarray) -> list[tuple[int, int, float]]:
+            out = []
+            for k in strays:
+                near = members[(comp[members] != comp[k]) & _fits(n[members], n[k], percent)]
+                differ = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                # Jaccard j: the sets differ in (1 - j) / (1 + j) of the sum of their sizes at most.
+                cost = differ / np.maximum(1, n[near] + n[k])
+                ok = (100 + percent) * differ <= (100 - percent) * (n[near] + n[k])
+                out += [(min(ids[k], o), max(ids[k], o), c) for o, c in zip(ids[near[ok]].tolist(), cost[ok].tolist(), strict=True)]
+            return out
+
+        return compare
+
+    return prepare
 
 
 def ranges_for(rows: int) -> int:
