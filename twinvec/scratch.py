@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,12 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows a batch between the JVM and Python while a table is written, at most: rows may hold long texts.
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and a lost
     executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/twinvec-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._twinvec_path = path
     return out
