@@ -30,6 +30,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # Batches of whole texts: the default of 10,000 rows takes much memory on both sides.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     model = lang_id.train(docs.where(~lang_id.held_out("doc_id")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     tagged = lang_id.predict(docs.select(F.struct(*columns).alias("row"), "text"), model)
