@@ -94,13 +94,15 @@ def test_ngram_hot_grams_meet_in_the_sender(spark, monkeypatch):
     check_grams(spark, docs + [(500 + i, f"{t} tail") for i, t in docs[:40]])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [1_000_000, 40])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(common, "HELD", held)
     rng = random.Random(4)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5)]
     u = brute.Union({x for e in links for x in e})
     for a, b in links:
         u.join(a, b)
-    got = {r.id: r.component_id for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.id: r.component_id for r in common.components(spark.createDataFrame(links, "a long, b long"), 600).collect()}
     assert got == {i: u.find(i) for e in links if e[0] != e[1] for i in e}
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinvec.llm import ngram_join
-from twinvec.llm.common import dropped, resolve, written
+from twinvec.llm.common import dropped, few, resolve, written
 
 FRAME_S, OVERLAP = 0.12, 4
 LOW_HZ, HIGH_HZ = 200.0, 3600.0
@@ -198,12 +198,13 @@ def match(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=
     """-> rec_id, n_frames, class_id (least id of an equal fingerprint), component_id
     (least id reachable by links), a row for each row."""
     table = written(fingerprints(recordings, column, rate, decode), "fingerprints")
-    ranges = ngram_join.ranges_for(table.count())
+    total = table.count()
+    ranges, files = ngram_join.ranges_for(total), few(total)
     reps = table.where("digest is not null").groupBy("digest").agg(
         F.min("uid").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.min("rec_id").alias("least")
     )
-    reps = written(reps, "classes")
-    found = written(ngram_join.candidates(reps.where("prefix is not null"), ranges, percent=0), "candidates")
+    reps = written(reps, "classes", files)
+    found = written(ngram_join.candidates(reps.where("prefix is not null"), ranges, percent=0), "candidates", files)
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -217,14 +218,14 @@ def match(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=
         return pairs.join(x, "a").join(y, "b").where(linked("fa", "fb")).select("a", "b")
 
     def across(groups: DataFrame) -> DataFrame:
-        return ngram_join.block_pairs(groups.join(prints, "doc_id"), _compare, "fp")
+        return ngram_join.block_pairs(groups.join(prints, "doc_id"), _compare, "fp", files=files)
 
-    comps = resolve(found, verify, across)
+    comps = resolve(found, total, verify, across)
     dropped(found)
     ends = reps.select("digest", "rows", "least", "doc_id").join(comps, F.col("doc_id") == F.col("id"), "left").where("rows > 1 or id is not null")
     ends = ends.select(F.col("digest").alias("d"), F.coalesce("component_id", "doc_id").alias("c"), "least")
     first = ends.groupBy(F.col("c").alias("k")).agg(F.min("least").alias("component_id"))
-    ends = written(ends.join(first, F.col("c") == F.col("k")).select("d", "least", "component_id"), "ends")
+    ends = written(ends.join(first, F.col("c") == F.col("k")).select("d", "least", "component_id"), "ends", files)
     slim = table.select("rec_id", "n", "digest")
     out = slim.join(ends, slim["digest"] == ends["d"], "left")
     return out.select("rec_id", F.col("n").alias("n_frames"), F.coalesce("least", "rec_id").alias("class_id"), F.coalesce("component_id", "rec_id").alias("component_id"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinvec.scratch import dropped, written
+from twinvec.scratch import dropped, few, written
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,21 +80,22 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
 
 
-def stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) links -> a written table (u, v): each id of a component, but the least,
+def stars(links: DataFrame, rows: int, max_rounds: int = 60) -> DataFrame:
+    """(a, b) links between up to `rows` ids -> a written table (u, v): each id of a component, but the least,
     with the least. Self-links and repeats are ignored.
 
-    Tasks contract the links they hold. What is left goes to one task if that can hold
-    it (HELD edges), else large-star and small-star rounds
+    Tasks contract the links they hold, twice: where they come up, and, fewer, where
+    those edges are gathered. If the second is one task that could hold all, stars are left; else
+    large-star and small-star rounds
     alternate until all edges form stars: every round is a few shuffles on ids,
     whatever the size of a component; its state is a written table.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    edges = written(contracted(edges), "edges")
-    if edges.count() <= HELD:
-        star = written(contracted(edges.coalesce(1)), "stars")
-        dropped(edges)
-        return star
+    edges = contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    tasks = -(-max(1, rows) // (4 * HELD))
+    edges = written(contracted(edges.repartition(tasks)), "edges")
+    if tasks == 1 and edges.count() < HELD // 2:  # a task that holds more sends some on early
+        return edges
+    files = few(rows)
     for _ in range(max_rounds):
         # Stars: every end has one centre, and no centre is an end.
         none = F.lit(None).cast("long")
@@ -106,11 +107,11 @@ def stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = edges.select(F.col("v").alias("n"), F.col("u").alias("x")).join(least, "n")
-        large = written(large.select(F.col("x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = written(large.select(F.col("x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large", files)
         # Small star: each node's smaller neighbours go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        new = written(contracted(small.where("u <> v").distinct()), "edges")
+        new = written(contracted(small.where("u <> v").distinct()), "edges", files)
         dropped(large)
         dropped(edges)
         edges = new
@@ -122,14 +123,14 @@ def labels(star: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(star.select("v", "v")).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(a, b) links between ids -> (id, component_id), component_id the smallest
+def components(links: DataFrame, rows: int, a: str = "a", b: str = "b") -> DataFrame:
+    """(a, b) links between up to `rows` ids -> (id, component_id), component_id the smallest
     id reachable. Only ids with a link appear."""
-    return labels(stars(links.select(F.col(a).alias("a"), F.col(b).alias("b")), max_rounds))
+    return labels(stars(links.select(F.col(a).alias("a"), F.col(b).alias("b")), rows))
 
 
-def resolve(found: DataFrame, verify, across, screen=None) -> DataFrame:
-    """Components of a similarity join whose candidates come in key groups.
+def resolve(found: DataFrame, rows: int, verify, across, screen=None) -> DataFrame:
+    """Components of a similarity join of up to `rows` ids whose candidates come in key groups.
 
     found: rows (gram null, a, b) are pairs to check; rows (gram, a, b) say that id
     a (of size b) is in the large group of key gram, of which only pairs with few
@@ -142,41 +143,41 @@ def resolve(found: DataFrame, verify, across, screen=None) -> DataFrame:
     all others get one. -> (id, component_id) of ids with links.
     """
     pairs = found.where("gram is null").select("a", "b").distinct()
-    pairs = written(screen(pairs) if screen else pairs, "pairs")
-    least = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
-    # Links are written before they are contracted: else a task holds the workers of both steps.
-    star = stars(written(verify(least), "links"))
+    files = few(rows)
+    pairs = written(screen(pairs) if screen else pairs, "pairs", files)
+    least = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least", files)
+    star = stars(verify(least), rows)
 
     def labelled(df: DataFrame, key: str, to: str) -> DataFrame:
         c = labels(star).select(F.col("id").alias("__id"), F.col("component_id").alias("__c"))
         return df.join(c, df[key] == F.col("__id"), "left").withColumn(to, F.coalesce("__c", key)).drop("__id", "__c")
 
     def more(links: DataFrame) -> DataFrame:
-        new = stars(star.select(F.col("u").alias("a"), F.col("v").alias("b")).union(written(links, "links")))
+        new = stars(star.select(F.col("u").alias("a"), F.col("v").alias("b")).union(links), rows)
         dropped(star)
         return new
 
     def apart(df: DataFrame) -> DataFrame:
         return labelled(labelled(df, "a", "ca"), "b", "cb").where("ca <> cb")
 
-    rest = written(apart(pairs).select("a", "b").join(least, ["a", "b"], "left_anti"), "rest")
+    rest = written(apart(pairs).select("a", "b").join(least, ["a", "b"], "left_anti"), "rest", files)
     if not rest.isEmpty():
         star = more(verify(rest))
     large = labelled(found.where("gram is not null").select("gram", F.col("a").alias("doc_id"), F.col("b").alias("n")).distinct(), "doc_id", "component_id")
-    large = written(large, "groups")
+    large = written(large, "groups", files)
     parts = large.groupBy("gram", "component_id").agg(F.count("*").alias("members"))
     main = parts.groupBy("gram").agg(F.max(F.struct("members", -F.col("component_id"))).alias("m"), F.count("*").alias("parts"))
-    main = written(main.where("parts > 1").select("gram", (-F.col("m.col2")).alias("main")), "mixed")
+    main = written(main.where("parts > 1").select("gram", (-F.col("m.col2")).alias("main")), "mixed", files)
     tables = [pairs, least, rest, large, main]
     if not main.isEmpty():
         strays = large.join(main, "gram").withColumn("stray", F.col("component_id") != F.col("main")).drop("main")
-        others = written(across(strays).join(pairs, ["a", "b"], "left_anti"), "across")
+        others = written(across(strays).join(pairs, ["a", "b"], "left_anti"), "across", files)
         one = apart(others).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("cost", "a", "b")).alias("m"))
-        one = written(one.select("m.a", "m.b"), "nearest")
+        one = written(one.select("m.a", "m.b"), "nearest", files)
         tables += [others, one]
         if not one.isEmpty():
             star = more(verify(one))
-            rest = written(apart(others).select("a", "b").join(one, ["a", "b"], "left_anti"), "rest")
+            rest = written(apart(others).select("a", "b").join(one, ["a", "b"], "left_anti"), "rest", files)
             tables.append(rest)
             if not rest.isEmpty():
                 star = more(verify(rest))

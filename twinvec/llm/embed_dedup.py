@@ -225,7 +225,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
 
     found = blocks.join(pairs, ["key", "cell", "block"]).select("pair", "side", "uid", "embedding").groupBy("pair").applyInPandas(compare, "uid long, n long, root long")
     found = written(found, "links")
-    comp = written(components(found, "uid", "root"), "components")
+    comp = written(components(found, base.count(), "uid", "root"), "components")
     vec = base.select("uid", "vec_id")
     named = comp.join(vec.withColumnRenamed("uid", "id"), "id")
     least = written(named.groupBy("component_id").agg(F.min("vec_id").alias("least")), "least")

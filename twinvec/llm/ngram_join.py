@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinvec.llm.common import dropped, resolve, written
+from twinvec.llm.common import dropped, few, resolve, written
 
 NGRAM, PERCENT = 4, 85
 BITS = 48
@@ -206,7 +206,7 @@ def gram_order(docs: DataFrame, ranges: int, n: int = NGRAM) -> Order:
         )
 
     counted = docs.select("text").mapInArrow(send, "r int, keys binary, times binary").groupBy("r").applyInPandas(count, "r int, gram long, df long, bits binary")
-    counted = written(counted, "counts")
+    counted = written(counted, "counts", few(ranges * RANGE_ROWS))
     bitmap = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
     for row in counted.where("r >= 0").select("r", "bits").toLocalIterator():
         a = row.r * width // 8
@@ -370,7 +370,7 @@ def verified(pairs: DataFrame, table: DataFrame, shared, n: int = NGRAM, percent
     shuffle, by a broadcast of at most MARKS marks of the wanted ids; what passes by chance
     goes in the joins. Each block of up to about CHECKED pairs of one a gets a's text once."""
     mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
-    marks = written(pairs.select(mark("a").alias("mark")).union(pairs.select(mark("b").alias("mark"))).distinct(), "marks")
+    marks = written(pairs.select(mark("a").alias("mark")).union(pairs.select(mark("b").alias("mark"))).distinct(), "marks", 1)
     texts = table.where("text is not null").select(F.col("uid").alias("id"), "text").withColumn("mark", mark("id"))
     texts = texts.join(F.broadcast(marks), "mark", "left_semi").drop("mark")
     hot = pairs.groupBy("a").count().where(F.col("count") > CHECKED).withColumnRenamed("a", "h")
@@ -413,7 +413,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
-def block_pairs(rows: DataFrame, prepare, carried: str, percent: int = 0) -> DataFrame:
+def block_pairs(rows: DataFrame, prepare, carried: str, percent: int = 0, files: int | None = None) -> DataFrame:
     """(gram, doc_id, n, component_id, stray, carried) of key groups -> (a, b, cost), what
     compare(stray places, member places) of compare = prepare(rows) gives for the strays and
     members of a group. Groups of up to BLOCK members go many to a task's call; of a larger
@@ -422,10 +422,10 @@ def block_pairs(rows: DataFrame, prepare, carried: str, percent: int = 0) -> Dat
     # Sizes that fit lie in neighbouring classes; at 0 percent all sizes fit.
     near = 1 if percent else 0
     cls = F.floor(F.log("n") / (math.log(100 / percent) + 1e-6)).cast("int") if percent else F.lit(0)
-    r = written(rows.select("gram", "doc_id", "n", "component_id", "stray", carried, cls.alias("k")), "across_rows")
+    r = written(rows.select("gram", "doc_id", "n", "component_id", "stray", carried, cls.alias("k")), "across_rows", files)
     sizes = r.groupBy(F.col("gram").alias("g"), F.col("k").alias("other")).agg(F.sum(F.col("stray").cast("int")).alias("strays"), F.count("*").alias("members"))
-    sizes = written(sizes, "blocks")
-    large = written(sizes.groupBy("g").agg(F.sum("members").alias("all")).where(F.col("all") > BLOCK).select("g"), "large_groups")
+    sizes = written(sizes, "blocks", files)
+    large = written(sizes.groupBy("g").agg(F.sum("members").alias("all")).where(F.col("all") > BLOCK).select("g"), "large_groups", files)
     columns = ["gram", "kx", "ky", "x", "y", "side", "doc_id", "n", "component_id", carried]
     small = r.join(large, r["gram"] == large["g"], "left_anti")
     # Side 2: a stray among its group's members.
@@ -486,27 +486,29 @@ def ranges_for(rows: int) -> int:
 def _joined(docs: DataFrame, n: int, percent: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
     """-> the rows (of document_sets), and (d, best) for each digest d of several rows or
     with links: best, (no id, id, uid) of the first row of its component."""
-    ranges = ranges_for(docs.count())
+    total = docs.count()
+    ranges, files = ranges_for(total), few(total)
     order = gram_order(docs, ranges, n)
     shared = docs.sparkSession.sparkContext.broadcast((order.bitmap, order.heavy, order.heavy_class))
-    table = written(document_sets(docs, shared, n, percent, carry), "sets")
+    table = written(document_sets(docs, shared, n, percent, carry), "sets", few(total, 8000, 32))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best")
     reps = table.where("n > 0").groupBy("digest").agg(F.min("uid").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), best)
-    reps = written(reps, "classes")
+    reps = written(reps, "classes", files)
     shown = reps.where("prefix is not null")
-    found = written(candidates(shown, ranges, percent), "candidates")
+    found = written(candidates(shown, ranges, percent), "candidates", files)
     parity = shown.select("doc_id", "n", "parity")
     comps = resolve(
         found,
+        total,
         lambda pairs: verified(pairs, table, shared, n, percent),
-        lambda groups: block_pairs(groups.join(parity.drop("n"), "doc_id"), _across(percent), "parity", percent),
+        lambda groups: block_pairs(groups.join(parity.drop("n"), "doc_id"), _across(percent), "parity", percent, files),
         lambda pairs: plausible(pairs, parity, percent),
     )
     dropped(found)
     ends = reps.select("digest", "rows", "best", "doc_id").join(comps, F.col("doc_id") == F.col("id"), "left").where("rows > 1 or id is not null")
     ends = ends.select(F.col("digest").alias("d"), F.coalesce("component_id", "doc_id").alias("c"), "best")
     first = ends.groupBy(F.col("c").alias("k")).agg(F.min("best").alias("least"))
-    return table, written(ends.join(first, F.col("c") == F.col("k")).select("d", F.col("least").alias("best")), "ends")
+    return table, written(ends.join(first, F.col("c") == F.col("k")).select("d", F.col("least").alias("best")), "ends", files)
 
 
 def ngram_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -514,7 +516,8 @@ def ngram_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataF
     table, ends = _joined(docs, n, percent)
     slim = table.select("doc_id", "n", "digest")
     out = slim.join(ends, slim["digest"] == ends["d"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"))
+    return out.coalesce(few(table.count(), 8000, 32))
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -523,4 +526,4 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     table, ends = _joined(docs, n, percent, carry=True)
     slim = table.select("uid", "digest")
     gone = slim.join(ends, slim["digest"] == ends["d"]).where("uid <> best.uid").select("uid")
-    return table.select("uid", "row").join(written(gone, "gone"), "uid", "left_anti").select("row.*")
+    return table.select("uid", "row").join(written(gone, "gone", few(table.count())), "uid", "left_anti").select("row.*").coalesce(few(table.count(), 8000, 32))
