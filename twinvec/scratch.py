@@ -38,9 +38,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, label: str = "t") -> DataFrame:
+def few(rows: int, each: int = 250_000, least: int = 8) -> int:
+    """Files for a table of up to so many rows: many small ones cost more than they hold."""
+    return max(least, -(-rows // each))
+
+
+def written(df: DataFrame, label: str = "t", files: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and a lost
-    executor costs no recomputation."""
+    executor costs no recomputation. files: at most so many, by as many tasks."""
+    df = df.coalesce(files) if files else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/twinvec-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     with small_batches(spark):
