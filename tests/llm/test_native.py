@@ -127,6 +127,40 @@ def test_pii_long_texts_stay_linear(spark):
     assert [got[i] for i in range(6)] == [0, 0, 0, 0, 1, 2000]
 
 
+def test_pii_many_spans_and_clashing_names(spark):
+    parts = ["10.0.3.4", "a1@b.de", "4111 1111 1111 1111", "+1 (234) 555-1234", "é", "no", "1.2.3.4@x.com"]
+    rng = random.Random(9)
+    texts = ["".join(f"{rng.choice(parts)}, " for _ in range(6000)), " ".join(rng.choice(parts) for _ in range(300))]
+    d = spark.createDataFrame([(i, t, "kept", "m", "s") for i, t in enumerate(texts)], "doc_id long, text string, pii string, __m_ip string, __spans string")
+    out = {r.doc_id: r for r in pii.redact(d, pii.BASE).collect()}
+    assert pii.redact(d).columns == d.columns and all((r.pii, r["__m_ip"], r["__spans"]) == ("kept", "m", "s") for r in out.values())
+    for r in pii.detect(d, column="found").collect():
+        spans = [(s.start, s["rank"], s.kind, s.end) for s in r.found if s["rank"] < 4]
+        assert spans == brute.pii(texts[r.doc_id])
+        parts_, at, end = [], 0, 0
+        for start, _, kind, stop in spans:
+            if start >= end:
+                parts_ += [texts[r.doc_id][end:start], f"<{kind.upper()}>"]
+            end = max(end, stop)
+        assert out[r.doc_id].text == "".join(parts_) + texts[r.doc_id][end:]
+
+
+def test_pii_long_secret(spark):
+    d = spark.createDataFrame([(n, f"token = {'a1' * (n // 2)}") for n in (40, 140, 4000)], "doc_id long, text string")
+    assert [(r.doc_id, [s.kind for s in r.pii]) for r in pii.detect(d).orderBy("doc_id").collect()] == [(40, ["secret"]), (140, ["secret"]), (4000, ["secret"])]
+
+
+def test_pii_query(spark, sf):
+    texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
+    got = queries.op7_pii(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute.pii(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[2] == k for x in want) for k in pii.BASE]
+        assert r.n_spans == (r.spans.count(",") + 1 if r.spans else 0)
+
+
 # URL filter
 
 
@@ -173,6 +207,14 @@ def test_links_spread_verdicts(spark):
     assert url_filter.judge(p.limit(0)).count() == 0
 
 
+def test_seeds_weigh_alike_and_domains_join_hosts(spark):
+    """Ten blocked pages do not outvote one allowed page by their number; a.b.net hears of c.b.net by b.net."""
+    pages = [(i, f"http://example.org/es/{i}", "<a href = 'http://mid.net/'>") for i in range(10)] + [(20, "http://www.ok.org/", "<a href='http://mid.net/'>"), (21, "http://mid.net/", "")]
+    pages += [(30, "http://u.b.net/", "<a href='//example.org/'>"), (31, "http://c.b.net/", ""), (32, "http://lone.net/", None), (33, None, None)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[21] == "allow" and got[30] == "block" and got[31] == "block" and got[32] == "allow" and got[33] == "allow"
+
+
 # Chat
 
 

@@ -18,19 +18,29 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def prefix_sums(lens: Column, block: int = 256) -> Column:
-    """array<int> -> array<int> of the sums before each element. Blocks keep the
+def let(value: Column, f) -> Column:
+    """f(value), value computed once however often f names it, also inside the
+    lambdas of other array functions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def prefix_fold(values: Column, op, zero: int = 0, block: int = 128) -> Column:
+    """array<int> -> array<int> of the fold by op of the elements before each. Blocks keep the
     work near k * block for k elements, where one fold with appends takes k * k."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(lens) - 1) / block)).cast("int")),
-        lambda b: total(F.slice(lens, b * block + 1, block)),
-    )
-    return F.transform(
-        lens,
-        lambda _, i: total(F.slice(blocks, 1, F.floor(i / block).cast("int")))
-        + total(F.slice(lens, F.floor(i / block).cast("int") * block + 1, i % block)),
-    )
+    total = lambda a: F.aggregate(a, F.lit(zero), op)
+    of = lambda i: F.floor(i / block).cast("int")
+
+    def over(a: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), of(F.size(a) - 1)))
+        sums = F.transform(blocks, lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
+        before = let(sums, lambda t: F.transform(t, lambda _, j: total(F.slice(t, F.lit(1), j))))
+        return let(before, lambda p: F.transform(a, lambda _, i: op(F.get(p, of(i)), total(F.slice(a, of(i) * block + 1, i % block)))))
+
+    return let(values, over)
+
+
+def prefix_sums(lens: Column) -> Column:
+    return prefix_fold(lens, lambda s, x: s + x)
 
 
 #: Links that a task holds while it contracts them.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinvec.llm import chat, chroma, embed_dedup, html_text, lang_id, mixing, ngram_join, packing, pii, url_filter
-from twinvec.llm.common import written
+from twinvec.llm.common import LOWER, UPPER, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("pii", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["rank"] < len(pii.BASE))
-    return d.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+    return d.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +124,35 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM p"""
 
 
+def _op8() -> str:
+    """The rules as a CASE, longest first, and each round of both ranks as a table expression."""
+    u = url_filter
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rules = sorted(u.RULES, key=lambda r: -len(r[0] + r[1]))
+    case = lambda of: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{of(h, p, v)}'" for h, p, v in rules) + " END"
+    href = u.HREF.replace("'", "''")
+    rounds = []
+    for k in range(u.ROUNDS):
+        rounds.append(f"""r{k + 1} AS (SELECT host, sum(t) AS t, sum(d) AS d FROM (
+            SELECT e.dst AS host, {u.DAMPING} * e.fwd * r.t AS t, 0.0::DOUBLE AS d FROM e JOIN r{k} r ON e.src = r.host
+            UNION ALL SELECT e.src, 0.0::DOUBLE, {u.DAMPING} * e.rev * r.d FROM e JOIN r{k} r ON e.dst = r.host
+            UNION ALL SELECT host, {1 - u.DAMPING} * t, {1 - u.DAMPING} * d FROM r0) GROUP BY host)""")
+    return rf"""
+WITH a AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+j AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS said FROM p),
+v AS (SELECT host, count(*) FILTER (said = 'allow')::DOUBLE AS t, count(*) FILTER (said = 'block')::DOUBLE AS d FROM j GROUP BY host),
+r0 AS (SELECT host, t / coalesce(nullif(sum(t) OVER (), 0), 1) AS t, d / coalesce(nullif(sum(d) OVER (), 0), 1) AS d FROM v),
+n AS (SELECT src, dst, count(*)::DOUBLE AS n FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{href}', 1)), '{UPPER}', '{LOWER}') AS dst FROM p)
+      WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+s AS (SELECT host AS src, regexp_extract(host, '{u.SITE}', 1) AS dst FROM v WHERE host <> ''),
+l AS (SELECT src, dst, sum(n) AS n FROM (SELECT * FROM n UNION ALL SELECT src, dst, {u.SITE_WEIGHT} FROM s WHERE dst <> '' AND src <> dst
+      UNION ALL SELECT dst, src, {u.SITE_WEIGHT} FROM s WHERE dst <> '' AND src <> dst) GROUP BY src, dst),
+e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS fwd, n / sum(n) OVER (PARTITION BY dst) AS rev FROM l),
+{", ".join(rounds)}
+SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN coalesce(d, 0) > coalesce(t, 0) + {u.MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN r{u.ROUNDS} r ON j.host = r.host"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": _OP5, "op10_chat_format": _OP10}
+    return {"op8_url_filter": _op8(), "op5_mix_sources": _OP5, "op10_chat_format": _OP10}
