@@ -4,11 +4,14 @@ A rule (host/path) fits its host and all subdomains when the url's path starts
 with its path; the longest rule wins. Pages without a rule take the verdict of
 their host. Hosts gain trust by personalised PageRank along links from hosts
 with allowed pages, and distrust along reversed links from hosts with blocked
-pages; a host is blocked when its distrust exceeds its trust by `margin`. Links
+pages; the seeds of either kind sum to 1, by their pages. A host is blocked when its distrust exceeds its trust by more than `margin`. Links
 are the absolute and protocol-relative references in the html, and, weighing
-less, a host and its parent domain that is itself a host of some page.
+less, both ways between a host and its domain, its last two labels, which is a node
+also where no page has it as host.
 
-DataFrame operations only. Null url or html: empty host and path, no links.
+DataFrame operations only. A round is a join of the links with the ranks and sums by host,
+both of which Spark splits or combines before the shuffle where one host has a large share of the
+links. Null url or html: empty host and path, no links.
 Repeated rows keep a row each. Empty tables give empty results; other columns
 are ignored.
 """
@@ -29,7 +32,10 @@ RULES = (
     ("com", "/de/", "block"),
 )
 DAMPING, ROUNDS, SITE_WEIGHT = 0.7, 10, 0.25
-HREF = r"""(?i)\bhref\s{0,8}=\s{0,8}["']?(?:https?:)?//([^/?#"'\s>]+)"""
+SITE = r"([^.]+\.[^.]+)$"
+MARGIN = 1e-12
+_WHITE = r"[\x20\x09-\x0D]"
+HREF = rf"""(?i)\bhref{_WHITE}*={_WHITE}*["']?(?:https?:)?//([^/?#"'\x20\x09-\x0D>]+)"""
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -54,8 +60,7 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("to"))
     links = links.select("src", ascii_lower(F.col("to")).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
     links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
-    child = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.+)$", 1).alias("host"))
-    site = child.join(hosts.select("host"), "host").select("src", F.col("host").alias("dst"), F.lit(SITE_WEIGHT).alias("n"))
+    site = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", SITE, 1).alias("dst"), F.lit(SITE_WEIGHT).alias("n")).where("dst <> '' and src <> dst")
     site = site.union(site.select("dst", "src", "n"))
     e = written(links.union(site).groupBy("src", "dst").agg(F.sum("n").alias("n")), "links")
     out = written(e.groupBy("src").agg(F.sum("n").alias("out")), "out")
@@ -85,7 +90,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, margin: float = 0.0, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, margin: float = MARGIN, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """-> page_id, host, path, rule, verdict, trust, distrust."""
     host, path = split_url(F.col("url"))
     p = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -94,7 +99,9 @@ def judge(pages: DataFrame, rules=RULES, margin: float = 0.0, damping: float = D
     votes = p.groupBy("host").agg(
         F.sum((F.col("rule_verdict") == "allow").cast("double")).alias("t0"), F.sum((F.col("rule_verdict") == "block").cast("double")).alias("d0")
     )
-    hosts = written(votes.select("host", F.coalesce("t0", F.lit(0.0)).alias("t0"), F.coalesce("d0", F.lit(0.0)).alias("d0")), "hosts")
+    votes = written(votes.select("host", F.coalesce("t0", F.lit(0.0)).alias("t0"), F.coalesce("d0", F.lit(0.0)).alias("d0")), "votes")
+    every = votes.agg(F.sum("t0").alias("t"), F.sum("d0").alias("d")).first()
+    hosts = votes.select("host", (F.col("t0") / (every.t or 1.0)).alias("t0"), (F.col("d0") / (every.d or 1.0)).alias("d0"))
     rank = propagate(hosts, host_edges(p, hosts.where("host <> ''")), damping, rounds)
     rank = written(rank.where("trust > 0 or distrust > 0"), "rank")
     out = p.select("page_id", "host", "path", "rule", "rule_verdict").join(rank, "host", "left")
