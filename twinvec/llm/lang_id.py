@@ -4,10 +4,10 @@ trigrams score them, Viterbi with a switching penalty labels spans.
 The model is trained on rows with a label, at most about `per_lang` of each
 language, chosen by a hash of the text. Per language it holds hashed trigram
 log-probabilities (BUCKETS of them) and the scripts it is written in, so its
-size depends on the number of languages alone. Prediction reads whole texts.
+size depends on the number of languages alone, of which it learns the MAX_LANGS most frequent. Prediction reads whole texts.
 
-A word is a run of letters and marks. A word in a script that no learned
-language uses scores nothing. The label of a text is the language of most
+A word is a run of letters and marks with a letter. A word in a script that no learned
+language uses scores nothing; a text of such words alone has the first language, with score 0. The label of a text is the language of most
 letters; its score is that share, times the certainty that the language beats
 the next one within each of its spans, by letters. Null texts and texts without a letter, and
 all texts if nothing was learned, give `und` with score 0; ties go to the first
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 PER_LANG = 4000
+MAX_LANGS = 256
 PENALTY = 14.0
 UND = "und"
 #: First code points of script ranges, in order; the number is the script.
@@ -44,9 +45,11 @@ _letters: np.ndarray | None = None
 
 
 def letters() -> np.ndarray:
+    """Of each code point: 1 for a letter, 2 for a mark, else 0."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+        kinds = {"L": 1, "M": 2}
+        _letters = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), dtype=np.uint8, count=sys.maxunicode + 1)
     return _letters
 
 
@@ -65,9 +68,16 @@ def _words(texts: list[str]):
     cps = np.frombuffer(" ".join(texts).lower().encode("utf-32-le", "replace"), dtype=np.uint32)
     lens = np.fromiter((len(t.lower()) for t in texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(lens + 1)
-    is_letter = letters()[cps]
+    kind = letters()[cps]
+    is_letter = kind > 0
     edge = np.flatnonzero(np.diff(np.concatenate(([False], is_letter, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
+    if (kind == 2).any():
+        before = np.concatenate(([0], np.cumsum(kind == 1)))
+        real = before[end] > before[start]
+        for a, b in zip(start[~real], end[~real], strict=True):
+            is_letter[a:b] = False  # marks without a letter
+        start, end = start[real], end[real]
     owner = np.searchsorted(ends, start, side="right")
     c = np.where(is_letter, cps, 32).astype(np.uint32)
     before = np.concatenate((np.array([32], np.uint32), c[:-1]))
@@ -90,18 +100,17 @@ def _chunks(texts: list, most: int = 500_000):
         yield a, len(texts)
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, text: str = "text", lang: str = "lang") -> Model:
+def train(docs: DataFrame, per_lang: int = PER_LANG, text: str = "text", lang: str = "lang", max_langs: int = MAX_LANGS) -> Model:
     """docs: the rows to learn from. Counts grams in the executors; the driver gets
     the sums, a row for each language and bucket at most."""
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
-    share = F.lit(0.0)
-    for k, n in sizes.items():
-        share = F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    picked = known.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)) < share)
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in sizes.items()], "lang string, share double")
+    share = F.col("share")
+    picked = known.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)) < share)
 
     def count(batches):
         grams: dict[str, np.ndarray] = {}
@@ -190,7 +199,7 @@ def spans(texts: list[str], model: Model, penalty: float = PENALTY):
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """Adds lang_pred and score."""
+    """Adds (or replaces) lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.grams, model.scripts))
 
     @F.pandas_udf("lang_pred string, score double")
@@ -200,19 +209,23 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
         texts = [t if ok else "" for t, ok in zip(col.tolist(), there, strict=True)]
         names, scores = [], []
         for got in spans(texts, m, penalty):
-            if got is None or not got[0].sum():
+            if got is None:
                 names.append(UND)
                 scores.append(0.0)
                 continue
             chars, sure, _ = got
             i = int(chars.argmax())
             names.append(m.langs[i])
-            scores.append(float(sure[i] / chars.sum()))
+            scores.append(float(sure[i] / max(chars.sum(), 1)))
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    out = docs.withColumn("__lang", label(F.col(text)))
-    return out.withColumn("lang_pred", F.col("__lang.lang_pred")).withColumn("score", F.col("__lang.score")).drop("__lang")
+    both = "__lang"
+    while both in docs.columns:
+        both += "_"
+    out = docs.withColumn(both, label(F.col(f"`{text}`")))
+    return out.withColumns({"lang_pred": F.col(f"{both}.lang_pred"), "score": F.col(f"{both}.score")}).drop(both)
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """A null id is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
