@@ -1,6 +1,7 @@
 """Html extraction, language identification, packing, pipeline."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -63,6 +64,48 @@ def test_unmarked_pages_keep_closing_sections_and_linked_paragraphs():
     assert html_text.main_text(far) == "\n\n".join([*long[:2], f"{'close ' * 20}end"])
 
 
+def test_inline_boilerplate_and_hidden_stretches():
+    page = """<article><p>Hi <span class="ad">BUY <span>NOW</span></span>there <span hidden>x</span>you <i style="a:b; display: none">q</i>!
+    <b style="overflow:hidden" title="the hidden valley">kept</b> <span class="promo">never closed</p><p>next</p></article>"""
+    assert html_text.main_text(page) == "Hi there you ! kept\n\nnext"
+
+
+def test_unmatched_end_tags_stay_linear():
+    began = time.time()
+    assert html_text.main_text("<div>" * 60_000 + "x" + "</p></section>" * 60_000) == "x"
+    assert time.time() - began < 5
+
+
+def naive_picked(weight, window, surge):
+    """Sums over a window by hand, region by region."""
+    at = [i for i, w in enumerate(weight) if w is not None]
+    w = [weight[i] for i in at]
+    high = [sum(w[max(0, i - window // 2) : i + window // 2 + 1]) > surge for i in range(len(w))]
+    out, i = [], 0
+    while i < len(w):
+        if w[i] and high[i]:
+            j = i
+            while j < len(w) and high[j]:
+                j += 1
+            j2 = max(k for k in range(i, j) if w[k]) + 1
+            out += at[i:j2]
+            i = j
+        else:
+            i += 1
+    return out or [at[k] for k in range(min([k for k, x in enumerate(w) if x], default=0), max([k for k, x in enumerate(w) if x], default=-1) + 1)]
+
+
+def test_surge_and_dive_against_hand_sums(spark, sf):
+    r = random.Random(4)
+    for _ in range(3000):
+        weight = [r.choice([None, 0, 0, 5, 30, 61, 200]) for _ in range(r.randint(0, 14))]
+        for window, surge in ((3, 60), (5, 100)):
+            assert html_text.picked(weight, window, surge) == naive_picked(weight, window, surge), weight
+    pages = [r.html for r in queries.table(spark, sf, "pages").collect()]
+    whole = ["\n\n".join(x[0] for x in html_text.lines(p)[0]) for p in pages]
+    assert sum(html_text.main_text(p) != w for p, w in zip(pages, whole, strict=True)) > len(pages) // 2
+
+
 def test_html_query(spark, sf):
     got = queries.op1_html_text(spark, sf).collect()
     pages = {r.page_id: r.html for r in queries.table(spark, sf, "pages").collect()}
@@ -90,10 +133,15 @@ def test_held_out_accuracy(spark):
 
 
 def test_language_edge_cases(spark, model):
-    rows = [(1, None), (2, ""), (3, "123 !? 42"), (4, "日本語"), (5, "the and of that " * 5000), (5, "the and of that " * 5000)]
-    d = spark.createDataFrame([(*r, "zz", "q") for r in rows], "doc_id long, text string, lang string, score string")
-    got = sorted((r.doc_id, r.lang_pred, r.score) for r in lang_id.predict(d, model).collect())
-    assert [g[:2] for g in got] == [(1, "und"), (2, "und"), (3, "und"), (4, "und"), (5, "en"), (5, "en")]
+    rows = [(1, None), (2, ""), (3, "123 !? 42"), (4, "日本語"), (5, "the and of that " * 5000), (5, "the and of that " * 5000), (6, "\u0301\u0302 7 \u0301"), (7, "\u0301 the and of that"), (None, "the and of that")]
+    d = spark.createDataFrame([(*r, "zz", "q") for r in rows], "doc_id long, text string, lang string, __lang string")
+    out = lang_id.predict(d, model)
+    assert out.columns == [*d.columns, "lang_pred", "score"] and out.where("__lang = 'q'").count() == len(rows)
+    got = sorted((r.doc_id or 0, r.lang_pred, r.score) for r in out.collect())
+    # A text with letters has a learned language, in whatever script; marks alone are no letter.
+    assert [g[:2] for g in got] == [(0, "en"), (1, "und"), (2, "und"), (3, "und"), (4, model.langs[0]), (5, "en"), (5, "en"), (6, "und"), (7, "en")]
+    assert got[4][2] == 0 and got[1][2] == 0
+    assert [r[0] for r in d.where("doc_id is null").select(lang_id.held_out("doc_id")).collect()] == [False]
     assert lang_id.predict(d.limit(0), model).count() == 0
     none = lang_id.train(d.limit(0))
     assert {r.lang_pred for r in lang_id.predict(d, none).collect()} == {"und"}

@@ -1,14 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one a block element. A line's weight is its text
-length, less the text of links; lines inside menus, headers, footers, sidebars,
-adverts, forms and reader comments, known by their element, role, class or id,
-are left out first, so that they part no region. A name counts if all its parts do or say nothing, and an element
+length, less twice the text of links; where the page marks its article (<article>, <main>), lines
+outside it weigh nothing and a line inside it its length and SURGE, so that a short one surges, too. Lines inside menus,
+headers, footers, sidebars, adverts, forms and reader comments, known by their element, role, class or id,
+are none of the text, nor are such stretches and hidden ones within a line. A name counts if all its parts do or say nothing, and an element
 with most of the text is not judged by its names. Sums over WINDOW neighbouring lines form the
-distribution. A region begins where the sum surges over the threshold at a line
-with text and ends where it dives back, less lines without weight at its ends;
-the lines of all regions are the text. If the page marks its article (<article>, <main>),
-lines outside it are left out too and the threshold is 0; else it is `surge`.
+distribution. A region begins where the sum surges over SURGE at a line
+with weight and ends where it dives back, less lines without weight at its ends;
+the lines of all regions are the text.
 
 Null html gives an empty text, as does a page without content. Pages are judged
 one by one, whole: repeated rows, ties, extra columns and empty tables need no
@@ -55,6 +55,7 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Attributes one by one, values consumed.
 _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[^a-z0-9]+")
+_HIDDEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 
 
 def _named(token: str, is_id: bool) -> bool:
@@ -80,6 +81,9 @@ def _boilerplate(name: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool
         if key == "role":
             if value.strip() in ROLES:
                 return True, False, False
+        elif key == "style":
+            if _HIDDEN.search(value):
+                return True, False, False
         elif key == "hidden" or (key == "aria-hidden" and value.strip() == "true"):
             return True, False, False
         elif key in ("class", "id") and name not in HEADINGS:
@@ -105,6 +109,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
     open_mains: list[int] = []
     bad = inside = links = anchors = 0
     pos, n = 0, len(page)
+    opened: dict[str, int] = {}  # of each name, elements on the stack
+    mute, mute_name, mute_at = 0, "", 0  # depth inside a stretch to leave out, its element, the stack's height
 
     def flush() -> None:
         nonlocal links
@@ -116,21 +122,24 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         links = 0
 
     def close(k: int) -> None:
-        nonlocal bad, inside
+        nonlocal bad, inside, mute
         while len(stack) > k:
-            _, b, m, w = stack.pop()
+            x, b, m, w = stack.pop()
+            opened[x] -= 1
             bad, inside = bad - b, inside - m
             if m:
                 mains[open_mains.pop()][1] = len(out)
             if w >= 0:
                 named[w][1] = len(out)
+        if len(stack) < mute_at:
+            mute = 0  # an inline element ends with the block that it is in
 
     while pos < n:
         at = page.find("<", pos)
         if at < 0:
             at = n
         if at > pos:
-            piece = page[pos:at]
+            piece = page[pos:at] if not mute else ""
             buf.append(piece)
             if anchors:
                 links += len(piece.strip())
@@ -142,7 +151,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             continue
         if page.startswith("<![CDATA[", at):
             end = page.find("]]>", at + 9)
-            buf.append(entities.unescape(page[at + 9 : n if end < 0 else end]).replace("&", "&amp;"))
+            if not mute:
+                buf.append(page[at + 9 : n if end < 0 else end].replace("&", "&amp;"))
             pos = n if end < 0 else end + 3
             continue
         follows = page[at + 1 : at + 2]
@@ -174,10 +184,9 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             anchors = 0 if shut else 1
         if shut:
             if name in INLINE:
-                continue
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                close(k)
+                mute -= mute > 0 and name == mute_name
+            elif opened.get(name):
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in RAW:
             if attrs.endswith("/"):
@@ -191,7 +200,11 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         if name in VOID or attrs.endswith("/"):
             continue
         if name in INLINE:
-            continue  # inline boilerplate is too rare to cut a line for
+            if mute:
+                mute += name == mute_name
+            elif attrs and any(_boilerplate(name, attrs, inside > 0)[:2]):
+                mute, mute_name, mute_at = 1, name, len(stack)
+            continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)  # its end tag may be left out
         bp, by_name, comments = _boilerplate(name, attrs, inside > 0)
@@ -199,6 +212,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         if is_main:
             open_mains.append(len(mains))
             mains.append([len(out), 0, bad > 0])
+        opened[name] = opened.get(name, 0) + 1
         stack.append((name, bp, is_main, len(named) if by_name else -1))
         if by_name:
             named.append([len(out), 0, comments])
@@ -242,31 +256,39 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     found, marked = lines(page)
     if not found:
         return ""
-    found = [x for x in found if not x[2] and (x[3] or not marked)]
-    weight = [max(0, len(t) if marked else len(t) - 2 * a) for t, a, _, _ in found]
-    threshold = 0 if marked else surge
-    n, half = len(weight), window // 2
+    # Tags weigh the lines; the distribution of the weights picks them.
+    weight = [None if bad else (len(t) + surge if main else 0) if marked else max(0, len(t) - 2 * a) for t, a, bad, main in found]
+    return "\n\n".join(found[i][0] for i in picked(weight, window, surge))
+
+
+def picked(weight: list[int | None], window: int = WINDOW, surge: int = SURGE) -> list[int]:
+    """The lines between each surge and dive of the sums over a window, less lines
+    without weight at either end. Lines of weight null, boilerplate, are in no sum and not picked."""
+    at = [i for i, w in enumerate(weight) if w is not None]
+    n, half = len(at), window // 2
     prefix = [0]
-    for w in weight:
-        prefix.append(prefix[-1] + w)
+    for i in at:
+        prefix.append(prefix[-1] + weight[i])
     sums = [prefix[min(n, i + half + 1)] - prefix[max(0, i - half)] for i in range(n)]
     regions: list[tuple[int, int]] = []
     start = None
-    for i in range(n):
-        if start is None and weight[i] and sums[i] > threshold:
-            start = i  # surge
-        elif start is not None and sums[i] <= threshold:
+    for i in range(n + 1):
+        if start is None:
+            if i < n and weight[at[i]] and sums[i] > surge:
+                start = i  # surge
+        elif i == n or sums[i] <= surge:
             regions.append((start, i))  # dive
             start = None
-    if start is not None:
-        regions.append((start, n))
-    if not regions and any(weight):  # too short a page to surge: the whole is the region
+    if not regions and prefix[-1]:  # too short a page to surge: the whole is the region
         regions = [(0, n)]
-    keep = []
+    out: list[int] = []
     for a, b in regions:
-        some = [i for i in range(a, b) if weight[i]]
-        keep += [t for t, _, _, _ in found[some[0] : some[-1] + 1]]
-    return "\n\n".join(keep)
+        while not weight[at[a]]:
+            a += 1
+        while not weight[at[b - 1]]:
+            b -= 1
+        out += at[a:b]
+    return out
 
 
 def extract(pages: DataFrame, html: Column | str = "html", text: str = "text") -> DataFrame:
