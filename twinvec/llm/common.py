@@ -94,13 +94,13 @@ def stars(links: DataFrame, rows: int, max_rounds: int = 60) -> DataFrame:
     """(a, b) links between up to `rows` ids -> a written table (u, v): each id of a component, but the least,
     with the least. Self-links and repeats are ignored.
 
-    Tasks contract the links they hold, twice: where they come up, and, fewer, where
-    those edges are gathered. If the second is one task that could hold all, stars are left; else
+    Links are gathered in few tasks, which contract what they hold (not where links come up: that
+    would keep two Python workers a task). If it is one task that could hold all, stars are left; else
     large-star and small-star rounds
     alternate until all edges form stars: every round is a few shuffles on ids,
     whatever the size of a component; its state is a written table.
     """
-    edges = contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     tasks = -(-max(1, rows) // (4 * HELD))
     edges = written(contracted(edges.repartition(tasks)), "edges")
     if tasks == 1 and edges.count() < HELD // 2:  # a task that holds more sends some on early

@@ -108,9 +108,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, text: str = "text", lang: s
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in sizes.items()], "lang string, share double")
-    share = F.col("share")
-    picked = known.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)) < share)
+    shares = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])
+    picked = known.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0)))
 
     def count(batches):
         grams: dict[str, np.ndarray] = {}
