@@ -22,20 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Rows a batch between the JVM and Python while a table is written, at most: rows may hold long texts.
-BATCH_ROWS = 1000
+#: Rows a batch between the JVM and Python, and from a Parquet file: rows may hold long texts,
+#: and batches of some MB grow the heap and the workers far beyond what they hold.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def set_small_batches(spark: SparkSession) -> dict[str, str]:
+    """-> the settings before."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    for k, rows in BATCHES.items():
+        if not 0 < int(before[k]) <= rows:
+            spark.conf.set(k, str(rows))
+    return before
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession):
+    before = set_small_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def few(rows: int, each: int = 250_000, least: int = 8) -> int:
