@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from twinvec.llm import lang_id, mixing, ngram_join, packing, pii
 from twinvec.llm.common import written
 from twinvec.llm.queries import tokenizer_path
+from twinvec.scratch import set_small_batches
 
 MIN_SCORE = 0.1
 GRAM_WORDS, PERCENT = 5, 80
@@ -30,8 +31,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Batches of whole texts: the default of 10,000 rows takes much memory on both sides.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    set_small_batches(spark)  # for all stages
     model = lang_id.train(docs.where(~lang_id.held_out("doc_id")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     tagged = lang_id.predict(docs.select(F.struct(*columns).alias("row"), "text"), model)
