@@ -217,8 +217,8 @@ def match(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=
         y = prints.select(F.col("doc_id").alias("b"), F.col("fp").alias("fb"))
         return pairs.join(x, "a").join(y, "b").where(linked("fa", "fb")).select("a", "b")
 
-    def across(groups: DataFrame) -> DataFrame:
-        return ngram_join.block_pairs(groups.join(prints, "doc_id"), _compare, "fp", files=files)
+    def across(groups: DataFrame, nearest: bool) -> DataFrame:
+        return ngram_join.block_pairs(groups.join(prints, "doc_id"), _compare, "fp", nearest, files=files)
 
     comps = resolve(found, total, verify, across)
     dropped(found)
@@ -233,11 +233,11 @@ def match(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=
 
 def _compare(rows: pd.DataFrame):
     fps = [np.frombuffer(x, "<u4") for x in rows["fp"]]
-    comp, ids = rows["component_id"].to_numpy(), rows["doc_id"].to_numpy()
+    comp = rows["component_id"].to_numpy()
 
-    def compare(strays: np.ndarray, members: np.ndarray) -> list[tuple[int, int, float]]:
-        pairs = ((k, m) for k in strays for m in members if comp[k] != comp[m])
-        return [(int(min(ids[k], ids[m])), int(max(ids[k], ids[m])), 0.0) for k, m in pairs if same_recording(fps[k], fps[m])]
+    def compare(k: int, members: np.ndarray):
+        found = [m for m in members[comp[members] != comp[k]] if same_recording(fps[k], fps[m])]
+        return np.array(found, np.int64), np.zeros(len(found))
 
     return compare
 

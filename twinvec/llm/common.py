@@ -139,6 +139,10 @@ def components(links: DataFrame, rows: int, a: str = "a", b: str = "b") -> DataF
     return labels(stars(links.select(F.col(a).alias("a"), F.col(b).alias("b")), rows))
 
 
+#: Rounds in which each stray is checked against its nearest candidate only.
+ROUNDS = 4
+
+
 def resolve(found: DataFrame, rows: int, verify, across, screen=None) -> DataFrame:
     """Components of a similarity join of up to `rows` ids whose candidates come in key groups.
 
@@ -146,17 +150,20 @@ def resolve(found: DataFrame, rows: int, verify, across, screen=None) -> DataFra
     a (of size b) is in the large group of key gram, of which only pairs with few
     members are among the pairs. screen(pairs) drops pairs that cannot be links;
     verify(pairs (a, b)) keeps the links; across(groups (gram, doc_id, n, component_id,
-    stray)) gives pairs (a, b, cost) of each stray, a member outside its group's largest
-    component, with all members of other components. Each id is checked against
-    its least candidate first, and of the pairs between two components that of least cost;
-    pairs that the components then join need no check;
-    all others get one. -> (id, component_id) of ids with links.
+    stray), nearest) gives pairs (a, b) of each stray, a member outside its group's largest
+    component, with all members of other components that may be links, or, if nearest, with the
+    likeliest of them alone. Each id is checked against
+    its least candidate first, then all other pairs; then come rounds over the large groups
+    of several components, each stray against its nearest, as long as they join components, and
+    at last all that such groups still hold. Pairs that
+    the components join need no check; all others get one. -> (id, component_id) of ids with links.
     """
-    pairs = found.where("gram is null").select("a", "b").distinct()
     files = few(rows)
-    pairs = written(screen(pairs) if screen else pairs, "pairs", files)
+    pairs = written(screen(found_pairs(found)) if screen else found_pairs(found), "pairs", files)
     least = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least", files)
     star = stars(verify(least), rows)
+    seen = [pairs]
+    tables = [least]
 
     def labelled(df: DataFrame, key: str, to: str) -> DataFrame:
         c = labels(star).select(F.col("id").alias("__id"), F.col("component_id").alias("__c"))
@@ -167,30 +174,45 @@ def resolve(found: DataFrame, rows: int, verify, across, screen=None) -> DataFra
         dropped(star)
         return new
 
-    def apart(df: DataFrame) -> DataFrame:
-        return labelled(labelled(df, "a", "ca"), "b", "cb").where("ca <> cb")
-
-    rest = written(apart(pairs).select("a", "b").join(least, ["a", "b"], "left_anti"), "rest", files)
+    apart = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    rest = written(apart.join(least, ["a", "b"], "left_anti"), "rest", files)
+    tables.append(rest)
     if not rest.isEmpty():
         star = more(verify(rest))
-    large = labelled(found.where("gram is not null").select("gram", F.col("a").alias("doc_id"), F.col("b").alias("n")).distinct(), "doc_id", "component_id")
-    large = written(large, "groups", files)
-    parts = large.groupBy("gram", "component_id").agg(F.count("*").alias("members"))
-    main = parts.groupBy("gram").agg(F.max(F.struct("members", -F.col("component_id"))).alias("m"), F.count("*").alias("parts"))
-    main = written(main.where("parts > 1").select("gram", (-F.col("m.col2")).alias("main")), "mixed", files)
-    tables = [pairs, least, rest, large, main]
-    if not main.isEmpty():
+    groups = found.where("gram is not null").select("gram", F.col("a").alias("doc_id"), F.col("b").alias("n")).distinct()
+    left = ROUNDS
+    while True:
+        large = written(labelled(groups, "doc_id", "component_id"), "groups", files)
+        tables.append(large)
+        # Groups of several components; of those with the same members, one.
+        parts = large.groupBy("gram", "component_id").agg(F.count("*").alias("members"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(doc_id, 1))").alias("x"))
+        main = parts.groupBy("gram").agg(F.max(F.struct("members", -F.col("component_id"))).alias("m"), F.count("*").alias("parts"), F.sum("s").alias("s"), F.expr("bit_xor(x)").alias("x"), F.sum("members").alias("all"))
+        main = main.where("parts > 1").dropDuplicates(["s", "x", "all"]).select("gram", (-F.col("m.col2")).alias("main"))
+        main = written(main, "mixed", files)
+        tables.append(main)
+        if main.isEmpty():
+            break
         strays = large.join(main, "gram").withColumn("stray", F.col("component_id") != F.col("main")).drop("main")
-        others = written(across(strays).join(pairs, ["a", "b"], "left_anti"), "across", files)
-        one = apart(others).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("cost", "a", "b")).alias("m"))
-        one = written(one.select("m.a", "m.b"), "nearest", files)
-        tables += [others, one]
-        if not one.isEmpty():
-            star = more(verify(one))
-            rest = written(apart(others).select("a", "b").join(one, ["a", "b"], "left_anti"), "rest", files)
-            tables.append(rest)
-            if not rest.isEmpty():
-                star = more(verify(rest))
-    for t in tables:
+        others = across(strays, left > 0)
+        for t in seen:
+            others = others.join(t, ["a", "b"], "left_anti")
+        others = written(others, "across", files)
+        seen.append(others)
+        groups = strays.select("gram", "doc_id", "n")  # no other group can have several components later
+        if left == 0:
+            if not others.isEmpty():
+                star = more(verify(others))
+            break
+        before = star.count()
+        left -= 1
+        if not others.isEmpty():
+            star = more(verify(others))
+        if star.count() == before:
+            left = 0
+    for t in tables + seen:
         dropped(t)
     return labels(star)
+
+
+def found_pairs(found: DataFrame) -> DataFrame:
+    return found.where("gram is null").select("a", "b").distinct()

@@ -20,7 +20,7 @@ has is left out. Any order is right; frequencies only make candidates few.
    Tasks do so for the grams that are large among their own rows already and send
    on one member of each, so that a range gets few rows of the most frequent gram.
 4. Pairs whose sizes or parities (SIGNATURE bits that count the grams at a place modulo
-   2) rule them out go. Verification sends each text once to a block of pairs, cuts
+   2, more for longer texts) rule them out go. Verification sends each text once to a block of pairs, cuts
    the sets into FRAGMENTS of the order, counts the overlap of each fragment by itself
    and sums them per pair. Each class is first checked against its least candidate;
    pairs that the components then join need no check, all others get one. In gram
@@ -218,8 +218,10 @@ def gram_order(docs: DataFrame, ranges: int, n: int = NGRAM) -> Order:
 
 def signature(keys: np.ndarray) -> np.ndarray:
     """Parities of the grams by place: two sets differ in at least as many grams
-    as their signatures in bits."""
-    bits = np.bincount((_mix(keys) % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+    as their signatures in bits. Sizes are SIGNATURE times a power of 2, two places a gram or
+    more; folding the halves by xor gives the next smaller one."""
+    size = SIGNATURE << max(0, math.ceil(math.log2(max(1, 2 * len(keys) / SIGNATURE))))
+    bits = np.bincount((_mix(keys) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -408,70 +410,89 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     """(a, b) -> those that sizes and parities allow. sets: (doc_id, n, parity)."""
     x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    # Sizes of pairs that fit differ by one folding at most.
+    fold = lambda p, n: F.when(F.size(p) > n, F.transform(F.slice(p, F.lit(1), n), lambda v, i: v.bitwiseXOR(F.get(p, i + n)))).otherwise(F.col(p))
+    size = F.least(F.size("pa"), F.size("pb"))
+    differ = F.aggregate(F.zip_with(fold("pa", size), fold("pb", size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
     return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
-def block_pairs(rows: DataFrame, prepare, carried: str, percent: int = 0, files: int | None = None) -> DataFrame:
-    """(gram, doc_id, n, component_id, stray, carried) of key groups -> (a, b, cost), what
-    compare(stray places, member places) of compare = prepare(rows) gives for the strays and
-    members of a group. Groups of up to BLOCK members go many to a task's call; of a larger
+def block_pairs(rows: DataFrame, prepare, carried: str, nearest: bool, percent: int = 0, files: int | None = None) -> DataFrame:
+    """(gram, doc_id, n, component_id, stray, carried) of key groups -> (a, b): for
+    compare = prepare(rows), compare(stray place, member places) gives the members
+    that a stray may be linked with and the cost of each; nearest: of each call only the one
+    of least cost. Groups of up to BLOCK members go many to a task's call; of a larger
     one, each block of strays meets each block of members whose sizes may fit. No call
     holds more than two blocks of a large group."""
     # Sizes that fit lie in neighbouring classes; at 0 percent all sizes fit.
     near = 1 if percent else 0
     cls = F.floor(F.log("n") / (math.log(100 / percent) + 1e-6)).cast("int") if percent else F.lit(0)
     r = written(rows.select("gram", "doc_id", "n", "component_id", "stray", carried, cls.alias("k")), "across_rows", files)
-    sizes = r.groupBy(F.col("gram").alias("g"), F.col("k").alias("other")).agg(F.sum(F.col("stray").cast("int")).alias("strays"), F.count("*").alias("members"))
-    sizes = written(sizes, "blocks", files)
-    large = written(sizes.groupBy("g").agg(F.sum("members").alias("all")).where(F.col("all") > BLOCK).select("g"), "large_groups", files)
-    columns = ["gram", "kx", "ky", "x", "y", "side", "doc_id", "n", "component_id", carried]
+    large = written(r.groupBy(F.col("gram").alias("g")).count().where(F.col("count") > BLOCK).select("g"), "large_groups", files)
+    columns = ["gram", "k", "x", "y", "side", "doc_id", "n", "component_id", carried]
+    zero = F.lit(0)
     small = r.join(large, r["gram"] == large["g"], "left_anti")
     # Side 2: a stray among its group's members.
     parts = max(64, ranges_for(r.count()))
-    small = small.select(F.pmod(F.xxhash64("gram"), F.lit(parts)).alias("part"), "gram", F.lit(0).alias("kx"), F.lit(0).alias("ky"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.when(F.col("stray"), 2).otherwise(1).alias("side"), *columns[6:])
-    cut = sizes.select("g", "other", F.ceil(F.col("strays") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("members") / BLOCK).cast("int").alias("ys"))
-    wide = r.join(large, r["gram"] == large["g"], "left_semi").withColumn("near", F.explode(F.sequence(F.col("k") - near, F.col("k") + near)))
-    wide = wide.join(cut, (F.col("gram") == F.col("g")) & (F.col("near") == F.col("other"))).drop("g", "other")
-    mine = cut.select("g", "other", F.col("xs").alias("mx"), F.col("ys").alias("my"))
-    wide = wide.join(mine, (F.col("gram") == F.col("g")) & (F.col("k") == F.col("other"))).drop("g", "other")
+    small = small.select(F.pmod(F.xxhash64("gram"), F.lit(parts)).alias("part"), "gram", zero.alias("k"), zero.alias("x"), zero.alias("y"), F.when(F.col("stray"), 2).otherwise(1).alias("side"), *columns[5:])
+    wide = r.join(large, r["gram"] == large["g"], "left_semi")
+    # Strays go to the classes around theirs, members to their own.
+    left = wide.where("stray").withColumn("k", F.explode(F.sequence(F.col("k") - near, F.col("k") + near)))
+    xs = left.groupBy(F.col("gram").alias("g"), F.col("k").alias("o")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("xs"))
+    ys = wide.groupBy(F.col("gram").alias("g"), F.col("k").alias("o")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"))
+    cut = written(xs.join(ys, ["g", "o"]), "blocks", files)
     at = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = wide.where("stray").select("gram", F.col("k").alias("kx"), F.col("near").alias("ky"), at("mx").alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), *columns[6:])
-    right = wide.where("xs > 0").select("gram", F.col("near").alias("kx"), F.col("k").alias("ky"), every("xs").alias("x"), at("my").alias("y"), F.lit(1).alias("side"), *columns[6:])
-    blocks = left.union(right).select(F.xxhash64(*columns[:5]).alias("part"), *columns)
+    every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    placed = lambda df: df.join(cut, (F.col("gram") == F.col("g")) & (F.col("k") == F.col("o"))).drop("g", "o")
+    left = placed(left).select("gram", "k", at("xs").alias("x"), every("ys").alias("y"), zero.alias("side"), *columns[5:])
+    right = placed(wide).select("gram", "k", every("xs").alias("x"), at("ys").alias("y"), F.lit(1).alias("side"), *columns[5:])
+    blocks = left.union(right).select(F.xxhash64(*columns[:4]).alias("part"), *columns)
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(columns[:5], kind="stable")
-        keys = pdf[columns[:5]].to_numpy()
+        pdf = pdf.sort_values([*columns[:4], "doc_id"], kind="stable")
+        keys = pdf[columns[:4]].to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
-        side, compare, found = pdf["side"].to_numpy(), prepare(pdf), set()
+        side, ids, compare, found = pdf["side"].to_numpy(), pdf["doc_id"].to_numpy(), prepare(pdf), set()
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             own = side[i:j]
-            found.update(compare(i + np.flatnonzero(own != 1), i + np.flatnonzero(own != 0)))
-        return pd.DataFrame(sorted(found), columns=["a", "b", "cost"]).astype({"a": "int64", "b": "int64", "cost": "float64"})
+            members = i + np.flatnonzero(own != 0)
+            for k in (i + np.flatnonzero(own != 1)).tolist():
+                some, cost = compare(k, members)
+                if nearest and len(some):
+                    some = some[[np.argmin(cost)]]
+                found.update((min(ids[k], o), max(ids[k], o)) for o in ids[some].tolist())
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    return small.union(blocks).groupBy("part").applyInPandas(each, "a long, b long, cost double").distinct()
+    return small.union(blocks).groupBy("part").applyInPandas(each, "a long, b long").distinct()
 
 
 def _across(percent: int):
-    """Pairs across components that sizes and parities allow."""
+    """Members of other components that sizes and parities allow."""
 
     def prepare(rows: pd.DataFrame):
-        bits = np.stack(rows["parity"].tolist()).view(np.uint64)
-        comp, ids, n = (rows[c].to_numpy() for c in ("component_id", "doc_id", "n"))
-
-        def compare(strays: np.ndarray, members: np.ndarray) -> list[tuple[int, int, float]]:
-            out = []
-            for k in strays:
-                near = members[(comp[members] != comp[k]) & _fits(n[members], n[k], percent)]
-                differ = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        comp, n = rows["component_id"].to_numpy(), rows["n"].to_numpy()
+        signs = [np.asarray(x, np.int64).view(np.uint64) for x in rows["parity"]]
+        words = np.array([len(x) for x in signs])
+        # By number of words: the signatures of that size, and the larger ones folded once.
+        of, place = {}, {}
+        for w in np.unique(words).tolist():
+            own, twice = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+            of[w] = np.stack([signs[i] for i in own] + [signs[i][:w] ^ signs[i][w:] for i in twice])
+            place[w] = np.full(len(words), -1)
+            place[w][np.concatenate((own, twice))] = np.arange(len(own) + len(twice))
+
+        def compare(k: int, members: np.ndarray):
+            fit = members[(comp[members] != comp[k]) & _fits(n[members], n[k], percent)]
+            found, costs = [], []
+            for w in np.unique(np.minimum(words[fit], words[k])).tolist():
+                near = fit[np.minimum(words[fit], words[k]) == w]
+                differ = np.bitwise_count(of[w][place[w][near]] ^ of[w][place[w][k]]).sum(axis=1, dtype=np.int64)
                 # Jaccard j: the sets differ in (1 - j) / (1 + j) of the sum of their sizes at most.
-                cost = differ / np.maximum(1, n[near] + n[k])
                 ok = (100 + percent) * differ <= (100 - percent) * (n[near] + n[k])
-                out += [(min(ids[k], o), max(ids[k], o), c) for o, c in zip(ids[near[ok]].tolist(), cost[ok].tolist(), strict=True)]
-            return out
+                found.append(near[ok])
+                costs.append(differ[ok] / (n[near[ok]] + n[k]))
+            return (np.concatenate(found), np.concatenate(costs)) if found else (fit, fit)
 
         return compare
 
@@ -501,7 +522,7 @@ def _joined(docs: DataFrame, n: int, percent: int, carry: bool = False) -> tuple
         found,
         total,
         lambda pairs: verified(pairs, table, shared, n, percent),
-        lambda groups: block_pairs(groups.join(parity.drop("n"), "doc_id"), _across(percent), "parity", percent, files),
+        lambda groups, nearest: block_pairs(groups.join(parity.drop("n"), "doc_id"), _across(percent), "parity", nearest, percent, files),
         lambda pairs: plausible(pairs, parity, percent),
     )
     dropped(found)
