@@ -255,6 +255,31 @@ def test_neighbours_share_windows():
     assert np.mean([len({topic[i] for i, _, _ in w}) == 1 for w in windows]) > 0.6
 
 
+def test_shards_hold_neighbours_more_often_than_hashed_ones(spark):
+    """The best ten of each twentieth tail over all tails, by brute force, that its shard holds."""
+    d = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    rows = packing.tokenised(d, queries.tokenizer_path()).cache()
+    got = packing.shards(rows, rows.where("kind = 1").count()).select("doc_id", "ids").collect()
+    tails, shard = [np.frombuffer(r.ids, "<u2") for r in got], np.arange(len(got)) // 64
+    index = packing.Index(tails, packing._corpus_counts(rows))
+    held = []
+    for i in [i for i, r in enumerate(got) if r.doc_id % 20 == 0]:
+        score = index.scores(i)
+        score[i] = -1
+        held.append(np.mean(shard[np.argsort(-score, kind="stable")[:10]] == shard[i]))
+    assert np.mean(held) > 2 * 64 / len(got)
+
+
+def test_null_and_repeated_ids_are_packed_exactly(spark):
+    big = 2**60 + 1
+    docs = [(None, "a b"), (big, "same size x"), (big, "same size y"), (None, None), (big, "w " * 5000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    a, b = ([tuple(r) for r in packing.pack(d, queries.tokenizer_path()).collect()] for _ in range(2))
+    assert {r[0] for r in a} == {None, big} and sorted(map(str, a)) == sorted(map(str, b))
+    enc = packing.encoder(queries.tokenizer_path())
+    assert sum(r[2] for r in a) == sum(1 + len(enc.tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in docs)
+
+
 def test_scores_equal_bm25():
     rng = np.random.default_rng(6)
     tails = [rng.integers(0, 30, rng.integers(5, 40)).astype("<u2") for _ in range(20)]

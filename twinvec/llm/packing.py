@@ -2,28 +2,32 @@
 document finds its neighbours by BM25 and shares windows with them.
 
 1. Documents become token ids (two bytes each) and an end id. Every whole window
-   of a document is a sequence; the rest, its tail, goes with its ids to one of
-   the shards, about SHARD_DOCS documents each by a hash of the id, so that more
-   documents make more shards and not larger ones. The same pass counts in how
+   of a document is a sequence; the rest is its tail. The same pass counts in how
    many tails each token id stands; the sums (one number a vocabulary entry)
    are broadcast. The tokenised rows are a written table.
-2. A shard holds an inverted index of its tails, token id -> (tail, weight), the
+2. Shards are made by content: tails are range-sorted by a lexical key, the commonest of
+   the frequent tokens (which tells languages and styles apart) and the three rarest
+   tokens by rank in the vocabulary, so that tails that share rare words lie side by side,
+   and every SHARD_DOCS of them in a row are a shard. More documents make more shards and not
+   larger ones, and a key of any number of tails is cut like any other.
+3. A shard holds an inverted index of its tails, token id -> (tail, weight), the
    weights from BM25 under the counts of the whole corpus. The longest unused
    tail seeds a window; its unused neighbours join, best score first and those
    that share no token last, until one does not fit. That one is cut to fill the
    window, its rest staying unused under its index entry. So a shard pads one
    sequence at most.
 
-Null texts count as empty: one piece, the end id. Repeated ids are separate
-documents and spread over the shards. Ties go to the tail that comes first by
-(doc_id, start). Empty tables give empty results. Other columns are ignored.
+A seed finds the neighbours of its shard alone. README has the share of a tail's best
+neighbours in the whole corpus that its shard holds.
+
+Null texts count as empty: one piece, the end id. Repeated and null ids are separate
+documents. Ties go to the tail that comes first by (key, doc_id, start, tokens).
+Sequence ids of whole windows are negative. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinvec.llm.common import written
+from twinvec.llm.common import few, written
 
 WINDOW, SHARD_DOCS = 2048, 256
 END_ID = 1
@@ -40,7 +44,10 @@ CHUNK = 3_000_000
 CACHE_WORDS = 400_000
 VOCABULARY = 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ROWS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+#: kind: 0 a whole window, 1 a tail, -1 counts.
+_ROWS = pa.schema([("kind", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("key", pa.int64())])
+#: Token ids that are frequent in texts, by rank in the vocabulary.
+FREQUENT = (256, 8192)
 SPACE, WHITE, LETTER, NUMBER, OTHER = range(5)
 
 
@@ -193,14 +200,22 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenised(docs: DataFrame, shards: int, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text) -> whole windows (crc set), tails (ids set), and, under
-    shard -1, each task's counts by token id."""
+def lexical_key(token: np.ndarray, times: np.ndarray) -> int:
+    """Of the distinct tokens and their counts: commonest frequent token, then the three
+    rarest tokens by rank, 16 bits each."""
+    common = (token >= FREQUENT[0]) & (token < FREQUENT[1])
+    first = int(token[common][times[common].argmax()]) if common.any() else 0
+    rare = [0, 0, 0, *token[-3:].tolist()][:-4:-1]
+    return ((first - (1 << 15)) << 48) | (rare[0] << 32) | (rare[1] << 16) | rare[2]
+
+
+def tokenised(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
+    """(doc_id, text) -> whole windows (crc set), tails (ids and key set), and each
+    task's counts by token id."""
 
     def run(batches):
         enc = encoder(tokenizer)
         stats = np.zeros(VOCABULARY + 2, dtype=np.int64)
-        seen: Counter = Counter()
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             a = 0
@@ -219,23 +234,21 @@ def tokenised(docs: DataFrame, shards: int, tokenizer: str, window: int = WINDOW
                 for i in range(len(chunk)):
                     own = np.append(ids[at[i] : at[i + 1]], np.uint16(END_ID))
                     doc, n = doc_ids[a + i], len(own)
-                    key = str(doc)
-                    shard = (zlib.crc32(key.encode()) + 7919 * seen[key]) % shards
-                    seen[key] += 1
                     whole = n // window * window
                     for s in range(0, whole, window):
-                        put(shard, doc, s, window, crc(own[s : s + window]), n, None)
+                        put(0, doc, s, window, crc(own[s : s + window]), n, None, None)
                     if whole < n:
                         tail = own[whole:]
-                        stats[np.unique(tail)] += 1
+                        token, times = np.unique(tail, return_counts=True)
+                        stats[token] += 1
                         stats[-2] += 1
                         stats[-1] += len(tail)
-                        put(shard, doc, whole, n - whole, None, n, tail.tobytes())
+                        put(1, doc, whole, n - whole, None, n, tail.tobytes(), lexical_key(token, times))
                 a += len(chunk)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _ROWS], schema=_ROWS)
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for f, x in zip(_ROWS, (-1, None, None, None, None, None, stats.tobytes()), strict=True)], schema=_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for f, x in zip(_ROWS, (-1, None, None, None, None, None, stats.tobytes(), None), strict=True)], schema=_ROWS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary, key long")
 
 
 def _corpus_counts(rows: DataFrame) -> np.ndarray:
@@ -249,7 +262,7 @@ def _corpus_counts(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"token": at, "n": total[at]})
 
-    got = rows.where("shard = -1").select("ids").mapInPandas(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.where("kind = -1").select("ids").mapInPandas(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(VOCABULARY + 2, dtype=np.int64)
     out[got["token"].to_numpy(np.int64)] = got["n"]
     return out
@@ -315,26 +328,45 @@ def fill(tails: list[np.ndarray], counts: np.ndarray, window: int = WINDOW):
         yield out
 
 
+def shards(rows: DataFrame, total: int) -> DataFrame:
+    """The tails in lexical order, in partitions of some thousands, each in order."""
+    order = ["key", "doc_id", "start", "doc_tokens", "ids"]
+    tails = rows.where("kind = 1").select("doc_id", "start", "doc_tokens", "ids", "key")
+    return tails.repartitionByRange(few(total, 8000, 1), "key", "doc_id").sortWithinPartitions(*order)
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(doc_id, text) -> the pieces of all sequences."""
-    shards = max(1, math.ceil(docs.count() / shard_docs))
-    rows = written(tokenised(docs, shards, tokenizer, window), "tokens")
+    rows = written(tokenised(docs, tokenizer, window), "tokens")
     counts = docs.sparkSession.sparkContext.broadcast(_corpus_counts(rows))
+    schema = pa.schema([(f.split()[0], pa.int64()) for f in PIECES.split(", ")])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 40
+        held: list[tuple] = []
+
+        def shard():
+            nonlocal base
+            ids, starts, sizes, tails = (list(c) for c in zip(*held, strict=True))
+            held.clear()
+            made = []
+            for pieces in fill([np.frombuffer(x, dtype="<u2") for x in tails], counts.value, window):
+                at = 0
+                for i, a, b in pieces:
+                    made.append((ids[i], starts[i] + a, b - a, crc(np.frombuffer(tails[i], dtype="<u2")[a:b]), sizes[i], base, at))
+                    at += b - a
+                base += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], schema=schema)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = int(pdf["shard"].iloc[0]) << 32
-        pdf = pdf.sort_values(["doc_id", "start", "doc_tokens"], kind="stable")
-        whole, part = pdf[pdf["ids"].isna()], pdf[pdf["ids"].notna()]
-        out = [whole[["doc_id", "start", "length", "crc", "doc_tokens"]].assign(sequence_id=base + np.arange(len(whole)), offset=0).rename(columns={"crc": "ids_crc32"})]
-        tails = [np.frombuffer(x, dtype="<u2") for x in part["ids"]]
-        ids, starts, sizes = part["doc_id"].tolist(), part["start"].tolist(), part["doc_tokens"].tolist()
-        made = []
-        for k, pieces in enumerate(fill(tails, counts.value, window)):
-            at = 0
-            for i, a, b in pieces:
-                made.append((ids[i], starts[i] + a, b - a, crc(tails[i][a:b]), sizes[i], base + len(whole) + k, at))
-                at += b - a
-        out.append(pd.DataFrame(made, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]))
-        return pd.concat([x for x in out if len(x)]).astype({"doc_id": "Int64", "ids_crc32": "int64"})
-
-    return rows.where("shard >= 0").groupBy("shard").applyInPandas(one, PIECES)
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
+                held.append(row)
+                if len(held) == shard_docs:
+                    yield shard()
+        if held:
+            yield shard()
+
+    whole = rows.where("kind = 0").select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shards(rows, rows.where("kind = 1").count()).mapInArrow(run, PIECES).union(whole)
