@@ -217,7 +217,7 @@ def match(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=
         y = prints.select(F.col("doc_id").alias("b"), F.col("fp").alias("fb"))
         return pairs.join(x, "a").join(y, "b").where(linked("fa", "fb")).select("a", "b")
 
-    def across(groups: DataFrame, nearest: bool) -> DataFrame:
+    def across(groups: DataFrame, nearest: int) -> DataFrame:
         return ngram_join.block_pairs(groups.join(prints, "doc_id"), _compare, "fp", nearest, files=files)
 
     comps = resolve(found, total, verify, across)

@@ -150,11 +150,11 @@ def resolve(found: DataFrame, rows: int, verify, across, screen=None) -> DataFra
     a (of size b) is in the large group of key gram, of which only pairs with few
     members are among the pairs. screen(pairs) drops pairs that cannot be links;
     verify(pairs (a, b)) keeps the links; across(groups (gram, doc_id, n, component_id,
-    stray), nearest) gives pairs (a, b) of each stray, a member outside its group's largest
-    component, with all members of other components that may be links, or, if nearest, with the
-    likeliest of them alone. Each id is checked against
+    stray), round) gives pairs (a, b) of each stray, a member outside its group's largest
+    component, with all members of other components that may be links, or, in rounds above 0, with the
+    likeliest of some members alone. Each id is checked against
     its least candidate first, then all other pairs; then come rounds over the large groups
-    of several components, each stray against its nearest, as long as they join components, and
+    of several components, each stray against its nearest, as long as a tenth of these join components, and
     at last all that such groups still hold. Pairs that
     the components join need no check; all others get one. -> (id, component_id) of ids with links.
     """
@@ -193,7 +193,7 @@ def resolve(found: DataFrame, rows: int, verify, across, screen=None) -> DataFra
         if main.isEmpty():
             break
         strays = large.join(main, "gram").withColumn("stray", F.col("component_id") != F.col("main")).drop("main")
-        others = across(strays, left > 0)
+        others = across(strays, left)
         for t in seen:
             others = others.join(t, ["a", "b"], "left_anti")
         others = written(others, "across", files)
@@ -207,7 +207,7 @@ def resolve(found: DataFrame, rows: int, verify, across, screen=None) -> DataFra
         left -= 1
         if not others.isEmpty():
             star = more(verify(others))
-        if star.count() == before:
+        if (star.count() - before) * 10 <= others.count():  # most of what is left are no links
             left = 0
     for t in tables + seen:
         dropped(t)

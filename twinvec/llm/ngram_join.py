@@ -418,24 +418,30 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
-def block_pairs(rows: DataFrame, prepare, carried: str, nearest: bool, percent: int = 0, files: int | None = None) -> DataFrame:
+def block_pairs(rows: DataFrame, prepare, carried: str, nearest: int, percent: int = 0, files: int | None = None) -> DataFrame:
     """(gram, doc_id, n, component_id, stray, carried) of key groups -> (a, b): for
     compare = prepare(rows), compare(stray place, member places) gives the members
-    that a stray may be linked with and the cost of each; nearest: of each call only the one
-    of least cost. Groups of up to BLOCK members go many to a task's call; of a larger
-    one, each block of strays meets each block of members whose sizes may fit. No call
+    that a stray may be linked with and the cost of each. Groups of up to BLOCK members go many to a task's call; of a larger
+    one, each block of strays meets each block of members whose sizes may fit. With `nearest`, a number
+    other than 0, a larger group is dealt by a hash that changes with the number into blocks that
+    are compared each by itself, and a stray gives only the pair of least cost. No call
     holds more than two blocks of a large group."""
     # Sizes that fit lie in neighbouring classes; at 0 percent all sizes fit.
     near = 1 if percent else 0
     cls = F.floor(F.log("n") / (math.log(100 / percent) + 1e-6)).cast("int") if percent else F.lit(0)
     r = written(rows.select("gram", "doc_id", "n", "component_id", "stray", carried, cls.alias("k")), "across_rows", files)
-    large = written(r.groupBy(F.col("gram").alias("g")).count().where(F.col("count") > BLOCK).select("g"), "large_groups", files)
+    large = written(r.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("all")).where(F.col("all") > BLOCK), "large_groups", files)
     columns = ["gram", "k", "x", "y", "side", "doc_id", "n", "component_id", carried]
     zero = F.lit(0)
-    small = r.join(large, r["gram"] == large["g"], "left_anti")
+    parts = F.lit(max(64, ranges_for(r.count())))
     # Side 2: a stray among its group's members.
-    parts = max(64, ranges_for(r.count()))
-    small = small.select(F.pmod(F.xxhash64("gram"), F.lit(parts)).alias("part"), "gram", zero.alias("k"), zero.alias("x"), zero.alias("y"), F.when(F.col("stray"), 2).otherwise(1).alias("side"), *columns[5:])
+    own = [zero.alias("k"), zero.alias("x"), F.col("deal").alias("y"), F.when(F.col("stray"), 2).otherwise(1).alias("side")]
+    if nearest:
+        dealt = r.join(large, r["gram"] == large["g"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(nearest)), F.ceil(F.col("all") / BLOCK)), zero).cast("int"))
+        sent = dealt.select(F.pmod(F.xxhash64("gram", "deal"), parts).alias("part"), "gram", *own, *columns[5:])
+        return _in_groups(sent, columns, prepare, True)
+    small = r.join(large, r["gram"] == large["g"], "left_anti").withColumn("deal", zero)
+    small = small.select(F.pmod(F.xxhash64("gram"), parts).alias("part"), "gram", *own, *columns[5:])
     wide = r.join(large, r["gram"] == large["g"], "left_semi")
     # Strays go to the classes around theirs, members to their own.
     left = wide.where("stray").withColumn("k", F.explode(F.sequence(F.col("k") - near, F.col("k") + near)))
@@ -448,6 +454,11 @@ def block_pairs(rows: DataFrame, prepare, carried: str, nearest: bool, percent:
     left = placed(left).select("gram", "k", at("xs").alias("x"), every("ys").alias("y"), zero.alias("side"), *columns[5:])
     right = placed(wide).select("gram", "k", every("xs").alias("x"), at("ys").alias("y"), F.lit(1).alias("side"), *columns[5:])
     blocks = left.union(right).select(F.xxhash64(*columns[:4]).alias("part"), *columns)
+    return _in_groups(small.union(blocks), columns, prepare, False)
+
+
+def _in_groups(rows: DataFrame, columns: list[str], prepare, nearest: bool) -> DataFrame:
+    """rows: part and columns, (gram, k, x, y) naming who meets whom within a part."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*columns[:4], "doc_id"], kind="stable")
@@ -464,7 +475,7 @@ def block_pairs(rows: DataFrame, prepare, carried: str, nearest: bool, percent:
                 found.update((min(ids[k], o), max(ids[k], o)) for o in ids[some].tolist())
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    return small.union(blocks).groupBy("part").applyInPandas(each, "a long, b long").distinct()
+    return rows.groupBy("part").applyInPandas(each, "a long, b long").distinct()
 
 
 def _across(percent: int):
