@@ -16,7 +16,7 @@ def points(spark, sf):
 
 @pytest.fixture(scope="module")
 def queries(spark, sf):
-    return X.queries(spark, sf).select("qid", "x", "y", "alpha").where("qid < 20").cache()
+    return X.queries(spark, sf).select("qid", "x", "y", "alpha").where("qid < 300").cache()
 
 
 @pytest.fixture(scope="module")
@@ -110,8 +110,8 @@ def test_full_pool_is_exact(points, edges, queries, truth):
 
 
 def test_joins_find_what_the_walk_finds(points, edges, queries, truth):
-    got = search.search_frames(points, edges, queries.where("qid < 5"), 10, pool=80)
-    assert metrics.recall_at_k(got, truth.where("qid < 5"), 10).agg(F.avg("recall")).first()[0] >= 90
+    got = search.search_frames(points, edges, queries.where("qid < 100"), 10, pool=80)
+    assert metrics.recall_at_k(got, truth.where("qid < 100"), 10).agg(F.avg("recall")).first()[0] >= 90
 
 
 def test_other_builders(points):
@@ -232,3 +232,45 @@ def test_visit_counts(points, edges, queries):
     assert metrics.visit_counts(t).agg(F.sum("visits")).first()[0] == t.count()
     assert metrics.discovery_counts(t).agg(F.sum("freq")).first()[0] == t.where("parent is not null").select("qid", "id").distinct().count()
     assert isinstance(t.limit(1).toPandas(), pd.DataFrame)
+
+
+def test_equal_distances_go_to_the_smallest_ids(spark):
+    rows = [(i, [1.0, 0.0], [0.5, 0.5]) for i in range(500)] + [(i, [1.0, 1e-9 * i], [0.5, 0.5]) for i in range(500, 520)]
+    base = spark.createDataFrame(rows, "id long, x array<double>, y array<double>")
+    q = spark.createDataFrame([(-1, [0.0, 0.0], [0.0, 0.0], 0.3), (4, [1.0, 0.0], [0.5, 0.5], 0.5)], "qid long, x array<double>, y array<double>, alpha double")
+    for parts in (1, 7):
+        for digits in (None, 6):
+            got = knn.exact_dual_knn(base.repartition(parts), q, 10, digits=digits).orderBy("qid", "rank").collect()
+            assert [r.id for r in got] == [*range(10), *[i for i in range(11) if i != 4]]
+
+
+def test_exact_knn_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(300, 3)), 1)  # many ties
+    base = spark.createDataFrame([(i, v.tolist(), (-v).tolist()) for i, v in enumerate(x)], "id long, x array<double>, y array<double>").repartition(5)
+    q = base.where("id < 40").selectExpr("id AS qid", "x", "y", "0.5D AS alpha")
+    got = {(g.qid, g["rank"]): g.id for g in knn.exact_dual_knn(base, q, 7, digits=6).collect()}
+    for i in range(40):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 6)
+        want = [j for j in np.lexsort((np.arange(300), d)).tolist() if j != i][:7]
+        assert [got[i, k] for k in range(1, 8)] == want
+
+
+def test_matched_recall_covers_points_that_equal_the_target(spark):
+    rows = [("last", 1, 0.97, 5.0), ("last", 2, 0.95, 3.0), ("one", 1, 0.95, 4.0), ("up", 1, 0.9, 1.0), ("up", 2, 1.0, 3.0), ("later", 1, 0.9, 1.0), ("later", 2, 0.99, 2.0), ("later", 3, 0.95, 9.0)]
+    got = {r.series: r.cost for r in metrics.matched_recall(spark.createDataFrame(rows, "series string, budget int, recall double, cost double"), [0.95]).collect()}
+    assert got == {"last": 3.0, "one": 4.0, "up": pytest.approx(2.0), "later": 9.0}
+    tied = spark.createDataFrame([("a", 0.96, 2.0, 9, "x"), ("a", 0.97, 2.0, 4, "y"), ("a", 0.99, 3.0, 1, "z")], "series string, recall double, cost double, pages int, label string")
+    assert tuple(metrics.work_frontier(tied, [0.95], ties=("pages", "label")).first()) == ("a", 0.95, 2.0, 4, "y")
+
+
+def test_fixed_pruning_covers_equal_distances():
+    v = np.zeros((6, 2))
+    pair = lambda i, j: float(np.sqrt(((v[i] - v[j]) ** 2).sum()))
+    assert graph.prune_fixed(np.arange(6), np.zeros(6), pair, 4) == [0]
+
+
+def test_pool_holds_the_results(spark):
+    empty = spark.createDataFrame([], "id long, x array<double>, y array<double>")
+    with pytest.raises(ValueError, match="pool"):
+        search.search(empty, empty, empty, k=10, pool=5)

@@ -134,15 +134,20 @@ def prune_dual(ids, d1, d2, x, y, degree: int, min_width: float = MIN_WIDTH, rel
     -> (index, layer, ranges) of the chosen."""
     order = np.lexsort((ids, d1, d2))
     layer = np.array(layers_of(d1[order].tolist()))
+    # All distances between candidates at once; plain numbers make the walk over them short.
+    between_x, between_y = (np.sqrt(np.maximum(0, ((m[:, None, :] - m[None, :, :]) ** 2).sum(2))).tolist() for m in (x, y))
+    gap, far = (d1 - d2).tolist(), d2.tolist()
     chosen: list[tuple[int, int, list]] = []
     for depth in range(int(layer.max()) + 1 if len(layer) else 0):
         for c in order[layer == depth].tolist():
-            left = [(0.0, 1.0)]
+            left, px_of, py_of = [(0.0, 1.0)], between_x[c], between_y[c]
             for p, _, _ in chosen:
-                px, py = float(np.sqrt(((x[p] - x[c]) ** 2).sum())), float(np.sqrt(((y[p] - y[c]) ** 2).sum()))
-                nearer = _solve((d1[p] - d2[p]) - (d1[c] - d2[c]), d2[c] - d2[p])
-                between = _solve((relax * px - relax * py) - (d1[c] - d2[c]), d2[c] - relax * py)
-                if nearer and between and (lo := max(nearer[0], between[0])) < (hi := min(nearer[1], between[1])):
+                px, py = relax * px_of[p], relax * py_of[p]
+                nearer = _solve(gap[p] - gap[c], far[c] - far[p])
+                if nearer is None:
+                    continue
+                between = _solve((px - py) - gap[c], far[c] - py)
+                if between and (lo := max(nearer[0], between[0])) < (hi := min(nearer[1], between[1])):
                     left = _subtract(left, lo, hi)
                     if sum(b - a for a, b in left) < min_width:
                         break
@@ -157,10 +162,10 @@ def prune_dual(ids, d1, d2, x, y, degree: int, min_width: float = MIN_WIDTH, rel
 
 def prune_fixed(ids, dist, pair, degree: int, rho: float = 1.0):
     """Relative-neighbour choice at one weight: a candidate stays unless a chosen one is
-    nearer to it, by rho, than the source. pair(i, j): distance of candidates."""
+    as near to it, by rho, as the source or nearer. pair(i, j): distance of candidates."""
     chosen: list[int] = []
     for c in np.lexsort((ids, dist)).tolist():
-        if all(rho * pair(p, c) >= dist[c] for p in chosen):
+        if all(rho * pair(p, c) > dist[c] for p in chosen):
             chosen.append(c)
             if len(chosen) >= degree:
                 break

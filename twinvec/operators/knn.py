@@ -1,9 +1,10 @@
 """Exact nearest neighbours in one or two spaces, by blocks.
 
 Queries are a stated set; they go to the executors in blocks of bounded size.
-Each task scores its rows against a block with matrix products, keeps the best
-candidates, and computes their distances anew without the expansion's error; a
-window keeps the best k of all tasks. Ties go to the smaller id.
+Each task scores its rows against a block with matrix products, computes the
+distances of all that may be among the best anew, without the expansion's error, and holds
+the best k of its rows; a window keeps the best k of all tasks. Ties go to the smaller id, also where
+many rows have one distance.
 """
 
 from __future__ import annotations
@@ -54,39 +55,59 @@ def exact_dual_knn(base: DataFrame, queries: DataFrame, k: int = 10, objective:
         blocks[-1].append(row)
     out = None
     for block in blocks:
-        got = _block(base, spark, block, k, objective, exclude_self)
+        got = _block(base, spark, block, k, objective, exclude_self, digits)
         out = got if out is None else out.union(got)
-    if digits is not None:
-        out = out.withColumn("dist", F.round("dist", digits))
     w = W.partitionBy("qid", "alpha").orderBy("dist", "id")
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "alpha", "rank", "id", "dist")
 
 
-def _block(base: DataFrame, spark, block: list, k: int, objective: str, exclude_self: bool) -> DataFrame:
+#: What the expansion of a square may be off by, as a share of the squares' sizes.
+EXPANSION = 1e-12
+
+
+def _block(base: DataFrame, spark, block: list, k: int, objective: str, exclude_self: bool, digits: int | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(
         (np.array([r.qid for r in block], np.int64), np.array([r.alpha for r in block]), _stack([r.x for r in block]) if block else None, _stack([r.y for r in block]) if block else None)
     )
 
     def run(batches):
         qid, alpha, qx, qy = shared.value
+        most = np.iinfo(np.int64).max
+        best_d, best_id = np.full((len(qid), k), np.inf), np.full((len(qid), k), most)
         for pdf in batches:
             if not len(pdf) or not len(qid):
                 continue
             ids, x, y = pdf["id"].to_numpy(), _stack(pdf["x"]), _stack(pdf["y"])
             for a in range(0, len(qid), 256):
                 s = slice(a, a + 256)
-                score = _score(objective, alpha[s, None], _squares(qx[s], x), _squares(qy[s], y))
+                dx2, dy2 = _squares(qx[s], x), _squares(qy[s], y)
+                score = _score(objective, alpha[s, None], dx2, dy2)
+                # The least that a distance can be, given the expansion's error.
+                slack = [EXPANSION * ((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] + 1) for q, v in ((qx[s], x), (qy[s], y))]
+                least = _score(objective, alpha[s, None], np.maximum(0, dx2 - slack[0]), np.maximum(0, dy2 - slack[1]))
+                upper = _score(objective, alpha[s, None], np.maximum(0, dx2) + slack[0], np.maximum(0, dy2) + slack[1])
                 if exclude_self:
-                    score[qid[s, None] == ids[None, :]] = np.inf
-                # More than k: equal distances may differ by rounding in the expansion.
-                n = min(len(ids), 2 * k + 16)
-                best = np.argpartition(score, n - 1, axis=1)[:, :n]
-                i = np.repeat(np.arange(score.shape[0]), n)
-                j = best.ravel()
-                ok = np.isfinite(score[i, j])
-                i, j = i[ok], j[ok]
-                dx2, dy2 = ((qx[s][i] - x[j]) ** 2).sum(1), ((qy[s][i] - y[j]) ** 2).sum(1)
-                yield pd.DataFrame({"qid": qid[s][i], "alpha": alpha[s][i], "id": ids[j], "dist": _score(objective, alpha[s][i], dx2, dy2)})
+                    own = qid[s, None] == ids[None, :]
+                    score[own] = least[own] = upper[own] = np.inf
+                n = min(len(ids), k)
+                bar = np.minimum(np.partition(upper, n - 1, axis=1)[:, n - 1] if n == k else np.inf, best_d[s, -1])
+                if digits is not None:
+                    bar = bar + 2 * 10.0**-digits
+                i, j = np.nonzero((least <= np.broadcast_to(bar, least.shape[:1])[:, None]) & np.isfinite(score))
+                d = _score(objective, alpha[s][i], ((qx[s][i] - x[j]) ** 2).sum(1), ((qy[s][i] - y[j]) ** 2).sum(1))
+                if digits is not None:
+                    d = np.round(d, digits)
+                order = np.lexsort((ids[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, d, rank = i[rank < k], j[rank < k], d[rank < k], rank[rank < k]
+                new_d, new_id = np.full((len(best_d[s]), k), np.inf), np.full((len(best_d[s]), k), most)
+                new_d[i, rank], new_id[i, rank] = d, ids[j]
+                both_d, both_id = np.concatenate((best_d[s], new_d), axis=1), np.concatenate((best_id[s], new_id), axis=1)
+                first = np.lexsort((both_id, both_d), axis=1)[:, :k]
+                best_d[s], best_id[s] = np.take_along_axis(both_d, first, 1), np.take_along_axis(both_id, first, 1)
+        i, j = np.nonzero(np.isfinite(best_d))
+        yield pd.DataFrame({"qid": qid[i], "alpha": alpha[i], "id": best_id[i, j], "dist": best_d[i, j]})
 
     return base.select("id", "x", "y").mapInPandas(run, "qid long, alpha double, id long, dist double")
 

@@ -41,21 +41,26 @@ def summary(df: DataFrame, value: Column) -> DataFrame:
 
 
 def matched_recall(points: DataFrame, targets: list[float], series: str = "series", recall: str = "recall", cost: str = "cost", order: str = "budget") -> DataFrame:
-    """Cost at each target recall by linear interpolation between neighbouring budgets
-    that bracket it upwards; nothing outside the measured points."""
+    """Cost at each target recall: of the first point that has it exactly, else by linear
+    interpolation between the first neighbouring budgets that bracket it upwards;
+    nothing outside the measured points."""
     w = W.partitionBy(series).orderBy(order)
     p = points.withColumn("__r", F.lead(recall).over(w)).withColumn("__c", F.lead(cost).over(w))
     p = p.withColumn("target", F.explode(F.array(*[F.lit(float(t)) for t in targets])))
-    hit = p.where((F.col(recall) <= F.col("target")) & (F.col("__r") >= F.col("target")) & (F.col("__r") > F.col(recall)))
-    share = (F.col("target") - F.col(recall)) / (F.col("__r") - F.col(recall))
-    value = F.col(cost) + share * (F.col("__c") - F.col(cost))
-    return hit.select(series, "target", F.struct(F.col(order), value.alias("v")).alias("s")).groupBy(series, "target").agg(F.min("s").alias("s")).select(series, "target", F.col("s.v").alias("cost"))
+    equal = F.col(recall) == F.col("target")
+    between = (F.col(recall) < F.col("target")) & (F.col("target") < F.col("__r"))
+    share = F.when(equal, 0.0).otherwise((F.col("target") - F.col(recall)) / (F.col("__r") - F.col(recall)))
+    value = F.when(equal, F.col(cost)).otherwise(F.col(cost) + share * (F.col("__c") - F.col(cost)))
+    hit = p.where(equal | between).select(series, "target", F.struct((~equal).alias("after"), F.col(order), value.alias("v")).alias("s"))
+    return hit.groupBy(series, "target").agg(F.min("s").alias("s")).select(series, "target", F.col("s.v").alias("cost"))
 
 
-def work_frontier(points: DataFrame, targets: list[float], series: str = "series", recall: str = "recall", cost: str = "cost") -> DataFrame:
-    """The cheapest measured point that reaches each target."""
+def work_frontier(points: DataFrame, targets: list[float], series: str = "series", recall: str = "recall", cost: str = "cost", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The cheapest measured point that reaches each target -> series, target, cost and
+    the columns `ties`, which decide in their order between points of equal cost."""
     p = points.withColumn("target", F.explode(F.array(*[F.lit(float(t)) for t in targets]))).where(F.col(recall) >= F.col("target"))
-    return p.groupBy(series, "target").agg(F.min(cost).alias("cost"))
+    best = p.groupBy(series, "target").agg(F.min(F.struct(F.col(cost).alias("cost"), *ties)).alias("m"))
+    return best.select(series, "target", "m.*")
 
 
 def budget_split(alpha: Column, total: int, end: float = 0.05) -> tuple[Column, Column]:

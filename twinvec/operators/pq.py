@@ -77,7 +77,10 @@ def kmeans(x: np.ndarray, k: int, seed: int, iterations: int = ITERATIONS, toler
 
 def _books(codebook: DataFrame) -> list[np.ndarray]:
     books: dict[int, dict[int, list]] = {}
-    for r in codebook.limit(1 << 20).collect():
+    rows = codebook.limit((1 << 20) + 1).collect()
+    if len(rows) > 1 << 20:
+        raise ValueError(f"a codebook of over {1 << 20} centroids")
+    for r in rows:
         books.setdefault(r.chunk, {})[r.code] = r.centroid
     return [np.array([b[c] for c in sorted(b)]) for _, b in sorted(books.items())]
 

@@ -25,7 +25,9 @@ BEAM, PAGE_NODES, DAP = 4, 12, 1.5
 
 
 class Index:
-    """Arrays of one index: ids, vectors, neighbours with ranges, entries."""
+    """Arrays of one index: ids, vectors, neighbours with ranges, entries, codes."""
+
+    codes = None
 
     def __init__(self, points: pd.DataFrame, edges: pd.DataFrame):
         points = points.sort_values("id")
@@ -115,28 +117,32 @@ def walk(ix: Index, qx, qy, alpha: float, pool: int, mode: str = "beam", beam: i
                 found = sorted([*found, *zip(steer(new).tolist(), new.tolist(), strict=True)])[:pool]
 
 
-def _shipped(points: DataFrame, edges: DataFrame):
+def _shipped(points: DataFrame, edges: DataFrame, coded: bool = False):
     n, dims = points.count(), points.select(F.max(F.size("x") + F.size("y"))).first()[0] or 0
     e = written(edges.select("src", "pos", "dst", "ranges"), "edges")
     size = n * dims * 8 + e.count() * 64
     if size > MAX_INDEX:
         raise ValueError(f"an index of {size} bytes: use search_frames, or shard it")
     ix = Index(points.select("id", "x", "y").toPandas(), e.toPandas())
+    ix.codes = _codes(ix) if coded else None
     return ix, points.sparkSession.sparkContext.broadcast(ix)
 
 
 def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, pool: int = 64, mode: str = "beam", beam: int = BEAM,
            dead: DataFrame | None = None, truncate: float = 1e9, filtered: bool = True) -> DataFrame:
     """queries (qid, x, y, alpha) -> qid, rank, id, dist. dead (id): found but not
-    returned. rerank: codes steer, the best of the pool are scored exactly."""
+    returned, so the pool bounds what is left of the k. rerank: codes steer, the best of the pool are scored exactly."""
+    if pool < k:
+        raise ValueError(f"a pool of {pool} for {k} results: the pool holds the results")
     if mode not in MODES:
         raise ValueError(f"mode {mode!r}: use one of {MODES}")
-    _, shared = _shipped(points, edges)
-    gone = set() if dead is None else {r.id for r in dead.select("id").distinct().limit(1 << 20).collect()}
+    _, shared = _shipped(points, edges, mode == "rerank")
+    # The dead go by a join, whatever their number: a task returns its whole pool then.
+    take = k if dead is None else pool
 
     def run(batches):
         ix = shared.value
-        tables = _codes(ix) if mode == "rerank" else None
+        tables = ix.codes
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
@@ -147,18 +153,26 @@ def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10,
                     keep = len(nodes) if truncate >= len(nodes) else int(min(pool, len(nodes), max(truncate, np.ceil(truncate * (1 + np.log10(pool / truncate))))))
                     nodes = nodes[:keep]
                 d = ix.exact(nodes, qx, qy, r.alpha)[0]
-                best = [(float(v), int(ix.ids[n])) for v, n in sorted(zip(d.tolist(), nodes.tolist(), strict=True)) if int(ix.ids[n]) not in gone and int(ix.ids[n]) != r.qid]
-                out += [(r.qid, i + 1, n, v) for i, (v, n) in enumerate(best[:k])]
+                best = [(float(v), int(ix.ids[n])) for v, n in sorted(zip(d.tolist(), nodes.tolist(), strict=True)) if int(ix.ids[n]) != r.qid]
+                out += [(r.qid, i + 1, n, v) for i, (v, n) in enumerate(best[:take])]
             yield pd.DataFrame(out, columns=["qid", "rank", "id", "dist"])
 
-    return queries.select("qid", "x", "y", "alpha").mapInPandas(run, "qid long, rank long, id long, dist double")
+    found = queries.select("qid", "x", "y", "alpha").mapInPandas(run, "qid long, rank long, id long, dist double")
+    if dead is None:
+        return found
+    return knn.top_k(found.drop("rank").join(dead.select("id").distinct(), "id", "left_anti"), k).select("qid", "rank", "id", "dist")
+
+
+#: Rows that codebooks are trained on, at most.
+TRAINED_ON = 16384
 
 
 def _codes(ix: Index, chunks: int = 8, codes: int = 64):
     out = []
     for m in (ix.x, ix.y):
         bounds = pq.chunk_bounds(m.shape[1], chunks)
-        books = [m[:codes, a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        some = m if len(m) <= TRAINED_ON else m[np.random.default_rng(7).choice(len(m), TRAINED_ON, replace=False)]
+        books = [pq.kmeans(some[:, a:b], codes, seed=a) for a, b in zip(bounds, bounds[1:], strict=False)]
         code = np.stack([((m[:, None, a:b] - book[None]) ** 2).sum(2).argmin(1) for (a, b), book in zip(zip(bounds, bounds[1:], strict=False), books, strict=True)], axis=1)
         out.append((bounds, books, code))
     return out

@@ -216,13 +216,13 @@ def degree_stats(spark, sf_dir):
     return graph.degree_stats(g.union(g.select("dst", "src")).distinct())
 
 
-@query(f"WITH {_KNN} SELECT s.src, a.dst, min(s.pos) AS pos FROM (SELECT src, src AS at, 0 AS pos FROM kg WHERE src < 50 AND pos = 1) s JOIN kg a ON s.at = a.src GROUP BY s.src, a.dst")
+@query(f"WITH {_KNN} SELECT s.src, a.dst, min(s.pos) AS pos FROM (SELECT src, src AS at, 0 AS pos FROM kg WHERE src % 20 = 0 AND pos = 1) s JOIN kg a ON s.at = a.src GROUP BY s.src, a.dst")
 def one_hop_expand(spark, sf_dir):
     f = X.queries(spark, sf_dir).select(F.col("qid").alias("src"), F.col("qid").alias("at"), F.lit(0).cast("long").alias("pos"))
     return graph.expand(f, _graph(spark, sf_dir).select(F.col("src").alias("at"), "dst")).select("src", "dst", F.col("pos").cast("int").alias("pos"))
 
 
-@query(f"""WITH {_KNN} SELECT DISTINCT a.src, b.dst FROM kg a JOIN kg b ON a.dst = b.src WHERE a.src < 50 AND b.dst <> a.src
+@query(f"""WITH {_KNN} SELECT DISTINCT a.src, b.dst FROM kg a JOIN kg b ON a.dst = b.src WHERE a.src % 20 = 0 AND b.dst <> a.src
 AND NOT EXISTS (SELECT 1 FROM kg c WHERE c.src = a.src AND c.dst = b.dst)""")
 def two_hop_expand(spark, sf_dir):
     return graph.two_hops(_graph(spark, sf_dir), X.queries(spark, sf_dir).select(F.col("qid").alias("src")))
@@ -372,8 +372,9 @@ def _curve(spark, sf_dir):
 
 
 @query(f"""WITH {_CURVE}, l AS (SELECT *, lead(recall) OVER (PARTITION BY series ORDER BY budget) AS r2, lead(cost) OVER (PARTITION BY series ORDER BY budget) AS c2 FROM cu)
-SELECT series, target, round(cost + (target - recall) / (r2 - recall) * (c2 - cost), 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY series, target ORDER BY budget) AS k
-FROM l, (SELECT CAST(unnest([0.2, 0.4, 0.6, 0.8, 0.95]) AS DOUBLE) AS target) WHERE recall <= target AND r2 >= target AND r2 > recall) WHERE k = 1""")
+SELECT series, target, round(CASE WHEN recall = target THEN cost ELSE cost + (target - recall) / (r2 - recall) * (c2 - cost) END, 6) AS cost
+FROM (SELECT *, row_number() OVER (PARTITION BY series, target ORDER BY recall <> target, budget) AS k
+FROM l, (SELECT CAST(unnest([0.2, 0.4, 0.6, 0.8, 0.95]) AS DOUBLE) AS target) WHERE recall = target OR (recall < target AND target < r2)) WHERE k = 1""")
 def matched_recall_interp(spark, sf_dir):
     m = metrics.matched_recall(_curve(spark, sf_dir), [0.2, 0.4, 0.6, 0.8, 0.95])
     return m.select("series", "target", _r(F.col("cost")).alias("cost"))

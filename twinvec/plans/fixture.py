@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HALF, QUERIES = 32, 50
+#: Queries are the rows whose id is divisible by EVERY, against all rows.
+HALF, EVERY = 32, 20
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set: the first ids, each with a weight."""
-    p = points(spark, sf_dir).where(F.col("id") < QUERIES)
+    """A stated set that grows with the table, each with a weight."""
+    p = points(spark, sf_dir).where(F.col("id") % EVERY == 0)
     return p.select(F.col("id").alias("qid"), "x", "y", "e", ((F.col("id") % 11) / 10.0).alias("alpha"))
 
 
@@ -34,7 +35,7 @@ def sql_sq(a: str, b: str, n: int = HALF) -> str:
 
 
 SQL = f"""v AS (SELECT vec_id AS id, CAST(embedding[1:{HALF}] AS DOUBLE[]) AS x, CAST(embedding[{HALF + 1}:{2 * HALF}] AS DOUBLE[]) AS y, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-q AS (SELECT id AS qid, x AS qx, y AS qy, e AS qe, CAST(id % 11 AS DOUBLE) / 10 AS alpha FROM v WHERE id < {QUERIES}),
+q AS (SELECT id AS qid, x AS qx, y AS qy, e AS qe, CAST(id % 11 AS DOUBLE) / 10 AS alpha FROM v WHERE id % {EVERY} = 0),
 d AS (SELECT qid, alpha, id, {sql_sq("qx", "x")} AS dx2, {sql_sq("qy", "y")} AS dy2 FROM q, v WHERE qid <> id)"""
 SQL_INTERVALS = """iv AS (SELECT vec_id AS id, s.slot, CAST((vec_id * 37 + s.slot * 23) % 90 + 1 AS DOUBLE) / 100 AS lo,
   CAST(least(100, (vec_id * 37 + s.slot * 23) % 90 + 1 + (vec_id * 13 + s.slot * 29) % 40 + 1) AS DOUBLE) / 100 AS hi
