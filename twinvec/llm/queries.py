@@ -154,5 +154,29 @@ SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN coalesce(d, 0) > co
 FROM j LEFT JOIN r{u.ROUNDS} r ON j.host = r.host"""
 
 
+#: Components by reachability, the whole of it: for tables on which SQL can list it.
+_OP3 = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS i, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda t: t IS NULL OR NOT isfinite(t))) = 0 AND len(list_filter(e, lambda t: t <> 0)) > 0),
+l AS (SELECT a.i, b.i AS j FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.i <> b.i WHERE list_cosine_similarity(a.e, b.e) >= {embed_dedup.THRESHOLD}),
+r(i, j) AS (SELECT i, i FROM v UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+c AS (SELECT r.i, min(v.vec_id) AS component_id FROM r JOIN v ON r.j = v.i GROUP BY r.i),
+n AS (SELECT i, count(*) AS n FROM l GROUP BY i)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM v JOIN c USING (i) LEFT JOIN n USING (i)"""
+_OP9 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT i, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS g FROM d),
+c AS (SELECT g, min(i) AS u, len(g) AS n FROM (SELECT i, doc_id, list_sort(g) AS g FROM s) GROUP BY g),
+m AS (SELECT s.i, s.doc_id, c.u, c.n FROM s JOIN c ON list_sort(s.g) = c.g),
+x AS (SELECT u, n, hash(unnest(g)) AS h FROM c),
+l AS (SELECT a.u, b.u AS v FROM x a JOIN x b ON a.h = b.h AND a.u < b.u AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.u, b.u, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(u, v) AS (SELECT u, u FROM c UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+k AS (SELECT r.u, min(m.doc_id) AS component_id FROM r JOIN m ON r.v = m.u GROUP BY r.u)
+SELECT m.doc_id, m.n AS n_shingles, CASE WHEN m.n = 0 THEN m.doc_id ELSE k.component_id END AS component_id FROM m JOIN k ON m.u = k.u"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _op8(), "op5_mix_sources": _OP5, "op10_chat_format": _OP10}
+    return {"op3_embedding_dedup": _OP3, "op9_ngram_join": _OP9, "op8_url_filter": _op8(), "op5_mix_sources": _OP5, "op10_chat_format": _OP10}
