@@ -212,7 +212,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
         sides = [pdf[pdf["side"] == k].sort_values("uid") for k in (0, 1)]
         columns = ["uid", "n", "root"]
         same = not len(sides[1])
-        if not len(sides[0]) or (same and not pdf["pair"].iloc[0].rpartition("|")[0].endswith(pdf["pair"].iloc[0].rpartition("|")[2])):
+        if not len(sides[0]) or (same and len(set(pdf["pair"].iloc[0].rsplit("|", 2)[1:])) > 1):
             return pd.DataFrame({c: [] for c in columns}, dtype="int64")
         s = CoverTree(_matrix(sides[0]["embedding"]))
         t = s if same else CoverTree(_matrix(sides[1]["embedding"]))

@@ -537,6 +537,7 @@ def _joined(docs: DataFrame, n: int, percent: int, carry: bool = False) -> tuple
         lambda pairs: plausible(pairs, parity, percent),
     )
     dropped(found)
+    shared.destroy()  # what follows reads tables
     ends = reps.select("digest", "rows", "best", "doc_id").join(comps, F.col("doc_id") == F.col("id"), "left").where("rows > 1 or id is not null")
     ends = ends.select(F.col("digest").alias("d"), F.coalesce("component_id", "doc_id").alias("c"), "best")
     first = ends.groupBy(F.col("c").alias("k")).agg(F.min("best").alias("least"))
