@@ -101,3 +101,12 @@ def test_sql_functions(spark):
     registry.register(spark)
     assert spark.sql("SELECT fuse(0.5D, 4D, 9D) AS v").first().v == 2.5
     assert [tuple(r) for r in spark.sql("SELECT topk_pool(array(struct(2D AS dist, 1L AS id), struct(1D AS dist, 5L AS id), struct(1D AS dist, 5L AS id)), 2) AS p").first().p] == [(1.0, 5), (2.0, 1)]
+
+
+def test_sql_functions_of_ranges(spark):
+    registry.register(spark)
+    r = "array(named_struct('lo', 0.7D, 'hi', 0.9D), named_struct('lo', 0.1D, 'hi', 0.2D), named_struct('lo', 0.15D, 'hi', 0.3D))"
+    row = spark.sql(f"SELECT range_union({r}) u, range_complement({r}, 0.01D) c, range_quantise({r}) q, recall_at_k(array(1L, 2L, 2L, 9L), array(2L, 9L, 5L, 1L), 2) k, "
+                    "alpha_active(array(named_struct('lo', 0D, 'hi', 0D), named_struct('lo', 0D, 'hi', 1D)), 0.5D) a").first()
+    assert [tuple(x) for x in row.u] == [(0.1, 0.3), (0.7, 0.9)] and [tuple(x) for x in row.c] == [(0.0, 0.1), (0.3, 0.7), (0.9, 1.0)]
+    assert [tuple(x) for x in row.q] == [(70, 90), (10, 20), (15, 30)] and row.k == 100.0 and row.a is False

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from twinvec.index import TwinIndex
 from twinvec.operators import graph, knn, layout, metrics, pq, search, shard, skyline
 from twinvec.plans import fixture as X
 from twinvec.sources import vecbin
@@ -274,3 +275,27 @@ def test_pool_holds_the_results(spark):
     empty = spark.createDataFrame([], "id long, x array<double>, y array<double>")
     with pytest.raises(ValueError, match="pool"):
         search.search(empty, empty, empty, k=10, pool=5)
+
+
+def test_public_index(spark, points, queries, tmp_path):
+    p = points.withColumnRenamed("id", "tag")
+    ix = TwinIndex.build(spark, f"file://{tmp_path}/a", p.where("tag < 250"))
+    ix.insert(p.where("tag >= 240"))
+    ix.remove([5, 7, 251, 99999])
+    alive = {r.tag for r in ix.points().collect()}
+    assert alive == set(range(300)) - {5, 7, 251}
+    got, want = ix.search(queries, 5, 200), ix.exact(queries, 5)
+    assert metrics.recall_at_k(got, want, 5).agg(F.avg("recall")).first()[0] >= 90
+    again = TwinIndex.load(spark, ix.save(f"file://{tmp_path}/b")._rows.folder)
+    assert {r.tag for r in again.points().collect()} == alive
+    assert again.evaluate(queries, 5, [50])[0]["recall"] >= 90
+    with pytest.raises(FileNotFoundError):
+        TwinIndex.load(spark, f"file://{tmp_path}/none")
+    with pytest.raises(ValueError, match="pool"):
+        ix.search(queries, 10, 5)
+
+
+def test_few_rows_left_after_deletions(spark, points, queries, tmp_path):
+    ix = TwinIndex.build(spark, f"file://{tmp_path}/c", points.withColumnRenamed("id", "tag"))
+    ix.remove(list(range(285)))
+    assert {(r.qid, r.n) for r in ix.search(queries.where("qid < 60"), 10, 16).groupBy("qid").agg(F.count("*").alias("n")).collect()} == {(0, 10), (20, 10), (40, 10)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from twinvec.functions import intervals as R
 from twinvec.functions import vector as V
 from twinvec.operators import graph, knn, layout, metrics, pq, search, shard, skyline
 from twinvec.plans import fixture as X
+from twinvec.scratch import shared_dir, written
 from twinvec.streaming import dynamic
 
 K, DIGITS = 10, 6
@@ -609,3 +612,23 @@ def dynamic_replay(spark, sf_dir):
     dead = F.col("event_type").isin("click", "view") | (F.col("event_id") % 3 == 0)
     ops = ev.select((F.col("event_id") % n).alias("tag"), F.col("event_id").alias("seq"), F.when(dead, "delete").otherwise("insert").alias("op"))
     return dynamic.apply_ops(p.select(F.col("id").alias("tag"), F.lit(-1).cast("long").alias("seq")), ops)
+
+
+# The public index
+
+
+@query(f"WITH {X.SQL} SELECT (SELECT count(*) FROM v WHERE id % 7 <> 3) AS alive, (SELECT count(*) FROM q) * {K} AS results, 0 AS removed_found, TRUE AS recall_of_90")
+def index_lifecycle(spark, sf_dir):
+    """Build on some rows, insert the others, remove a seventh, compact, search."""
+    from twinvec.index import TwinIndex
+
+    p = X.points(spark, sf_dir).select(F.col("id").alias("tag"), "x", "y")
+    q = X.queries(spark, sf_dir).select("qid", "x", "y", "alpha")
+    ix = TwinIndex.build(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", p.where("tag % 5 <> 1"))
+    ix.insert(p.where("tag % 5 = 1"))
+    ix.remove(p.where("tag % 7 = 3").select("tag"))
+    ix.compact()
+    got = written(ix.search(q, K, 64), "got")
+    recall = metrics.recall_at_k(got, ix.exact(q, K), K).agg((F.avg("recall") >= 90).alias("recall_of_90"))
+    n = got.agg(F.count("*").alias("results"), F.coalesce(F.sum((F.col("id") % 7 == 3).cast("int")), F.lit(0)).cast("int").alias("removed_found"))
+    return ix.points().agg(F.count("*").alias("alive")).crossJoin(n).crossJoin(recall)
