@@ -141,29 +141,39 @@ def keys(fp: np.ndarray) -> np.ndarray:
     return ngram_join._mix(both) >> np.uint64(16)
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float]:
+def _sorted_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys by place, the places in order of the keys, and the keys in order."""
+    k = keys(fp)
+    order = np.argsort(k, kind="stable")
+    return k, order, k[order]
+
+
+def align(a: np.ndarray, b: np.ndarray, of_a=None, of_b=None) -> tuple[int, int, int, float]:
     """(votes, offset, overlap, bit error rate) at the peak of the offset histogram;
-    of equal peaks the least |offset|, then the least offset."""
-    ka, kb = keys(a), keys(b)
+    of equal peaks the least |offset|, then the least offset. of_a, of_b: _sorted_keys, if there."""
+    ka = (of_a or _sorted_keys(a))[0]
+    kb, order, known = of_b or _sorted_keys(b)
     if not len(ka) or not len(kb):
         return 0, 0, 0, 1.0
-    order = np.argsort(kb, kind="stable")
-    lo, hi = np.searchsorted(kb[order], ka, side="left"), np.searchsorted(kb[order], ka, side="right")
-    votes = np.zeros(len(ka) + len(kb), dtype=np.int64)
-    for i in np.flatnonzero(hi > lo):
-        votes[order[lo[i] : hi[i]] - i + len(ka)] += 1
-    top = np.flatnonzero(votes == votes.max()) - len(ka)
-    if not votes.max():
+    lo, hi = np.searchsorted(known, ka, side="left"), np.searchsorted(known, ka, side="right")
+    n = hi - lo
+    total = int(n.sum())
+    if not total:
         return 0, 0, 0, 1.0
+    ends = np.cumsum(n)
+    place = np.repeat(lo - (ends - n), n) + np.arange(total)
+    votes = np.bincount(order[place] - np.repeat(np.arange(len(ka)), n) + len(ka), minlength=len(ka) + len(kb))
+    most = int(votes.max())
+    top = np.flatnonzero(votes == most) - len(ka)
     offset = int(min(top.tolist(), key=lambda o: (abs(o), o)))
     i, j = max(0, -offset), max(0, offset)
     n = min(len(a) - i, len(b) - j)
     ber = float(np.bitwise_count(a[i : i + n] ^ b[j : j + n]).sum()) / (32 * n)
-    return int(votes.max()), offset, n, ber
+    return most, offset, n, ber
 
 
-def same_recording(a: np.ndarray, b: np.ndarray) -> bool:
-    votes, _, n, ber = align(a, b)
+def same_recording(a: np.ndarray, b: np.ndarray, of_a=None, of_b=None) -> bool:
+    votes, _, n, ber = align(a, b, of_a, of_b)
     return votes >= MIN_VOTES and n >= MIN_OVERLAP and ber <= MAX_BER
 
 
@@ -231,12 +241,24 @@ def match(recordings: DataFrame, column: str = "pcm", rate: int = 11025, decode=
     return out.select("rec_id", F.col("n").alias("n_frames"), F.coalesce("least", "rec_id").alias("class_id"), F.coalesce("component_id", "rec_id").alias("component_id"))
 
 
-def _compare(rows: pd.DataFrame):
+def _compare(rows: pd.DataFrame, nearest: bool):
+    """Members of other components that are linked; nearest: the first one."""
     fps = [np.frombuffer(x, "<u4") for x in rows["fp"]]
     comp = rows["component_id"].to_numpy()
+    known: dict[int, tuple] = {}
+
+    def sorted_keys(k: int):
+        if k not in known:
+            known[k] = _sorted_keys(fps[k])
+        return known[k]
 
     def compare(k: int, members: np.ndarray):
-        found = [m for m in members[comp[members] != comp[k]] if same_recording(fps[k], fps[m])]
+        found = []
+        for m in members[comp[members] != comp[k]].tolist():
+            if same_recording(fps[k], fps[m], sorted_keys(k), sorted_keys(m)):
+                found.append(m)
+                if nearest:
+                    break
         return np.array(found, np.int64), np.zeros(len(found))
 
     return compare

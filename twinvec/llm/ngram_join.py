@@ -420,7 +420,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 def block_pairs(rows: DataFrame, prepare, carried: str, nearest: int, percent: int = 0, files: int | None = None) -> DataFrame:
     """(gram, doc_id, n, component_id, stray, carried) of key groups -> (a, b): for
-    compare = prepare(rows), compare(stray place, member places) gives the members
+    compare = prepare(rows, nearest), compare(stray place, member places) gives the members
     that a stray may be linked with and the cost of each. Groups of up to BLOCK members go many to a task's call; of a larger
     one, each block of strays meets each block of members whose sizes may fit. With `nearest`, a number
     other than 0, a larger group is dealt by a hash that changes with the number into blocks that
@@ -464,7 +464,7 @@ def _in_groups(rows: DataFrame, columns: list[str], prepare, nearest: bool) -> D
         pdf = pdf.sort_values([*columns[:4], "doc_id"], kind="stable")
         keys = pdf[columns[:4]].to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
-        side, ids, compare, found = pdf["side"].to_numpy(), pdf["doc_id"].to_numpy(), prepare(pdf), set()
+        side, ids, compare, found = pdf["side"].to_numpy(), pdf["doc_id"].to_numpy(), prepare(pdf, nearest), set()
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             own = side[i:j]
             members = i + np.flatnonzero(own != 0)
@@ -481,7 +481,7 @@ def _in_groups(rows: DataFrame, columns: list[str], prepare, nearest: bool) -> D
 def _across(percent: int):
     """Members of other components that sizes and parities allow."""
 
-    def prepare(rows: pd.DataFrame):
+    def prepare(rows: pd.DataFrame, nearest: bool):
         comp, n = rows["component_id"].to_numpy(), rows["n"].to_numpy()
         signs = [np.asarray(x, np.int64).view(np.uint64) for x in rows["parity"]]
         words = np.array([len(x) for x in signs])
