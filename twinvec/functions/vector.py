@@ -90,6 +90,48 @@ def pad(v: Column, multiple: int = 8) -> Column:
     return F.concat(v, F.array_repeat(F.lit(0.0), (-F.size(v)) % multiple + F.when((-F.size(v)) % multiple < 0, multiple).otherwise(0)))
 
 
+def unpad(v: Column, dim: int) -> Column:
+    return F.slice(v, 1, dim)
+
+
+#: Element types of vector files and the columns that hold them.
+KINDS = {"double": "double", "float": "float", "int32": "int", "int8": "tinyint", "uint8": "smallint"}
+
+
+def convert(v: Column, kind: str) -> Column:
+    """Elements of another type, cut towards zero; a value that the type cannot hold fails."""
+    whole = {"int32": (-(1 << 31), (1 << 31) - 1), "int8": (-128, 127), "uint8": (0, 255)}
+    if kind not in KINDS:
+        raise ValueError(f"type {kind!r}: use one of {sorted(KINDS)}")
+    if kind not in whole:
+        return v.cast(f"array<{KINDS[kind]}>")
+    lo, hi = whole[kind]
+    cut = lambda e: F.when(e >= 0, F.floor(e)).otherwise(F.ceil(e))
+    put = lambda e: F.when(cut(e).between(lo, hi) | e.isNull(), cut(e)).otherwise(F.raise_error(F.lit(f"a value beyond {kind}")).cast("bigint"))
+    return F.transform(as_double(v), lambda e: put(e).cast(KINDS[kind]))
+
+
+def fp16_bits(x: Column) -> Column:
+    """The bits of a number in half precision, rounded to even, as an int. Zero has no sign."""
+    a = F.abs(x.cast("double"))
+    # The exponent may come out one too small at a power of two: the fraction then carries into it.
+    e = F.greatest(F.floor(F.log2(a)).cast("int"), F.lit(-14))
+    bits = (e + 14) * 1024 + F.rint(a * F.pow(F.lit(2.0), 10 - e)).cast("int")
+    size = F.when(F.isnan(a), 0x7E00).when(a == 0, 0).when(a >= 65520, 0x7C00).otherwise(bits)
+    return (size + F.when(x < 0, 0x8000).otherwise(0)).cast("int")
+
+
+def fp16_value(bits: Column) -> Column:
+    e, m = F.shiftright(bits, 10).bitwiseAND(F.lit(31)), bits.bitwiseAND(F.lit(1023))
+    size = F.when(e == 0, m * 2.0**-24).when((e == 31) & (m == 0), float("inf")).when(e == 31, float("nan")).otherwise((m + 1024) * F.pow(F.lit(2.0), e - 25))
+    return F.when(bits >= 0x8000, -size).otherwise(size)
+
+
+def residual(v: Column, centre: Column, subtract: bool = True) -> Column:
+    """v without its centre, or with it again."""
+    return F.zip_with(as_double(v), as_double(centre), (lambda a, b: a - b) if subtract else (lambda a, b: a + b))
+
+
 def pq_chunks(dim: int, budget_bytes: float, points: int, most: int = 512) -> int:
     """Code bytes a point under a memory budget: at least 1, at most dim and `most`."""
     return max(1, min(dim, most, int(math.floor(budget_bytes / max(points, 1)))))

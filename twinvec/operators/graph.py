@@ -17,7 +17,7 @@ from twinvec.functions import vector as V
 from twinvec.operators import knn
 from twinvec.operators.skyline import layers_of
 
-#: An exact candidate search takes the square of the rows: beyond this, shard first.
+#: Exact candidates take the square of the rows: beyond this, building goes by shards.
 MAX_ROWS = 200_000
 MIN_WIDTH, SLACK = 0.1, 1.3
 ALPHAS = (0.0, 0.5, 1.0)
@@ -49,10 +49,7 @@ def medoids(points: DataFrame, centres: DataFrame, digits: int = 9) -> DataFrame
 
 
 def knn_graph(points: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
-    """(id, vec) -> src, pos, dst, dist: the k nearest others of every row."""
-    n = points.count()
-    if n > MAX_ROWS:
-        raise ValueError(f"{n} rows: build over shards, at most {MAX_ROWS} rows each")
+    """(id, vec) -> src, pos, dst, dist: the k nearest others of every row, exactly, in blocks of rows."""
     q = points.select(F.col("id").alias("qid"), "vec")
     g = knn.exact_knn(points, q, k, digits=digits)
     return g.select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("id").alias("dst"), "dist")
@@ -216,10 +213,12 @@ def dual_edges(candidates: DataFrame, points: DataFrame, degree: int, min_width:
 
 
 def build_dual(points: DataFrame, degree: int = 32, pool: int = 64, min_width: float = MIN_WIDTH, relax: float = 1.0, hard: bool = False) -> DataFrame:
-    """(id, x, y) -> src, pos, dst, d1, d2, layer, ranges. One shard at most MAX_ROWS."""
-    n = points.count()
-    if n > MAX_ROWS:
-        raise ValueError(f"{n} rows: use shard.build_sharded, at most {MAX_ROWS} rows a shard")
+    """(id, x, y) -> src, pos, dst, d1, d2, layer, ranges. Candidates are exact up to MAX_ROWS rows and
+    come from shards of bounded size beyond."""
+    if points.count() > MAX_ROWS:
+        from twinvec.operators import shard
+
+        return shard.build_sharded(points, degree=degree, pool=pool, copies=2, min_width=min_width, relax=relax, hard=hard)
     q = points.select(F.col("id").alias("qid"), "x", "y", F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha"))
     near = knn.exact_dual_knn(points, q, pool, "fused").select(F.col("qid").alias("src"), F.col("id").alias("dst"))
     first = dual_edges(near, points, degree, min_width, relax, hard).select("src", "dst")

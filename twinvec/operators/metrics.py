@@ -70,6 +70,75 @@ def budget_split(alpha: Column, total: int, end: float = 0.05) -> tuple[Column,
     return kx.cast("long"), (F.lit(2 * total) - kx).cast("long")
 
 
+def candidate_budget(method: str, alpha: Column, each: int, end: float = 0.05) -> tuple[Column, Column]:
+    """(kx, ky) by method: equal shares; weighted; or equal shares but all for one index at the weight's ends."""
+    if method == "weighted":
+        return budget_split(alpha, each, end)
+    if method not in ("equal", "endpoint"):
+        raise ValueError(f"method {method!r}: use equal, weighted or endpoint")
+    kx = F.lit(each)
+    if method == "endpoint":
+        kx = F.when(alpha <= end, 0).when(alpha >= 1 - end, 2 * each).otherwise(each)
+    return kx.cast("long"), (F.lit(2 * each) - kx).cast("long")
+
+
+def nearest_weight(alpha: Column, weights: tuple[float, ...]) -> Column:
+    """The index of the nearest of some weights; the first of equally near ones."""
+    return F.array_min(F.array(*[F.struct(F.round(F.abs(alpha - w), 6).alias("d"), F.lit(i).alias("i")) for i, w in enumerate(weights)]))["i"]
+
+
+def valid_pools(pools: list[int], k: int) -> list[int]:
+    """Pools that can hold k results, in their order."""
+    return [p for p in pools if p >= k]
+
+
+def latency_summary(stats: DataFrame, run: str, micros: str, means: tuple[str, ...] = (), shares: tuple[float, ...] = (0.5, 0.9, 0.99, 0.999), threads: int = 1) -> DataFrame:
+    """One row a query -> per run: queries, their rate at so many threads, mean latency, sorted[floor(share * n)] for
+    each share, and the means of other columns. Latencies are counted by value first, so a run's order
+    is one over different values."""
+    s = stats.where(F.col(micros).isNotNull())
+    total = s.groupBy(run).agg(F.count("*").alias("queries"), (F.count("*") * 1e6 * threads / F.sum(micros)).alias("qps"), F.avg(micros).alias("mean"), *[F.avg(m).alias(f"mean_{m}") for m in means])
+    w = W.partitionBy(run).orderBy(micros)
+    c = s.groupBy(run, micros).agg(F.count("*").alias("__n")).withColumn("__to", F.sum("__n").over(w)).join(total.select(run, F.col("queries").alias("__all")), run)
+    cut = [F.min(F.when(F.col("__to") > F.floor(F.lit(p) * F.col("__all")), F.col(micros))).alias(f"p{p * 100:g}".replace(".", "_")) for p in shares]
+    return total.join(c.groupBy(run).agg(*cut), run)
+
+
+def interval_statistics(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """edges (key, slots: ranges in hundredths), weights (percent, n: queries at it) -> one row: edges, used slots, mean
+    width, pairs of slots that overlap and edges with such, mean queries an edge serves (each once)."""
+    used = F.filter("slots", lambda s: ~((s.lo == 0) & (s.hi == 0)) & (s.lo >= 0) & (s.hi >= s.lo) & (s.hi <= 100))
+    e = edges.select("key", used.alias("u"))
+    earlier = F.transform("u", lambda s, i: F.size(F.filter(F.slice(F.col("u"), F.lit(1), i), lambda r: s.lo <= r.hi)))
+    e = e.withColumn("pairs", F.aggregate(earlier, F.lit(0), lambda a, b: a + b))
+    served = F.array_distinct(F.flatten(F.transform("u", lambda s: F.sequence(s.lo.cast("int"), s.hi.cast("int")))))
+    # One number a percent, 101 at most.
+    per = F.broadcast(weights.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("percent").cast("int"), F.col("n").cast("long")))).alias("h")))
+    e = e.withColumn("served", served).crossJoin(per)
+    total = F.aggregate(F.transform("served", lambda p: F.coalesce(F.col("h")[p], F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
+    widths = F.aggregate("u", F.lit(0), lambda a, s: a + (s.hi - s.lo).cast("int"))
+    return e.agg(
+        F.count("*").alias("edges"), F.sum(F.size("u")).alias("slots"), (F.sum(widths) / F.sum(F.size("u"))).alias("mean_width"), F.sum("pairs").alias("overlaps"),
+        F.count(F.when(F.col("pairs") > 0, 1)).alias("overlapping"), F.avg(total).alias("mean_served"),
+    )
+
+
+def first_discoveries(expanded: DataFrame, edges: DataFrame, weights: DataFrame, entries: DataFrame, truth: DataFrame) -> DataFrame:
+    """expanded (qid, step, src): what a search without a filter expanded, in order; edges (src, pos, dst, slots); weights
+    (qid, alpha); entries (id); truth (qid, id) -> per query: edges scanned and how many do not serve its weight, nodes found
+    first through an edge and through one that does not serve, true hits found through such."""
+    from twinvec.functions import intervals as R
+
+    e = expanded.join(weights, "qid").join(edges, "src").withColumn("blocked", ~R.active(F.col("slots"), F.col("alpha")))
+    scanned = e.groupBy("qid").agg(F.count("*").alias("scanned"), F.sum(F.col("blocked").cast("long")).alias("inactive"))
+    first = e.groupBy("qid", F.col("dst").alias("id")).agg(F.min_by("blocked", F.struct("step", "pos")).alias("blocked")).join(entries.select("id").distinct(), "id", "left_anti")
+    hit = truth.select("qid", "id", F.lit(True).alias("true"))
+    found = first.join(hit, ["qid", "id"], "left").groupBy("qid").agg(
+        F.count("*").alias("found"), F.sum(F.col("blocked").cast("long")).alias("found_inactive"), F.count(F.when(F.col("blocked") & F.col("true"), 1)).alias("hits_inactive")
+    )
+    return scanned.join(found, "qid", "left").na.fill(0)
+
+
 def visit_counts(trace: DataFrame) -> DataFrame:
     return trace.groupBy("id").agg(F.count("*").alias("visits"))
 

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from twinvec.functions import intervals as R
 from twinvec.functions import vector as V
 from twinvec.operators import knn, metrics, pq
-from twinvec.scratch import written
+from twinvec.scratch import dropped, written
 
-MODES = ("beam", "page", "rerank", "dap")
+MODES = ("beam", "page", "rerank", "dap", "adaptive", "batched")
 #: Bytes of vectors and edges that an index shipped to tasks may have.
 MAX_INDEX = 1 << 29
-BEAM, PAGE_NODES, DAP = 4, 12, 1.5
+BEAM, PAGE_NODES, DAP, TOGETHER = 4, 12, 1.5, 8
 
 
 class Index:
@@ -58,17 +58,25 @@ class Index:
             return self.near[s]
         return self.near[s][((self.lo[s] <= alpha + 1e-9) & (alpha <= self.hi[s] + 1e-9)).any(axis=1)]
 
+    def places(self, ids) -> np.ndarray:
+        """Where the ids lie that the index has."""
+        ids = np.asarray([] if ids is None else ids, np.int64)
+        at = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
+        return at[self.ids[at] == ids] if len(ids) else at
+
     def exact(self, nodes, qx, qy, alpha):
         dx, dy = np.sqrt(((self.x[nodes] - qx) ** 2).sum(axis=1)), np.sqrt(((self.y[nodes] - qy) ** 2).sum(axis=1))
         return alpha * dx + (1 - alpha) * dy, dx, dy
 
 
-def walk(ix: Index, qx, qy, alpha: float, pool: int, mode: str = "beam", beam: int = BEAM, nav=None, trace: list | None = None, filtered: bool = True):
+def walk(ix: Index, qx, qy, alpha: float, pool: int, mode: str = "beam", beam: int = BEAM, nav=None, trace: list | None = None, filtered: bool = True, seeds=()):
     """-> (distance, node) of the pool, nearest first. nav(nodes): the distance that
-    steers, the exact one by default."""
+    steers, the exact one by default. seeds: nodes to begin from, besides the entries. adaptive: the
+    beam begins at 1 and grows by one a round up to `beam`."""
     steer = nav or (lambda nodes: ix.exact(nodes, qx, qy, alpha)[0])
-    seen = set(ix.entries.tolist())
-    found = sorted(zip(steer(ix.entries).tolist(), ix.entries.tolist(), strict=True))[:pool]
+    entries = np.unique(np.concatenate((ix.entries, np.asarray(seeds, np.int64)))) if len(seeds) else ix.entries
+    seen = set(entries.tolist())
+    found = sorted(zip(steer(entries).tolist(), entries.tolist(), strict=True))[:pool]
     done: set[int] = set()
     pages: set[int] = set()
     waiting: list[int] = []
@@ -77,7 +85,8 @@ def walk(ix: Index, qx, qy, alpha: float, pool: int, mode: str = "beam", beam: i
     if trace is not None:
         trace += [(step, None, n) for _, n in found]
     while True:
-        front = waiting[:beam] if waiting else [n for _, n in found if n not in done][:beam]
+        width = min(beam, step + 1) if mode == "adaptive" else beam
+        front = waiting[:width] if waiting else [n for _, n in found if n not in done][:width]
         if not front:
             return found
         waiting = waiting[len(front) :]
@@ -117,10 +126,44 @@ def walk(ix: Index, qx, qy, alpha: float, pool: int, mode: str = "beam", beam: i
                 found = sorted([*found, *zip(steer(new).tolist(), new.tolist(), strict=True)])[:pool]
 
 
+def walk_together(ix: Index, queries: list, pool: int, beam: int = BEAM, filtered: bool = True) -> list:
+    """walk() for some (qx, qy, alpha, seeds) at once: each round expands the fronts of all and scores
+    what is new by one pass over the vectors."""
+    qx, qy, alpha = np.stack([q[0] for q in queries]), np.stack([q[1] for q in queries]), np.array([q[2] for q in queries])
+    new = {i: np.unique(np.concatenate((ix.entries, np.asarray(q[3], np.int64)))) for i, q in enumerate(queries)}
+    seen, found, done = [set(new[i].tolist()) for i in new], [[] for _ in queries], [set() for _ in queries]
+    while new:
+        who = np.repeat(list(new), [len(v) for v in new.values()])
+        node = np.concatenate(list(new.values()))
+        d = alpha[who] * np.sqrt(((ix.x[node] - qx[who]) ** 2).sum(1)) + (1 - alpha[who]) * np.sqrt(((ix.y[node] - qy[who]) ** 2).sum(1))
+        for i in new:
+            mine = who == i
+            found[i] = sorted([*found[i], *zip(d[mine].tolist(), node[mine].tolist(), strict=True)])[:pool]
+        new = {}
+        for i in range(len(queries)):
+            front: list[int] = []
+            while not front:
+                front = [n for _, n in found[i] if n not in done[i]][:beam]
+                if not front:
+                    break
+                done[i].update(front)
+                near = {n for f in front for n in ix.neighbours(f, alpha[i], filtered).tolist()} - seen[i]
+                if near:
+                    seen[i] |= near
+                    new[i] = np.array(sorted(near), dtype=np.int64)
+                else:
+                    front = []
+    return found
+
+
+def _bytes(points: DataFrame, edges: DataFrame) -> int:
+    n, dims = points.agg(F.count("*"), F.coalesce(F.max(F.size("x") + F.size("y")), F.lit(0))).first()
+    return n * dims * 8 + edges.count() * 64
+
+
 def _shipped(points: DataFrame, edges: DataFrame, coded: bool = False):
-    n, dims = points.count(), points.select(F.max(F.size("x") + F.size("y"))).first()[0] or 0
     e = written(edges.select("src", "pos", "dst", "ranges"), "edges")
-    size = n * dims * 8 + e.count() * 64
+    size = _bytes(points, e)
     if size > MAX_INDEX:
         raise ValueError(f"an index of {size} bytes: use search_frames, or shard it")
     ix = Index(points.select("id", "x", "y").toPandas(), e.toPandas())
@@ -129,13 +172,18 @@ def _shipped(points: DataFrame, edges: DataFrame, coded: bool = False):
 
 
 def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, pool: int = 64, mode: str = "beam", beam: int = BEAM,
-           dead: DataFrame | None = None, truncate: float = 1e9, filtered: bool = True) -> DataFrame:
+           dead: DataFrame | None = None, truncate: float = 1e9, filtered: bool = True, seeds: DataFrame | None = None) -> DataFrame:
     """queries (qid, x, y, alpha) -> qid, rank, id, dist. dead (id): found but not
-    returned, so the pool bounds what is left of the k. rerank: codes steer, the best of the pool are scored exactly."""
+    returned, so the pool bounds what is left of the k. rerank: codes steer, the best of the pool are scored exactly.
+    batched: some queries move together. seeds (qid, id): where a query begins, besides the entries. An
+    index beyond MAX_INDEX bytes is not shipped: all modes then search by joins."""
     if pool < k:
         raise ValueError(f"a pool of {pool} for {k} results: the pool holds the results")
     if mode not in MODES:
         raise ValueError(f"mode {mode!r}: use one of {MODES}")
+    edges = written(edges.select("src", "pos", "dst", "ranges"), "edges")
+    if _bytes(points, edges) > MAX_INDEX:
+        return _by_joins(points, edges if filtered else edges.withColumn("ranges", R.none()), queries, k, pool, dead, seeds)
     _, shared = _shipped(points, edges, mode == "rerank")
     # The dead go by a join, whatever their number: a task returns its whole pool then.
     take = k if dead is None else pool
@@ -145,9 +193,14 @@ def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10,
         tables = ix.codes
         for pdf in batches:
             out = []
-            for r in pdf.itertuples():
-                qx, qy = np.asarray(r.x, np.float64), np.asarray(r.y, np.float64)
-                got = walk(ix, qx, qy, r.alpha, pool, mode, beam, _adc(tables, qx, qy, r.alpha) if tables else None, filtered=filtered)
+            rows = list(pdf.itertuples())
+            asked = [(np.asarray(r.x, np.float64), np.asarray(r.y, np.float64), r.alpha, ix.places(r.seeds)) for r in rows]
+            together = [f for a in range(0, len(asked), TOGETHER) for f in walk_together(ix, asked[a : a + TOGETHER], pool, beam, filtered)] if mode == "batched" else None
+            for i, (r, (qx, qy, alpha, start)) in enumerate(zip(rows, asked, strict=True)):
+                if together is not None:
+                    got = together[i]
+                else:
+                    got = walk(ix, qx, qy, alpha, pool, mode, beam, _adc(tables, qx, qy, alpha) if tables else None, filtered=filtered, seeds=start)
                 nodes = np.array([n for _, n in got], dtype=np.int64)
                 if mode == "rerank":
                     keep = len(nodes) if truncate >= len(nodes) else int(min(pool, len(nodes), max(truncate, np.ceil(truncate * (1 + np.log10(pool / truncate))))))
@@ -157,7 +210,10 @@ def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10,
                 out += [(r.qid, i + 1, n, v) for i, (v, n) in enumerate(best[:take])]
             yield pd.DataFrame(out, columns=["qid", "rank", "id", "dist"])
 
-    found = queries.select("qid", "x", "y", "alpha").mapInPandas(run, "qid long, rank long, id long, dist double")
+    q = queries.select("qid", "x", "y", "alpha")
+    begin = seeds.groupBy("qid").agg(F.collect_set("id").alias("seeds")) if seeds is not None else None
+    q = q.withColumn("seeds", F.array().cast("array<long>")) if begin is None else q.join(begin, "qid", "left")
+    found = q.mapInPandas(run, "qid long, rank long, id long, dist double")
     if dead is None:
         return found
     return knn.top_k(found.drop("rank").join(dead.select("id").distinct(), "id", "left_anti"), k).select("qid", "rank", "id", "dist")
@@ -208,9 +264,20 @@ def trace(points: DataFrame, edges: DataFrame, queries: DataFrame, pool: int = 6
     return queries.select("qid", "x", "y", "alpha").mapInPandas(run, "qid long, step long, parent long, id long")
 
 
-def search_frames(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, pool: int = 64, rounds: int = 64) -> DataFrame:
+def _by_joins(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, pool: int, dead: DataFrame | None, seeds: DataFrame | None) -> DataFrame:
+    # A query is a row of `queries`: one id may ask with several weights.
+    q = written(queries.select(F.monotonically_increasing_id().alias("row"), "qid", "x", "y", "alpha"), "rows")
+    begin = None if seeds is None else q.join(seeds.select("qid", "id").distinct(), "qid").select(F.col("row").alias("qid"), "id")
+    got = search_frames(points, edges, q.select(F.col("row").alias("qid"), "x", "y", "alpha"), pool, pool, seeds=begin, exclude_self=False)
+    got = got.select(F.col("qid").alias("row"), "id", "dist").join(q.select("row", "qid"), "row").where("qid <> id")
+    if dead is not None:
+        got = got.join(dead.select("id").distinct(), "id", "left_anti")
+    return knn.top_k(got, k, partition="row").select("qid", "rank", "id", "dist")
+
+
+def search_frames(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, pool: int = 64, rounds: int = 1024, seeds: DataFrame | None = None, exclude_self: bool = True) -> DataFrame:
     """The same search as joins: the unexpanded rows of every query's pool meet the
-    edges that serve its weight, new rows are scored, the pool's best stay."""
+    edges that serve its weight, new rows are scored, the pool's best stay. Tables of a round go after the next."""
     p = written(points.select("id", "x", "y"), "points")
     e = written(edges.select("src", "dst", "ranges"), "edges")
     q = written(queries.select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"), "alpha"), "queries")
@@ -224,7 +291,9 @@ def search_frames(points: DataFrame, edges: DataFrame, queries: DataFrame, k: in
         s = pairs.join(q, "qid").join(p, "id")
         return s.select("qid", "id", V.fuse(F.col("alpha"), V.l2_sq(F.col("qx"), F.col("x")), V.l2_sq(F.col("qy"), F.col("y"))).alias("dist"))
 
-    state = scored(q.select("qid").crossJoin(F.broadcast(entries))).withColumn("done", F.lit(False))
+    start = q.select("qid").crossJoin(F.broadcast(entries))
+    start = start if seeds is None else start.union(seeds.select("qid", "id")).distinct()
+    state = scored(start).withColumn("done", F.lit(False))
     state = written(state.withColumn("r", F.row_number().over(best)).where(F.col("r") <= pool).drop("r"), "pool")
     seen = written(state.select("qid", "id"), "seen")
     for _ in range(rounds):
@@ -235,17 +304,20 @@ def search_frames(points: DataFrame, edges: DataFrame, queries: DataFrame, k: in
         serves = (F.size("ranges") == 0) | F.exists("ranges", lambda r: (r.lo <= F.col("alpha") + 1e-9) & (F.col("alpha") <= r.hi + 1e-9))
         new = written(hop.where(serves).select("qid", F.col("dst").alias("id")).distinct().join(seen, ["qid", "id"], "left_anti"), "new")
         grown = state.withColumn("done", F.lit(True)).unionByName(scored(new).withColumn("done", F.lit(False)))
+        old = (state, seen, new)
         state = written(grown.withColumn("r", F.row_number().over(best)).where(F.col("r") <= pool).drop("r"), "pool")
         seen = written(seen.union(new.select("qid", "id")), "seen")
-    return knn.top_k(state.where("qid <> id").select("qid", "id", "dist"), k).select("qid", "rank", "id", "dist")
+        for t in old:
+            dropped(t)
+    return knn.top_k(state.where("qid <> id" if exclude_self else "true").select("qid", "id", "dist"), k).select("qid", "rank", "id", "dist")
 
 
-def search_multigraph(points: DataFrame, queries: DataFrame, k: int = 10, budget: int = 20, degree: int = 16, pool: int = 64) -> DataFrame:
-    """Two one-space graphs share 2 * budget results by the query's weight; the union
+def search_multigraph(points: DataFrame, queries: DataFrame, k: int = 10, budget: int = 20, degree: int = 16, pool: int = 64, method: str = "weighted") -> DataFrame:
+    """Two one-space graphs share 2 * budget results by method (metrics.candidate_budget); the union
     is scored exactly."""
     from twinvec.operators.graph import build_single
 
-    kx, ky = metrics.budget_split(F.col("alpha"), budget)
+    kx, ky = metrics.candidate_budget(method, F.col("alpha"), budget)
     parts = []
     for space, take, alpha in (("x", kx, 1.0), ("y", ky, 0.0)):
         g = build_single(points.select("id", F.col(space).alias("vec")), degree, pool).select("src", "pos", "dst", R.none().alias("ranges"))
@@ -254,6 +326,33 @@ def search_multigraph(points: DataFrame, queries: DataFrame, k: int = 10, budget
     return knn.rerank(parts[0].union(parts[1]).distinct(), points, queries, k)
 
 
+#: The weights that the specialised graphs are built for.
+SPECIALISED = (0.1, 0.3, 0.5, 0.7, 0.9)
+
+
+def search_specialised(points: DataFrame, queries: DataFrame, k: int = 10, degree: int = 16, pool: int = 64, weights: tuple[float, ...] = SPECIALISED) -> DataFrame:
+    """One graph a weight; each query goes to the one built for the weight nearest to its own. With a
+    single weight all queries share that graph."""
+    from twinvec.operators.graph import build_fixed
+
+    q = queries.withColumn("__route", metrics.nearest_weight(F.col("alpha"), weights))
+    out = None
+    for i, w in enumerate(weights):
+        g = build_fixed(points, w, degree, pool).select("src", "pos", "dst", R.none().alias("ranges"))
+        # Back-links keep what the choice at one weight leaves without in-neighbours within reach.
+        back = g.select(F.col("dst").alias("src"), F.col("pos") + degree, F.col("src").alias("dst"), "ranges")
+        got = search(points, g.union(back).dropDuplicates(["src", "dst"]), q.where(F.col("__route") == i), k, pool)
+        out = got if out is None else out.union(got)
+    return out
+
+
+def sampled_entries(points: DataFrame, queries: DataFrame, share: float = 0.01, each: int = 4, seed: int = 42) -> DataFrame:
+    """(qid, id): a query's nearest rows of a hashed sample, to begin a search from."""
+    from twinvec.operators.shard import random_slice
+
+    return knn.exact_dual_knn(random_slice(points, share, seed), queries, each).select("qid", "id").distinct()
+
+
 def truth_window(truth: DataFrame, first: int, last: int, k: int, strict: bool = False) -> DataFrame:
     """Ground truth among ids first <= id < last, ranked anew. strict: fails if a
     query keeps fewer than k."""

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from twinvec.operators import graph, knn, pq
 from twinvec.scratch import written
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS, BLOCK = 20_000, 256
 
 
 def random_slice(df: DataFrame, p: float, seed: int = 42, key: str = "id") -> DataFrame:
-    """Each row with probability p, by a hash of seed and key: the same rows in every run
-    and however the table is laid out."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30) < p)
+    """Each row with probability p, by the first 32 bits of the MD5 of "seed:key": the same rows
+    in every run, in every engine and however the table is laid out."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32) < p)
 
 
 def first_centers(points: DataFrame, k: int) -> DataFrame:
@@ -65,22 +66,24 @@ def _edges_inside(pdf: pd.DataFrame, degree: int, pool: int) -> pd.DataFrame:
     """Edges among the rows of one shard."""
     pdf = pdf.sort_values("id").drop_duplicates("id")
     ids, x, y = pdf["id"].to_numpy(), *(np.stack([np.asarray(v, np.float64) for v in pdf[c]]) for c in "xy")
-    d1, d2 = (np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] - 2 * m @ m.T + (m * m).sum(1)[None])) for m in (x, y))
     src, dst = [], []
-    for i in range(len(ids)):
-        near: set[int] = set()
-        for a in graph.ALPHAS:
-            d = a * d1[i] + (1 - a) * d2[i]
-            d[i] = np.inf
-            near.update(np.argsort(d, kind="stable")[: min(pool, len(ids) - 1)].tolist())
-        c = np.array(sorted(near), dtype=np.int64)
-        for j, _, _ in graph.prune_dual(ids[c], d1[i, c], d2[i, c], x[c], y[c], degree) if len(c) else []:
-            src.append(ids[i])
-            dst.append(ids[c[j]])
+    for start in range(0, len(ids), BLOCK):  # distances of a block of rows at a time
+        s = slice(start, start + BLOCK)
+        d1, d2 = (np.sqrt(np.maximum(0, (m[s] * m[s]).sum(1)[:, None] - 2 * m[s] @ m.T + (m * m).sum(1)[None])) for m in (x, y))
+        for i in range(len(d1)):
+            near: set[int] = set()
+            for a in graph.ALPHAS:
+                d = a * d1[i] + (1 - a) * d2[i]
+                d[start + i] = np.inf
+                near.update(np.argsort(d, kind="stable")[: min(pool, len(ids) - 1)].tolist())
+            c = np.array(sorted(near), dtype=np.int64)
+            for j, _, _ in graph.prune_dual(ids[c], d1[i, c], d2[i, c], x[c], y[c], degree) if len(c) else []:
+                src.append(ids[start + i])
+                dst.append(ids[c[j]])
     return pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
 
 
-def build_sharded(points: DataFrame, max_rows: int = 20_000, degree: int = 32, pool: int = 64, copies: int = 1, seed: int = 42) -> DataFrame:
+def build_sharded(points: DataFrame, max_rows: int = 20_000, degree: int = 32, pool: int = 64, copies: int = 1, seed: int = 42, **pruning) -> DataFrame:
     """(id, x, y) -> dual graph: shards by x and shards by y are built apart, each shard in
     one task, and their edges merged and pruned per source."""
     parts = []
@@ -90,7 +93,7 @@ def build_sharded(points: DataFrame, max_rows: int = 20_000, degree: int = 32, p
         parts.append(rows.groupBy("cid", "part").applyInPandas(lambda pdf: _edges_inside(pdf, degree, pool), "src long, dst long"))
     e = written(parts[0].union(parts[1]).distinct(), "shard-edges")
     both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.dual_edges(both, points, degree)
+    return graph.dual_edges(both, points, degree, **pruning)
 
 
 def merge_shards(shards: DataFrame, degree: int, seed: int = 42) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinvec.functions import intervals as R
 from twinvec.functions import vector as V
-from twinvec.operators import graph, knn, layout, metrics, pq, search, shard, skyline
+from twinvec.operators import graph, knn, layout, metrics, pq, search, shard, skyline, store, updates
 from twinvec.plans import fixture as X
 from twinvec.scratch import shared_dir, written
 from twinvec.streaming import dynamic
@@ -178,7 +178,12 @@ def skyline_layer0(spark, sf_dir):
     return skyline.skyline(_distances(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.SQL}, s AS (SELECT qid, id, round(dx2, 6) AS d1, round(dy2, 6) AS d2 FROM d),
+dom AS (SELECT a.qid, a.id AS near, b.id AS far FROM s a JOIN s b ON a.qid = b.qid AND a.d1 <= b.d1 AND (a.d2 < b.d2 OR (a.d2 = b.d2 AND (a.d1 < b.d1 OR a.id < b.id)))),
+r AS (SELECT qid, id, 0 AS layer FROM s UNION SELECT r.qid, far, layer + 1 FROM r JOIN dom ON r.qid = dom.qid AND r.id = near WHERE layer < 41),
+l AS (SELECT qid, id, max(layer) AS layer FROM r GROUP BY qid, id),
+n AS (SELECT qid, layer, sum(count(*)) OVER (PARTITION BY qid ORDER BY layer) - count(*) AS before FROM l GROUP BY qid, layer)
+SELECT qid, id, d1, d2, CAST(layer AS BIGINT) AS layer FROM s JOIN l USING (qid, id) JOIN n USING (qid, layer) WHERE before < 40""")
 def skyline_layers(spark, sf_dir):
     return skyline.truncate_layers(skyline.skyline_layers(_distances(spark, sf_dir)), 40)
 
@@ -282,12 +287,18 @@ def quantize_outward(spark, sf_dir):
     return X.intervals(spark, sf_dir).select("id", F.explode(R.quantize(third)).alias("r")).select("id", "r.lo", "r.hi")
 
 
-@query()
+def _compressed(first: str) -> str:
+    return f"""WITH {X.SQL_INTERVALS}, g AS (SELECT id, lo, hi, row_number() OVER (PARTITION BY id ORDER BY lo) AS i, lag(hi) OVER (PARTITION BY id ORDER BY lo) AS before FROM un),
+c AS (SELECT id, i AS cut FROM (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY lo - before DESC, {first}) AS r FROM g WHERE before IS NOT NULL) WHERE r = 1)
+SELECT id, min(lo) AS lo, max(hi) AS hi FROM g LEFT JOIN c USING (id) GROUP BY id, coalesce(i >= cut, false)"""
+
+
+@query(_compressed("i DESC"))
 def compress_greedy2(spark, sf_dir):
     return _exploded(X.intervals(spark, sf_dir), R.compress(F.col("ranges"), 2, "gap"))
 
 
-@query()
+@query(_compressed("i"))
 def compress_maxcover2(spark, sf_dir):
     return _exploded(X.intervals(spark, sf_dir), R.compress(F.col("ranges"), 2, "split"))
 
@@ -522,7 +533,7 @@ def shard_by_budget(spark, sf_dir):
     return shard.partition_with_budget(p, 200, copies=2)
 
 
-@query()
+@query("SELECT vec_id AS id, label FROM embeddings WHERE CAST('0x' || substr(md5('42:' || vec_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2")
 def sample_bernoulli(spark, sf_dir):
     return shard.random_slice(X.points(spark, sf_dir).select("id", "label"), 0.2, 42)
 
@@ -614,6 +625,273 @@ def dynamic_replay(spark, sf_dir):
     return dynamic.apply_ops(p.select(F.col("id").alias("tag"), F.lit(-1).cast("long").alias("seq")), ops)
 
 
+# Element types, norms, lists of ids
+
+
+@query(f"""WITH {X.SQL}, h AS (SELECT id, i AS pos, e[i] * 1000 AS t, greatest(floor(log2(abs(e[i] * 1000))), -14) AS p FROM v, range(1, 65) t(i)),
+b AS (SELECT id, pos, t, CASE WHEN t = 0 THEN 0 ELSE CAST((p + 14) * 1024 + round_even(abs(t) * pow(2.0, 10 - p), 0) AS INTEGER) END AS size FROM h),
+w AS (SELECT id, pos, size + CASE WHEN t < 0 THEN 32768 ELSE 0 END AS bits, CASE WHEN t < 0 THEN -1.0 ELSE 1.0 END AS sign, size >> 10 AS e, size & 1023 AS m FROM b)
+SELECT id, CAST(pos AS BIGINT) AS pos, CAST(bits AS INTEGER) AS bits, CAST(sign * CASE WHEN e = 0 THEN m * pow(2.0, -24) ELSE (m + 1024) * pow(2.0, e - 25) END + 0.0 AS DOUBLE) AS value FROM w""")
+def half_precision(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.posexplode("e").alias("pos", "t")).withColumn("bits", V.fp16_bits(F.col("t") * 1000))
+    return p.select("id", (F.col("pos") + 1).cast("long").alias("pos"), "bits", (V.fp16_value(F.col("bits")) + 0.0).alias("value"))
+
+
+@query(f"WITH {X.SQL} SELECT id, CAST(i AS BIGINT) AS pos, CAST(trunc(e[i] * 100) AS INTEGER) AS value FROM v, range(1, 65) t(i)")
+def converted_types(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.posexplode(V.convert(F.transform("e", lambda t: t * 100), "int8")).alias("pos", "value"))
+    return p.select("id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("value").cast("int").alias("value"))
+
+
+@query(f"""WITH {X.SQL}, u AS (SELECT id, list_transform(e, lambda t: t / sqrt(list_sum(list_transform(e, lambda u: u * u)))) AS u FROM v)
+SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank
+FROM (SELECT a.id AS qid, b.id, round(sqrt({X.sql_sq("a.u", "b.u", 64)}), 6) AS dist FROM u a, u b WHERE a.id % {X.EVERY} = 0 AND a.id <> b.id)) WHERE rank <= {K}""")
+def normalised_topk(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", V.l2_normalize(F.col("e")).alias("vec"))
+    q = X.queries(spark, sf_dir).select("qid", V.l2_normalize(F.col("e")).alias("vec"))
+    return knn.exact_knn(p, q, K, digits=DIGITS).select("qid", "rank", "id", "dist")
+
+
+@query(f"""WITH {X.SQL} SELECT qid, v.id, round(list_cosine_similarity(qe, e), 6) + 0.0 AS similarity FROM q, range(1, 9) t(j), (SELECT count(*) AS n FROM v) JOIN v ON true WHERE v.id = (qid + j * 7) % n""")
+def cosine_of_lists(spark, sf_dir):
+    p, q = X.points(spark, sf_dir), X.queries(spark, sf_dir)
+    n = p.count()
+    lists = q.select("qid", F.col("e").alias("qe"), F.explode(F.array(*[(F.col("qid") + j * 7) % n for j in range(1, 9)])).alias("id"))
+    return lists.join(p, "id").select("qid", "id", _r(V.cosine_similarity(F.col("qe"), F.col("e"))).alias("similarity"))
+
+
+@query(f"""WITH {X.SQL}, ce AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cid, x AS cv FROM (SELECT * FROM v ORDER BY id LIMIT 8)),
+a AS (SELECT id, x, cid, cv, row_number() OVER (PARTITION BY id ORDER BY round({X.sql_sq("x", "cv")}, 12), cid) AS rank FROM v, ce)
+SELECT id, cid, CAST(i AS BIGINT) AS pos, round(x[i] - cv[i], 6) + 0.0 AS value FROM a, range(1, 33) t(i) WHERE rank = 1""")
+def residuals(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    c = shard.first_centers(p, 8)
+    near = knn.assign_centers(p, c, 1).select("id", "cid").join(F.broadcast(c.select("cid", F.col("vec").alias("centre"))), "cid").join(p, "id")
+    r = near.select("id", "cid", F.posexplode(V.residual(F.col("vec"), F.col("centre"))).alias("pos", "value"))
+    return r.select("id", "cid", (F.col("pos") + 1).cast("long").alias("pos"), _r(F.col("value")).alias("value"))
+
+
+# Stored indexes: layouts, sidecars, tags
+
+
+#: Four edges a node at fixed steps, with the ranges of the node that they lead to.
+_RING = f"""{X.SQL}, rg AS (SELECT id AS src, CAST(j AS BIGINT) AS pos, (id + j * j * 7) % n AS dst FROM v, range(1, 5) t(j), (SELECT count(*) AS n FROM v)), {X.SQL_INTERVALS}"""
+
+
+def _ring(spark, sf_dir) -> DataFrame:
+    p = X.points(spark, sf_dir).select("id")
+    n = p.count()
+    e = p.select(F.col("id").alias("src"), F.explode(F.array(*[F.lit(j).cast("long") for j in range(1, 5)])).alias("pos"))
+    e = e.withColumn("dst", (F.col("src") + F.col("pos") * F.col("pos") * 7) % n)
+    r = X.intervals(spark, sf_dir).withColumnRenamed("id", "dst")
+    return e.join(r, "dst", "left").withColumn("ranges", F.coalesce("ranges", R.none())).select("src", "pos", "dst", "ranges")
+
+
+@query(f"""WITH {_RING} SELECT src, pos, dst, (src + pos) % 3 = 0 OR EXISTS (SELECT 1 FROM iv WHERE iv.id = dst AND round(lo * 100) <= src % 11 * 10 AND src % 11 * 10 <= round(hi * 100)) AS active FROM rg""")
+def sidecar_filter(spark, sf_dir):
+    e = _ring(spark, sf_dir)
+    rows = store.sidecar(e.where("(src + pos) % 3 <> 0"))
+    got = e.select("src", "pos", "dst").join(rows, ["src", "pos"], "left")
+    return got.select("src", "pos", "dst", store.sidecar_active(F.col("ranges"), (F.col("src") % 11) / 10.0).alias("active"))
+
+
+@query(f"""WITH {_RING}, f AS (SELECT src, pos, dst, (SELECT count(*) FROM iv WHERE iv.id = dst) AS slots, (SELECT coalesce(round(sum(hi - lo), 6), 0.0) FROM iv WHERE iv.id = dst) AS width FROM rg)
+SELECT src, pos, dst, CAST(slots AS INTEGER) AS slots, CAST(width AS DOUBLE) AS width, round(x[1], 6) + 0.0 AS x1, round(y[1], 6) + 0.0 AS y1, src * 10 + 3 AS tag FROM f JOIN v ON src = v.id""")
+def stored_index(spark, sf_dir):
+    """Saved in one table, copied, split into three, read back."""
+    folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    p = X.points(spark, sf_dir).select("id", "x", "y")
+    store.save(f"{folder}/one", p, _ring(spark, sf_dir), p.select("id", (F.col("id") * 10 + 3).alias("tag")), "TXY", degree=4, slots=5, pages=8)
+    store.copy(spark, f"{folder}/one", f"{folder}/copy")
+    store.split(spark, f"{folder}/copy", f"{folder}/three", "T_X_Y")
+    s = store.load(spark, f"{folder}/three")
+    e = s.edges.join(s.points.withColumnRenamed("id", "src"), "src").join(s.tags.withColumnRenamed("id", "src"), "src")
+    width = F.aggregate("ranges", F.lit(0.0), lambda a, r: a + (r.hi - r.lo))
+    return e.select("src", "pos", "dst", F.size("ranges").alias("slots"), _r(width).alias("width"), _r(F.get("x", 0)).alias("x1"), _r(F.get("y", 0)).alias("y1"), "tag")
+
+
+@query("SELECT vec_id * 10 + 3 AS tag, vec_id AS id, label, vec_id % 7 <> 3 AS alive FROM embeddings WHERE vec_id % 20 = 0")
+def tag_lookup(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", "label")
+    tags = p.select("id", (F.col("id") * 10 + 3).alias("tag"))
+    asked = X.queries(spark, sf_dir).select((F.col("qid") * 10 + 3).alias("tag"))
+    alive = store.active_tags(tags, tags.where("id % 7 = 3")).withColumn("alive", F.lit(True))
+    return store.by_tag(p, tags, asked).join(alive, "tag", "left").select("tag", "id", "label", F.coalesce("alive", F.lit(False)).alias("alive"))
+
+
+@query(f"WITH {_RING} SELECT src * 10 + 3 AS src, pos, dst * 10 + 3 AS dst FROM rg")
+def shard_to_global(spark, sf_dir):
+    e = _ring(spark, sf_dir)
+    return store.to_global(e, X.points(spark, sf_dir).select(F.col("id").alias("local"), (F.col("id") * 10 + 3).alias("id")))
+
+
+@query("SELECT vec_id AS id, (n - 1 - vec_id) // 12 AS page_id, (n - 1 - vec_id) % 12 AS slot FROM embeddings, (SELECT count(*) AS n FROM embeddings)")
+def page_reorder(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id")
+    n = p.count()
+    return store.reorder(p, p.select("id", (n - 1 - F.col("id")).alias("at")), 12)
+
+
+def _reads() -> str:
+    parts = []
+    for kind, groups in store.LAYOUTS.items():
+        for g in groups:
+            size = store.group_bytes(g, 768, 768, 54, 5)
+            per, each = max(1, layout.PAGE // size), -(-size // layout.PAGE)
+            wanted = "(" + ", ".join(f"'{c}'" for c in g) + ")"
+            parts.append(f"SELECT DISTINCT '{kind}' AS layout, '{g}' AS g, qid, id // {per} AS p, {each} AS each FROM h WHERE part IN {wanted}")
+    return f"""WITH {_TOPS}, h AS (SELECT qid, id, 'T' AS part FROM ra WHERE rank <= 40 UNION ALL SELECT qid, id, 'X' FROM ra WHERE rank <= {K} UNION ALL SELECT qid, id, 'Y' FROM ra WHERE rank <= {K})
+SELECT layout, qid, CAST(sum(each) AS BIGINT) AS pages FROM ({" UNION ALL ".join(parts)}) GROUP BY layout, qid"""
+
+
+@query(_reads())
+def layout_reads(spark, sf_dir):
+    """Pages that each layout reads for 40 expanded and 10 scored nodes a query, at 768 + 768 dimensions."""
+    top = knn.exact_dual_knn(X.points(spark, sf_dir), X.queries(spark, sf_dir), 40, "fused", digits=DIGITS)
+    parts = [top.select("qid", F.col("id").alias("at"), F.lit("T").alias("part"))]
+    parts += [top.where(F.col("rank") <= K).select("qid", F.col("id").alias("at"), F.lit(c).alias("part")) for c in "XY"]
+    hits = written(parts[0].union(parts[1]).union(parts[2]), "hits")
+    out = [store.page_reads(hits, kind, 768, 768, 54, 5).select(F.lit(kind).alias("layout"), "qid", "pages") for kind in store.LAYOUTS]
+    for o in out[1:]:
+        out[0] = out[0].union(o)
+    return out[0]
+
+
+@query("SELECT 0 AS loops, 0 AS repeats, 0 AS unknown, 0 AS gaps, 0 AS beyond")
+def edge_soundness(spark, sf_dir):
+    p = X.points(spark, sf_dir)
+    v = store.edge_violations(_graph(spark, sf_dir), p, K)
+    return v.select(*[F.col(c).cast("int").alias(c) for c in v.columns])
+
+
+@query("SELECT 0 AS wrong, 0 AS unsorted, 0 AS after_end, 0 AS narrowed")
+def range_soundness(spark, sf_dir):
+    third = F.transform(R.union(F.col("ranges")), lambda r: R.span(r.lo * 0.3337, r.hi * 0.3337))
+    e = X.intervals(spark, sf_dir).select(third.alias("ranges")).withColumn("slots", R.quantize(F.col("ranges")))
+    v = store.range_violations(e)
+    return v.select(*[F.col(c).cast("int").alias(c) for c in v.columns])
+
+
+# Statistics of runs, ranges and traces
+
+
+@query("""WITH s AS (SELECT event_type AS run, round(abs(value), 3) + 1 AS us FROM events), o AS (SELECT run, us, row_number() OVER (PARTITION BY run ORDER BY us) AS k, count(*) OVER (PARTITION BY run) AS n FROM s WHERE us IS NOT NULL)
+SELECT run, count(*) AS queries, round(count(*) * 4e6 / sum(us), 3) AS qps, round(avg(us), 6) AS mean, min(us) FILTER (k > floor(0.5 * n)) AS p50, min(us) FILTER (k > floor(0.999 * n)) AS p99_9 FROM o GROUP BY run""")
+def latency_by_run(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("run"), (F.round(F.abs("value"), 3) + 1).alias("us"))
+    s = metrics.latency_summary(e, "run", "us", shares=(0.5, 0.999), threads=4)
+    return s.select("run", "queries", F.round("qps", 3).alias("qps"), F.round("mean", 6).alias("mean"), "p50", "p99_9")
+
+
+@query(f"""WITH {X.SQL_INTERVALS}, h AS (SELECT CAST(vec_id % 11 AS INTEGER) * 10 AS percent, count(*) AS n FROM embeddings WHERE vec_id % 20 = 0 GROUP BY 1),
+s AS (SELECT id, slot, CAST(round(lo * 100) AS INTEGER) AS lo, CAST(round(hi * 100) AS INTEGER) AS hi, row_number() OVER (PARTITION BY id ORDER BY lo, hi, slot) AS i FROM iv),
+p AS (SELECT a.id, count(*) AS pairs FROM s a JOIN s b ON a.id = b.id AND a.i < b.i AND b.lo <= a.hi GROUP BY a.id),
+w AS (SELECT id, sum(n) AS served FROM (SELECT DISTINCT id, percent, n FROM s JOIN h ON percent BETWEEN lo AND hi) GROUP BY id), e AS (SELECT DISTINCT id FROM s)
+SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM s) AS slots, (SELECT round(avg(hi - lo), 6) FROM s) AS mean_width, (SELECT CAST(sum(pairs) AS BIGINT) FROM p) AS overlaps,
+(SELECT count(*) FROM p) AS overlapping, round((SELECT sum(served) FROM w) / (SELECT count(*) FROM e), 6) AS mean_served""")
+def interval_statistics(spark, sf_dir):
+    e = X.intervals(spark, sf_dir).select(F.col("id").alias("key"), R.quantize(F.col("ranges")).alias("slots"))
+    h = X.queries(spark, sf_dir).groupBy((F.col("qid") % 11 * 10).alias("percent")).agg(F.count("*").alias("n"))
+    s = metrics.interval_statistics(e, h)
+    return s.select("edges", "slots", F.round("mean_width", 6).alias("mean_width"), "overlaps", "overlapping", F.round("mean_served", 6).alias("mean_served"))
+
+
+@query(f"""WITH {_KNN}, {X.SQL_INTERVALS}, n AS (SELECT count(*) AS n FROM v), x AS (SELECT qid, alpha, CAST(s AS BIGINT) AS step, (qid * 3 + s * 11) % n AS src FROM q, range(0, 12) t(s), n),
+e AS (SELECT qid, step, pos, dst AS id, NOT (dst % 6 = 0 OR EXISTS (SELECT 1 FROM iv WHERE iv.id = dst AND round(lo * 100) <= round(alpha * 100) AND round(alpha * 100) <= round(hi * 100))) AS blocked FROM x JOIN kg USING (src)),
+f AS (SELECT qid, id, arg_min(blocked, step * 1000 + pos) AS blocked FROM e WHERE id >= 3 GROUP BY qid, id),
+g AS (SELECT qid, count(*) AS scanned, count(*) FILTER (blocked) AS inactive FROM e GROUP BY qid),
+t AS (SELECT src AS qid, dst AS id, true AS hit FROM kg)
+SELECT g.qid, scanned, inactive, count(f.id) AS found, count(*) FILTER (blocked) AS found_inactive, count(*) FILTER (blocked AND hit) AS hits_inactive
+FROM g LEFT JOIN f ON g.qid = f.qid LEFT JOIN t ON t.qid = f.qid AND t.id = f.id GROUP BY g.qid, scanned, inactive""")
+def discovery_audit(spark, sf_dir):
+    g, p, q = written(_graph(spark, sf_dir), "graph"), X.points(spark, sf_dir), X.queries(spark, sf_dir)
+    n = p.count()
+    x = q.select("qid", F.explode(F.array(*[F.lit(s).cast("long") for s in range(12)])).alias("step")).withColumn("src", (F.col("qid") * 3 + F.col("step") * 11) % n)
+    slots = X.intervals(spark, sf_dir).select(F.col("id").alias("dst"), R.quantize(F.col("ranges")).alias("slots"))
+    e = g.join(slots, "dst", "left").withColumn("slots", F.coalesce("slots", F.array().cast(store.HUNDREDTHS)))
+    return metrics.first_discoveries(x, e, q.select("qid", "alpha"), p.where("id < 3").select("id"), g.select(F.col("src").alias("qid"), F.col("dst").alias("id")))
+
+
+@query("""SELECT m AS method, CAST(a AS DOUBLE) / 20 AS alpha, CAST(CASE WHEN m = 'endpoint' AND a <= 1 THEN 0 WHEN m = 'endpoint' AND a >= 19 THEN 20 ELSE 10 END AS BIGINT) AS kx,
+CAST(CASE WHEN m = 'endpoint' AND a <= 1 THEN 20 WHEN m = 'endpoint' AND a >= 19 THEN 0 ELSE 10 END AS BIGINT) AS ky FROM range(0, 21) t(a), (SELECT unnest(['equal', 'endpoint']) AS m)""")
+def candidate_budgets(spark, sf_dir):
+    a = spark.range(21).select((F.col("id") / 20.0).alias("alpha"))
+    parts = []
+    for m in ("equal", "endpoint"):
+        kx, ky = metrics.candidate_budget(m, F.col("alpha"), 10)
+        parts.append(a.select(F.lit(m).alias("method"), "alpha", kx.alias("kx"), ky.alias("ky")))
+    return parts[0].union(parts[1])
+
+
+@query("""SELECT CAST(a AS DOUBLE) / 100 AS alpha, CAST(arg_min(i, round(abs(a / 100.0 - (2 * i + 1) / 10.0), 6) * 1000 + i * 0.0001) AS INTEGER) AS route FROM range(0, 101) t(a), range(0, 5) u(i) GROUP BY a""")
+def routes(spark, sf_dir):
+    a = spark.range(101).select((F.col("id") / 100.0).alias("alpha"))
+    return a.select("alpha", metrics.nearest_weight(F.col("alpha"), search.SPECIALISED).alias("route"))
+
+
+# Updates
+
+
+_MERGED = f"""{_KNN}, nw AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM v WHERE id % 7 <> 3),
+li AS (SELECT src AS via, dst, row_number() OVER (PARTITION BY src ORDER BY pos) AS r FROM kg WHERE src % 7 = 3 AND dst % 7 <> 3),
+sp AS (SELECT src, dst FROM kg WHERE src % 7 <> 3 AND dst % 7 <> 3 UNION SELECT k.src, li.dst FROM kg k JOIN li ON k.dst = via WHERE k.src % 7 <> 3 AND r <= 3),
+pl AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY round({X.sql_sq("a.x", "b.x")}, 9), dst) AS pos FROM sp JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE src <> dst)"""
+
+
+@query(f"WITH {_MERGED} SELECT a.new_id AS src, pos, b.new_id AS dst FROM pl JOIN nw a ON a.id = src JOIN nw b ON b.id = dst")
+def deletions_merged(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    return updates.merge_deletes(written(_graph(spark, sf_dir), "graph"), p.where("id % 7 = 3").select("id"), 64, p, sampled=3)[0]
+
+
+@query(f"WITH {_MERGED} SELECT src, pos, dst FROM pl")
+def deletions_in_place(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    return updates.delete_in_place(written(_graph(spark, sf_dir), "graph"), p.where("id % 7 = 3").select("id"), 64, p, sampled=3)
+
+
+@query("""SELECT CAST(s * 20 + CASE WHEN o = 'delete' THEN 0 ELSE 10 END + i AS BIGINT) AS seq, o AS op, CAST(CASE WHEN o = 'delete' THEN 0 ELSE 100 END + s * 10 + i AS BIGINT) AS tag
+FROM range(0, 5) t(s), range(0, 10) u(i), (SELECT unnest(['delete', 'insert']) AS o)""")
+def sliding_window(spark, sf_dir):
+    return updates.sliding_window(spark, 0, 100, 10, 5)
+
+
+# Recall against the exact answer
+
+
+def _recall_of_90(name: str, got: DataFrame, truth: DataFrame) -> DataFrame:
+    r = metrics.recall_at_k(got, truth, K).agg((F.avg("recall") >= 90).alias("recall_of_90"))
+    return r.select(F.lit(name).alias("way"), "recall_of_90")
+
+
+_WAYS = ("beam", "page", "rerank", "dap", "adaptive", "batched", "seeded", "joins", "specialised")
+
+
+@query(f"SELECT unnest({list(_WAYS)}) AS way, TRUE AS recall_of_90")
+def search_recall(spark, sf_dir):
+    """Every way to search one graph reaches nine tenths of the exact answer."""
+    p, q = X.points(spark, sf_dir).select("id", "x", "y"), X.queries(spark, sf_dir).select("qid", "x", "y", "alpha")
+    e, truth = written(_dual(spark, sf_dir), "graph"), written(knn.exact_dual_knn(p, q, K).select("qid", "rank", "id", "dist"), "truth")
+    found = {mode: search.search(p, e, q, K, 64, mode) for mode in search.MODES}
+    found["seeded"] = search.search(p, e, q, K, 64, seeds=search.sampled_entries(p, q, 0.1))
+    found["joins"] = search.search_frames(p, e, q, K, 64)
+    found["specialised"] = search.search_specialised(p, q, K, pool=64)
+    out = [_recall_of_90(way, found[way], truth) for way in _WAYS]
+    for o in out[1:]:
+        out[0] = out[0].union(o)
+    return out[0]
+
+
+@query("SELECT 'grown' AS way, TRUE AS recall_of_90, 0 AS loops, 0 AS repeats, 0 AS unknown, 0 AS gaps")
+def graph_grown(spark, sf_dir):
+    """A graph built by inserting rows that search it, a tenth of them compared exactly at first."""
+    p, q = X.points(spark, sf_dir).select("id", "x", "y"), X.queries(spark, sf_dir).select("qid", "x", "y", "alpha")
+    e = written(updates.build_by_search(p, 16, 40, first=max(100, p.count() // 10)), "grown")
+    truth = knn.exact_dual_knn(p, q, K).select("qid", "rank", "id", "dist")
+    v = store.edge_violations(e, p, 16)
+    return _recall_of_90("grown", search.search(p, e, q, K, 64), truth).crossJoin(v.select(*[F.col(c).cast("int").alias(c) for c in ("loops", "repeats", "unknown", "gaps")]))
+
+
 # The public index
 
 

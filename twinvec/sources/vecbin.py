@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -188,6 +187,9 @@ def prefix(df: DataFrame, rows: int) -> DataFrame:
 
 
 def append_rows(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows get the ids after the old ones."""
+    """New rows get the ids after the old ones, in order of their own."""
+    from twinvec.operators import layout
+
     first = old.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
-    return old.unionByName(new.withColumn("id", F.row_number().over(W.orderBy("id")) - 1 + first))
+    at = layout.assign_pages(new, 1).select("id", (F.col("page_id") + first).alias("__at"))
+    return old.unionByName(new.join(at, "id").withColumn("id", F.col("__at")).drop("__at"))
