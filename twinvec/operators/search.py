@@ -196,9 +196,9 @@ def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10,
             rows = list(pdf.itertuples())
             asked = [(np.asarray(r.x, np.float64), np.asarray(r.y, np.float64), r.alpha, ix.places(r.seeds)) for r in rows]
             together = [f for a in range(0, len(asked), TOGETHER) for f in walk_together(ix, asked[a : a + TOGETHER], pool, beam, filtered)] if mode == "batched" else None
-            for i, (r, (qx, qy, alpha, start)) in enumerate(zip(rows, asked, strict=True)):
+            for at, (r, (qx, qy, alpha, start)) in enumerate(zip(rows, asked, strict=True)):
                 if together is not None:
-                    got = together[i]
+                    got = together[at]
                 else:
                     got = walk(ix, qx, qy, alpha, pool, mode, beam, _adc(tables, qx, qy, alpha) if tables else None, filtered=filtered, seeds=start)
                 nodes = np.array([n for _, n in got], dtype=np.int64)
@@ -207,16 +207,17 @@ def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10,
                     nodes = nodes[:keep]
                 d = ix.exact(nodes, qx, qy, r.alpha)[0]
                 best = [(float(v), int(ix.ids[n])) for v, n in sorted(zip(d.tolist(), nodes.tolist(), strict=True)) if int(ix.ids[n]) != r.qid]
-                out += [(r.qid, i + 1, n, v) for i, (v, n) in enumerate(best[:take])]
-            yield pd.DataFrame(out, columns=["qid", "rank", "id", "dist"])
+                out += [(r.row, r.qid, i + 1, n, v) for i, (v, n) in enumerate(best[:take])]
+            yield pd.DataFrame(out, columns=["row", "qid", "rank", "id", "dist"])
 
     q = queries.select("qid", "x", "y", "alpha")
     begin = seeds.groupBy("qid").agg(F.collect_set("id").alias("seeds")) if seeds is not None else None
     q = q.withColumn("seeds", F.array().cast("array<long>")) if begin is None else q.join(begin, "qid", "left")
-    found = q.mapInPandas(run, "qid long, rank long, id long, dist double")
-    if dead is None:
-        return found
-    return knn.top_k(found.drop("rank").join(dead.select("id").distinct(), "id", "left_anti"), k).select("qid", "rank", "id", "dist")
+    # A query is a row of `queries`: one id may ask with several weights.
+    found = q.withColumn("row", F.monotonically_increasing_id()).mapInPandas(run, "row long, qid long, rank long, id long, dist double")
+    if dead is not None:
+        found = knn.top_k(found.drop("rank").join(dead.select("id").distinct(), "id", "left_anti"), k, partition="row")
+    return found.select("qid", "rank", "id", "dist")
 
 
 #: Rows that codebooks are trained on, at most.
@@ -265,7 +266,6 @@ def trace(points: DataFrame, edges: DataFrame, queries: DataFrame, pool: int = 6
 
 
 def _by_joins(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, pool: int, dead: DataFrame | None, seeds: DataFrame | None) -> DataFrame:
-    # A query is a row of `queries`: one id may ask with several weights.
     q = written(queries.select(F.monotonically_increasing_id().alias("row"), "qid", "x", "y", "alpha"), "rows")
     begin = None if seeds is None else q.join(seeds.select("qid", "id").distinct(), "qid").select(F.col("row").alias("qid"), "id")
     got = search_frames(points, edges, q.select(F.col("row").alias("qid"), "x", "y", "alpha"), pool, pool, seeds=begin, exclude_self=False)
