@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinvec.functions import vector as V
-from twinvec.operators import graph, knn, metrics, search, shard, store, updates
+from twinvec.operators import graph, knn, layout, metrics, search, shard, store, updates
 from twinvec.plans import fixture as X
 from twinvec.sources import vecbin
 
@@ -146,3 +146,40 @@ def test_statistics(spark):
 def test_appended_rows(spark):
     a, b = (spark.createDataFrame([(i, [float(i)]) for i in ids], "id long, vec array<double>") for ids in ((0, 1), (5, 9)))
     assert [(r.id, r.vec) for r in vecbin.append_rows(a, b).orderBy("id").collect()] == [(0, [0.0]), (1, [1.0]), (2, [5.0]), (3, [9.0])]
+
+
+def test_many_queries_meet_rows_in_tasks(points, monkeypatch):
+    q = points.select(F.col("id").alias("qid"), "x", "y", F.explode(F.array(F.lit(0.2), F.lit(0.7))).alias("alpha"))
+    put = lambda df: sorted((r.qid, r.alpha, r.rank, r.id, r.dist) for r in df.collect())
+    want = put(knn.exact_dual_knn(points, q, 5, digits=9))
+    monkeypatch.setattr(knn, "SHIPPED", 10)
+    monkeypatch.setattr(knn, "ROW_BLOCK", 100)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 32)
+    assert put(knn.exact_dual_knn(points, q, 5, digits=9)) == want
+    assert put(knn.exact_dual_knn(points.where("id < 0"), q, 5)) == []
+
+
+def test_pages_by_ranked_edges(spark):
+    e = spark.createDataFrame([(0, 1, 9.0), (2, 3, 8.0), (1, 2, 7.0), (4, 5, 6.0), (5, 6, 5.0), (6, 0, 4.0), (7, 7, 3.0)], "src long, dst long, weight double")
+    got = {}
+    for r in layout.ranked_pages(e, 4).collect():
+        got.setdefault(r.page_id, set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == [[0, 1, 2, 3], [4, 5, 6, 7]]
+
+
+def test_overlapping_shards_make_one_graph(points, spark):
+    p = points.select("id", F.col("x").alias("vec"))
+    e = shard.build_single_sharded(p, 100, 18, 30).cache()
+    assert sum(store.edge_violations(e, points, 18).first()) == 0
+    g = e.withColumn("ranges", F.array().cast("array<struct<lo:double,hi:double>>"))
+    q = points.where("id % 20 = 0").select(F.col("id").alias("qid"), "x", "y", F.lit(1.0).alias("alpha"))
+    truth = knn.exact_dual_knn(points, q, 10)
+    assert metrics.recall_at_k(search.search(points, g, q, 10, 64), truth, 10).agg(F.avg("recall")).first()[0] >= 90
+
+
+def test_ids_and_normalised_files(spark, tmp_path):
+    d = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0])], "id long, vec array<double>")
+    vecbin.write_vectors(d, f"{tmp_path}/n", kind="fvecs", normalise=True)
+    assert np.allclose([r.vec for r in vecbin.read_vectors(spark, f"{tmp_path}/n", kind="fvecs").orderBy("id").collect()], [[0.6, 0.8], [0, 0]])
+    vecbin.write_vectors(spark.createDataFrame([(0, [7.0]), (1, [9.0])], "id long, vec array<double>"), f"{tmp_path}/i", "int32")
+    assert [tuple(r) for r in vecbin.read_ids(spark, f"{tmp_path}/i").orderBy("local").collect()] == [(0, 7), (1, 9)]

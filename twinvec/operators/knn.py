@@ -1,7 +1,7 @@
 """Exact nearest neighbours in one or two spaces, by blocks.
 
-Queries are a stated set; they go to the executors in blocks of bounded size.
-Each task scores its rows against a block with matrix products, computes the
+Few queries go to the executors in blocks of bounded size; beyond SHIPPED of them, blocks of
+rows meet blocks of queries in tasks, and nothing passes the driver. Each task scores its rows against a block with matrix products, computes the
 distances of all that may be among the best anew, without the expansion's error, and holds
 the best k of its rows; a window keeps the best k of all tasks. Ties go to the smaller id, also where
 many rows have one distance.
@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4096
+#: Queries that go through the driver at most, and rows of a block beyond.
+SHIPPED, ROW_BLOCK = 1 << 14, 1 << 14
 OBJECTIVES = ("fused", "fused_sq", "x", "y", "concat")
 _OUT = "qid long, id long, dist double"
 
@@ -47,16 +49,15 @@ def exact_dual_knn(base: DataFrame, queries: DataFrame, k: int = 10, objective:
     if objective not in OBJECTIVES:
         raise ValueError(f"objective {objective!r}: use one of {OBJECTIVES}")
     spark = base.sparkSession
-    q = queries.select("qid", "x", "y", F.col("alpha").cast("double").alias("alpha")).orderBy("qid", "alpha")
-    blocks: list[list] = [[]]
-    for row in q.toLocalIterator():
-        if len(blocks[-1]) >= QUERY_BLOCK:
-            blocks.append([])
-        blocks[-1].append(row)
-    out = None
-    for block in blocks:
-        got = _block(base, spark, block, k, objective, exclude_self, digits)
-        out = got if out is None else out.union(got)
+    q = queries.select("qid", "x", "y", F.col("alpha").cast("double").alias("alpha"))
+    rows = q.limit(SHIPPED + 1).orderBy("qid", "alpha").collect()
+    if len(rows) > SHIPPED:
+        out = _meet(base, q, k, objective, exclude_self, digits)
+    else:
+        out = None
+        for a in range(0, max(len(rows), 1), QUERY_BLOCK):
+            got = _block(base, spark, rows[a : a + QUERY_BLOCK], k, objective, exclude_self, digits)
+            out = got if out is None else out.union(got)
     w = W.partitionBy("qid", "alpha").orderBy("dist", "id")
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "alpha", "rank", "id", "dist")
 
@@ -65,49 +66,71 @@ def exact_dual_knn(base: DataFrame, queries: DataFrame, k: int = 10, objective:
 EXPANSION = 1e-12
 
 
+def _best(qid, alpha, qx, qy, batches, k: int, objective: str, exclude_self: bool, digits: int | None) -> pd.DataFrame:
+    """The k best rows of the batches for each query."""
+    most = np.iinfo(np.int64).max
+    best_d, best_id = np.full((len(qid), k), np.inf), np.full((len(qid), k), most)
+    for pdf in batches:
+        if not len(pdf) or not len(qid):
+            continue
+        ids, x, y = pdf["id"].to_numpy(), _stack(pdf["x"]), _stack(pdf["y"])
+        for a in range(0, len(qid), 256):
+            s = slice(a, a + 256)
+            dx2, dy2 = _squares(qx[s], x), _squares(qy[s], y)
+            score = _score(objective, alpha[s, None], dx2, dy2)
+            # The least that a distance can be, given the expansion's error.
+            slack = [EXPANSION * ((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] + 1) for q, v in ((qx[s], x), (qy[s], y))]
+            least = _score(objective, alpha[s, None], np.maximum(0, dx2 - slack[0]), np.maximum(0, dy2 - slack[1]))
+            upper = _score(objective, alpha[s, None], np.maximum(0, dx2) + slack[0], np.maximum(0, dy2) + slack[1])
+            if exclude_self:
+                own = qid[s, None] == ids[None, :]
+                score[own] = least[own] = upper[own] = np.inf
+            n = min(len(ids), k)
+            bar = np.minimum(np.partition(upper, n - 1, axis=1)[:, n - 1] if n == k else np.inf, best_d[s, -1])
+            if digits is not None:
+                bar = bar + 2 * 10.0**-digits
+            i, j = np.nonzero((least <= np.broadcast_to(bar, least.shape[:1])[:, None]) & np.isfinite(score))
+            d = _score(objective, alpha[s][i], ((qx[s][i] - x[j]) ** 2).sum(1), ((qy[s][i] - y[j]) ** 2).sum(1))
+            if digits is not None:
+                d = np.round(d, digits)
+            order = np.lexsort((ids[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, d, rank = i[rank < k], j[rank < k], d[rank < k], rank[rank < k]
+            new_d, new_id = np.full((len(best_d[s]), k), np.inf), np.full((len(best_d[s]), k), most)
+            new_d[i, rank], new_id[i, rank] = d, ids[j]
+            both_d, both_id = np.concatenate((best_d[s], new_d), axis=1), np.concatenate((best_id[s], new_id), axis=1)
+            first = np.lexsort((both_id, both_d), axis=1)[:, :k]
+            best_d[s], best_id[s] = np.take_along_axis(both_d, first, 1), np.take_along_axis(both_id, first, 1)
+    i, j = np.nonzero(np.isfinite(best_d))
+    return pd.DataFrame({"qid": qid[i], "alpha": alpha[i], "id": best_id[i, j], "dist": best_d[i, j]})
+
+
+def _meet(base: DataFrame, queries: DataFrame, k: int, objective: str, exclude_self: bool, digits: int | None) -> DataFrame:
+    """Every block of queries meets every block of rows in a task of its own: either side is sent
+    once a block of the other, and a task holds one block of each."""
+    nb, nq = (max(1, -(-df.count() // ROW_BLOCK)) for df in (base, queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    b = base.select("id", "x", "y", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("rb")).withColumn("qb", every(nq))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("qid", "alpha"), F.lit(nq)).cast("int")).withColumn("rb", every(nb))
+
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.sort_values(["qid", "alpha"])
+        if not len(asked) or not len(rows):
+            return pd.DataFrame({"qid": [], "alpha": [], "id": [], "dist": []})
+        parts = (rows.iloc[a : a + QUERY_BLOCK] for a in range(0, len(rows), QUERY_BLOCK))
+        return _best(asked["qid"].to_numpy(), asked["alpha"].to_numpy(), _stack(asked["x"]), _stack(asked["y"]), parts, k, objective, exclude_self, digits)
+
+    return b.groupBy("rb", "qb").cogroup(q.groupBy("rb", "qb")).applyInPandas(run, "qid long, alpha double, id long, dist double")
+
+
 def _block(base: DataFrame, spark, block: list, k: int, objective: str, exclude_self: bool, digits: int | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(
         (np.array([r.qid for r in block], np.int64), np.array([r.alpha for r in block]), _stack([r.x for r in block]) if block else None, _stack([r.y for r in block]) if block else None)
     )
 
     def run(batches):
-        qid, alpha, qx, qy = shared.value
-        most = np.iinfo(np.int64).max
-        best_d, best_id = np.full((len(qid), k), np.inf), np.full((len(qid), k), most)
-        for pdf in batches:
-            if not len(pdf) or not len(qid):
-                continue
-            ids, x, y = pdf["id"].to_numpy(), _stack(pdf["x"]), _stack(pdf["y"])
-            for a in range(0, len(qid), 256):
-                s = slice(a, a + 256)
-                dx2, dy2 = _squares(qx[s], x), _squares(qy[s], y)
-                score = _score(objective, alpha[s, None], dx2, dy2)
-                # The least that a distance can be, given the expansion's error.
-                slack = [EXPANSION * ((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] + 1) for q, v in ((qx[s], x), (qy[s], y))]
-                least = _score(objective, alpha[s, None], np.maximum(0, dx2 - slack[0]), np.maximum(0, dy2 - slack[1]))
-                upper = _score(objective, alpha[s, None], np.maximum(0, dx2) + slack[0], np.maximum(0, dy2) + slack[1])
-                if exclude_self:
-                    own = qid[s, None] == ids[None, :]
-                    score[own] = least[own] = upper[own] = np.inf
-                n = min(len(ids), k)
-                bar = np.minimum(np.partition(upper, n - 1, axis=1)[:, n - 1] if n == k else np.inf, best_d[s, -1])
-                if digits is not None:
-                    bar = bar + 2 * 10.0**-digits
-                i, j = np.nonzero((least <= np.broadcast_to(bar, least.shape[:1])[:, None]) & np.isfinite(score))
-                d = _score(objective, alpha[s][i], ((qx[s][i] - x[j]) ** 2).sum(1), ((qy[s][i] - y[j]) ** 2).sum(1))
-                if digits is not None:
-                    d = np.round(d, digits)
-                order = np.lexsort((ids[j], d, i))
-                i, j, d = i[order], j[order], d[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j, d, rank = i[rank < k], j[rank < k], d[rank < k], rank[rank < k]
-                new_d, new_id = np.full((len(best_d[s]), k), np.inf), np.full((len(best_d[s]), k), most)
-                new_d[i, rank], new_id[i, rank] = d, ids[j]
-                both_d, both_id = np.concatenate((best_d[s], new_d), axis=1), np.concatenate((best_id[s], new_id), axis=1)
-                first = np.lexsort((both_id, both_d), axis=1)[:, :k]
-                best_d[s], best_id[s] = np.take_along_axis(both_d, first, 1), np.take_along_axis(both_id, first, 1)
-        i, j = np.nonzero(np.isfinite(best_d))
-        yield pd.DataFrame({"qid": qid[i], "alpha": alpha[i], "id": best_id[i, j], "dist": best_d[i, j]})
+        yield _best(*shared.value, batches, k, objective, exclude_self, digits)
 
     return base.select("id", "x", "y").mapInPandas(run, "qid long, alpha double, id long, dist double")
 

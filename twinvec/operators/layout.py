@@ -82,6 +82,41 @@ def greedy_pages(edges: DataFrame, capacity: int, max_edges: int = 20_000_000) -
     return edges.select(F.lit(0).alias("shard"), "src", "dst").groupBy("shard").applyInPandas(run, "page_id long, slot long, id long")
 
 
+def ranked_pages(edges: DataFrame, capacity: int, max_edges: int = 20_000_000) -> DataFrame:
+    """(src, dst, weight) -> page_id, slot, id: edges by falling weight bring their ends to one page where
+    both together fit. Groups that stay smaller than a page are then filled up, largest first.
+    One shard's graph: its size is checked."""
+    n = edges.count()
+    if n > max_edges:
+        raise ValueError(f"{n} edges: shard the graph first, at most {max_edges} a call")
+
+    def run(pdf):
+        pdf = pdf.sort_values(["weight", "src", "dst"], ascending=[False, True, True])
+        nodes = sorted({*pdf["src"].tolist(), *pdf["dst"].tolist()})
+        group = {i: [i] for i in nodes}
+        for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+            x, y = group[a], group[b]
+            if x is not y and len(x) + len(y) <= capacity:
+                x, y = (x, y) if len(x) >= len(y) else (y, x)
+                x += y
+                for i in y:
+                    group[i] = x
+        different = sorted({id(g): g for g in group.values()}.values(), key=lambda g: (-len(g), g[0]))
+        rooms: dict[int, list[list]] = {}
+        pages: list[list] = []
+        for g in different:
+            room = next((r for r in range(len(g), capacity + 1) if rooms.get(r)), None)
+            page = rooms[room].pop() if room else []
+            if not room:
+                pages.append(page)
+            page += g
+            rooms.setdefault(capacity - len(page), []).append(page)
+        out = [(p, s, i) for p, page in enumerate(pages) for s, i in enumerate(page)]
+        return pd.DataFrame(out, columns=["page_id", "slot", "id"])
+
+    return edges.select(F.lit(0).alias("shard"), "src", "dst", "weight").groupBy("shard").applyInPandas(run, "page_id long, slot long, id long")
+
+
 def pad_pages(pages: DataFrame, capacity: int) -> DataFrame:
     """page_id -> ids, padded with INVALID to the capacity."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("slot", "id"))), lambda r: r["id"].cast("long"))

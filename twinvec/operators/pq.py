@@ -163,6 +163,20 @@ def code_distance(codes: DataFrame, pairs: DataFrame, codebook: DataFrame) -> Da
     return j.groupBy("a", "b").agg(F.sum(l2_sq(F.col("va"), F.col("vb"))).alias("d2"))
 
 
+def joined(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One codebook of two: the second's codes follow the first's. Encoding takes, chunk by chunk, the nearer of both,
+    and distances between codes cross them."""
+    sizes = first.groupBy("chunk").agg(F.count("*").alias("__n"))
+    after = second.join(F.broadcast(sizes), "chunk").withColumn("code", (F.col("code") + F.col("__n")).cast(first.schema["code"].dataType)).drop("__n")
+    return first.unionByName(after.select(*first.columns))
+
+
+def branches(codes: DataFrame, first_codes: int) -> DataFrame:
+    """id, chunk, code, branch: 0 the first codebook, 1 the second."""
+    c = codes.select("id", F.posexplode("codes").alias("chunk", "code"))
+    return c.select("id", F.col("chunk").cast("long").alias("chunk"), F.col("code").cast("long").alias("code"), (F.col("code") >= first_codes).cast("int").alias("branch"))
+
+
 def refine(points: DataFrame, codebook: DataFrame, worst: float = 0.2, seed: int = 42) -> DataFrame:
     """Second codebook for each chunk, trained on its worst-encoded part of the points
     (a bounded sample of them) -> chunk, code, centroid."""

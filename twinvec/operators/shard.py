@@ -96,6 +96,37 @@ def build_sharded(points: DataFrame, max_rows: int = 20_000, degree: int = 32, p
     return graph.dual_edges(both, points, degree, **pruning)
 
 
+def build_single_sharded(points: DataFrame, max_rows: int = 20_000, degree: int = 32, pool: int = 64, alpha: float = 1.2, copies: int = 2, seed: int = 42) -> DataFrame:
+    """(id, vec) -> src, pos, dst: overlapping shards, each built in a task with two thirds of the degree,
+    and merged."""
+    inside = 2 * max(1, degree // 3)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").drop_duplicates("id")
+        ids, v = pdf["id"].to_numpy(), np.stack([np.asarray(r, np.float64) for r in pdf["vec"]])
+        near: dict[int, set] = {i: set() for i in range(len(ids))}
+        square = (v * v).sum(1)
+
+        def choose(i: int, c: np.ndarray) -> list[int]:
+            d = np.sqrt(((v[c] - v[i]) ** 2).sum(1))
+            return c[graph.prune_slack(ids[c], d, lambda a, b: float(np.sqrt(((v[c[a]] - v[c[b]]) ** 2).sum())), inside, alpha)].tolist()
+
+        for start in range(0, len(ids), BLOCK):
+            d = square[start : start + BLOCK, None] - 2 * v[start : start + BLOCK] @ v.T + square[None]
+            for i in range(len(d)):
+                d[i, start + i] = np.inf
+                c = np.sort(np.argsort(d[i], kind="stable")[: min(pool, len(ids) - 1)])
+                for j in choose(start + i, c) if len(c) else []:
+                    near[start + i].add(j)
+                    near[j].add(start + i)
+        out = [(ids[i], ids[j]) for i, c in near.items() if c for j in (sorted(c) if len(c) <= graph.SLACK * inside else choose(i, np.array(sorted(c))))]
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    s = partition_with_budget(points, max_rows, copies, seed)
+    rows = s.select("id", "cid", "part").join(points.select("id", "vec"), "id")
+    return merge_shards(rows.groupBy("cid", "part").applyInPandas(build, "src long, dst long"), degree, seed)
+
+
 def merge_shards(shards: DataFrame, degree: int, seed: int = 42) -> DataFrame:
     """(src, dst) of overlapping one-space shards -> src, pos, dst: repeats go, and each
     source keeps `degree` edges in a seeded order."""

@@ -510,6 +510,16 @@ def code_distances(spark, sf_dir):
     return pq.code_distance(c, c.select(F.col("id").alias("a"), ((F.col("id") + 1) % n).alias("b")), book).select("a", "b", _r(F.col("d2")).alias("d2"))
 
 
+@query(f"""WITH {X.SQL}, b AS (SELECT id AS code, x FROM v WHERE id < {2 * CODES}), ch AS (SELECT unnest(range(0, {CHUNKS})) AS c),
+en AS (SELECT v.id, ch.c, b.code, list_sum(list_transform(range(1, 5), lambda i: (v.x[ch.c * 4 + i] - b.x[ch.c * 4 + i]) * (v.x[ch.c * 4 + i] - b.x[ch.c * 4 + i]))) AS ex FROM v, ch, b)
+SELECT id, CAST(c AS BIGINT) AS chunk, CAST(code AS BIGINT) AS code, CAST(code >= {CODES} AS INTEGER) AS branch
+FROM (SELECT *, row_number() OVER (PARTITION BY id, c ORDER BY round(ex, 12), code) AS r FROM en) WHERE r = 1""")
+def pq_two_codebooks(spark, sf_dir):
+    p = X.points(spark, sf_dir).select("id", F.col("x").alias("vec"))
+    one, two = (pq.fixed_codebook(part, CHUNKS, X.HALF, CODES) for part in (p, p.where(f"id >= {CODES}")))
+    return pq.branches(pq.encode(p, pq.joined(one, two)), CODES)
+
+
 # Shards
 
 
@@ -545,6 +555,17 @@ def _dual(spark, sf_dir):
     return graph.build_dual(X.points(spark, sf_dir).select("id", "x", "y"), degree=16, pool=40)
 
 
+#: Graphs that searches share: (application, folder) -> a written table, which lives as long as the application.
+_shared_graphs: dict[tuple[str, str], DataFrame] = {}
+
+
+def _shared_dual(spark, sf_dir) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _shared_graphs:
+        _shared_graphs[key] = written(_dual(spark, sf_dir), "shared-graph")
+    return _shared_graphs[key]
+
+
 @query()
 def graph_build(spark, sf_dir):
     return _dual(spark, sf_dir).select("src", "pos", "dst", "layer", F.size("ranges").alias("slots"), _r(R.width(F.col("ranges"))).alias("width"))
@@ -568,12 +589,12 @@ def graph_merge(spark, sf_dir):
 
 @query()
 def topology_compact(spark, sf_dir):
-    return graph.with_ranges(_dual(spark, sf_dir), "merge").select("src", "pos", "dst", F.size("ranges").alias("slots"))
+    return graph.with_ranges(_shared_dual(spark, sf_dir), "merge").select("src", "pos", "dst", F.size("ranges").alias("slots"))
 
 
 def _search(spark, sf_dir, mode: str, **options):
     p = X.points(spark, sf_dir).select("id", "x", "y")
-    return search.search(p, _dual(spark, sf_dir), X.queries(spark, sf_dir), k=K, pool=64, mode=mode, **options).withColumn("dist", _r(F.col("dist")))
+    return search.search(p, _shared_dual(spark, sf_dir), X.queries(spark, sf_dir), k=K, pool=64, mode=mode, **options).withColumn("dist", _r(F.col("dist")))
 
 
 @query()
@@ -599,7 +620,7 @@ def search_dap(spark, sf_dir):
 @query()
 def search_frames(spark, sf_dir):
     p = X.points(spark, sf_dir).select("id", "x", "y")
-    return search.search_frames(p, _dual(spark, sf_dir), X.queries(spark, sf_dir), k=K, pool=40).withColumn("dist", _r(F.col("dist")))
+    return search.search_frames(p, _shared_dual(spark, sf_dir), X.queries(spark, sf_dir), k=K, pool=40).withColumn("dist", _r(F.col("dist")))
 
 
 @query()
@@ -610,7 +631,7 @@ def search_multigraph(spark, sf_dir):
 @query()
 def visit_frequency(spark, sf_dir):
     p = X.points(spark, sf_dir).select("id", "x", "y")
-    return metrics.visit_counts(search.trace(p, _dual(spark, sf_dir), X.queries(spark, sf_dir), pool=40))
+    return metrics.visit_counts(search.trace(p, _shared_dual(spark, sf_dir), X.queries(spark, sf_dir), pool=40))
 
 
 @query(f"""WITH ev AS (SELECT event_id % (SELECT count(*) FROM embeddings) AS tag, event_id AS seq, event_type IN ('click', 'view') OR event_id % 3 = 0 AS dead FROM events),
@@ -871,7 +892,7 @@ _WAYS = ("beam", "page", "rerank", "dap", "adaptive", "batched", "seeded", "join
 def search_recall(spark, sf_dir):
     """Every way to search one graph reaches nine tenths of the exact answer."""
     p, q = X.points(spark, sf_dir).select("id", "x", "y"), X.queries(spark, sf_dir).select("qid", "x", "y", "alpha")
-    e, truth = written(_dual(spark, sf_dir), "graph"), written(knn.exact_dual_knn(p, q, K).select("qid", "rank", "id", "dist"), "truth")
+    e, truth = _shared_dual(spark, sf_dir), written(knn.exact_dual_knn(p, q, K).select("qid", "rank", "id", "dist"), "truth")
     found = {mode: search.search(p, e, q, K, 64, mode) for mode in search.MODES}
     found["seeded"] = search.search(p, e, q, K, 64, seeds=search.sampled_entries(p, q, 0.1))
     found["joins"] = search.search_frames(p, e, q, K, 64)

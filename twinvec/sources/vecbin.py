@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from twinvec.functions.vector import l2_normalize
+
 DTYPES = {"float": ("<f4", 4, "array<float>"), "int8": ("<i1", 1, "array<tinyint>"), "uint8": ("<u1", 1, "array<smallint>"), "int32": ("<i4", 4, "array<int>")}
 VECS = {"fvecs": "float", "bvecs": "uint8", "ivecs": "int32"}
 RANGE_BYTES = 32 << 20
@@ -119,9 +121,15 @@ def read_vectors(spark: SparkSession, path: str, dtype: str = "float", kind: str
     return spark.read.format("vecbin").option("dtype", dtype).option("format", kind).load(path)
 
 
-def write_vectors(df: DataFrame, path: str, dtype: str = "float", kind: str = "bin", align: int = 0) -> int:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """A bin file of one column of ids -> local (position), id."""
+    return read_vectors(spark, path, "int32").select(F.col("id").alias("local"), F.get("vec", 0).cast("long").alias("id"))
+
+
+def write_vectors(df: DataFrame, path: str, dtype: str = "float", kind: str = "bin", align: int = 0, normalise: bool = False) -> int:
     """(id, vec) in order of id as one file, a row range at a time from the driver; align
-    pads the file to a multiple of that many bytes. -> bytes written."""
+    pads the file to a multiple of that many bytes; normalise: vectors of length 1. -> bytes written."""
+    df = df.withColumn("vec", l2_normalize(F.col("vec"))) if normalise else df
     code, _, _ = DTYPES[VECS.get(kind, dtype)]
     n, dim = df.count(), df.select(F.max(F.size("vec"))).first()[0] or 0
     system, where = _open(path)
