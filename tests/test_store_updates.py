@@ -183,3 +183,14 @@ def test_ids_and_normalised_files(spark, tmp_path):
     assert np.allclose([r.vec for r in vecbin.read_vectors(spark, f"{tmp_path}/n", kind="fvecs").orderBy("id").collect()], [[0.6, 0.8], [0, 0]])
     vecbin.write_vectors(spark.createDataFrame([(0, [7.0]), (1, [9.0])], "id long, vec array<double>"), f"{tmp_path}/i", "int32")
     assert [tuple(r) for r in vecbin.read_ids(spark, f"{tmp_path}/i").orderBy("local").collect()] == [(0, 7), (1, 9)]
+
+
+def test_orders_of_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(layout, "RANGE_ROWS", 50)
+    d = spark.range(500).select("id", F.pmod(F.xxhash64("id"), F.lit(97)).alias("key"))
+    want = sorted((r.key, r.id) for r in d.collect())
+    got = {r.id: (r.page_id, r.slot) for r in layout.assign_pages(d, 7, "key").collect()}
+    assert got == {i: divmod(at, 7) for at, (_, i) in enumerate(want)}
+    for p in (0.0, 0.3, 0.999, 1.0):
+        assert metrics.percentile_floor(d, "key", p).first().value == want[min(int(p * 500), 499)][0]
+    assert metrics.percentile_floor(d.where("id < 0"), "key", 0.5).first().value is None

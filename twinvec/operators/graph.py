@@ -132,7 +132,7 @@ def prune_dual(ids, d1, d2, x, y, degree: int, min_width: float = MIN_WIDTH, rel
     order = np.lexsort((ids, d1, d2))
     layer = np.array(layers_of(d1[order].tolist()))
     # All distances between candidates at once; plain numbers make the walk over them short.
-    between_x, between_y = (np.sqrt(np.maximum(0, ((m[:, None, :] - m[None, :, :]) ** 2).sum(2))).tolist() for m in (x, y))
+    between_x, between_y = (np.sqrt(np.einsum("ijk,ijk->ij", d, d)).tolist() for d in (m[:, None, :] - m[None, :, :] for m in (x, y)))
     gap, far = (d1 - d2).tolist(), d2.tolist()
     chosen: list[tuple[int, int, list]] = []
     for depth in range(int(layer.max()) + 1 if len(layer) else 0):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinvec.scratch import written
+
 PAGE = 8192
 INVALID = 0xFFFFFFFF
 
@@ -31,17 +33,28 @@ def estimate_ram(points: int, dims: list[int], degree: int, element: int = 4, sl
     return overhead * (data + points * degree * 4 * slack)
 
 
+#: Rows of a range of an order, and ranges at most.
+RANGE_ROWS, MAX_RANGES = 100_000, 4096
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df with __p, the number of its row's range in the order. The cuts between ranges come from samples that
+    differ by evaluation, so the ranges are written once where there are several."""
+    parts = max(1, min(MAX_RANGES, -(-df.count() // RANGE_ROWS)))
+    if parts == 1:
+        return df.withColumn("__p", F.lit(0))
+    return written(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+
+
 def assign_pages(df: DataFrame, capacity: int, order: str = "id") -> DataFrame:
     """id -> page_id, slot, in order, `capacity` a page. Positions come from ranges of
     the order and their sizes, not from one window over all rows."""
-    n = df.count()
-    parts = max(1, min(4096, -(-n // 100_000)))
-    r = df.select("id", F.col(order).alias("__o")).repartitionByRange(parts, "__o", "id").withColumn("__p", F.spark_partition_id())
+    r = ranged(df.select("id", F.col(order).alias("__o")), "__o", "id")
     r = r.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy("__o", "id")) - 1)
-    if parts > 1:
-        sizes = r.groupBy("__p").agg(F.count("*").alias("__n"))
-        before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        r = r.join(before.select("__p", "__b"), "__p").withColumn("__i", F.col("__i") + F.col("__b"))
+    sizes = r.groupBy("__p").agg(F.count("*").alias("__n"))
+    # One row a range, MAX_RANGES at most.
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    r = r.join(F.broadcast(before), "__p").withColumn("__i", F.col("__i") + F.col("__b"))
     at = F.col("__i").cast("long")
     return r.select("id", F.floor(at / capacity).cast("long").alias("page_id"), (at % capacity).cast("long").alias("slot"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinvec.operators import layout
+
 
 def recall_at_k(result: DataFrame, truth: DataFrame, k: int, active: DataFrame | None = None) -> DataFrame:
     """result (qid, id), truth (qid, rank, id, dist) -> qid, hits, recall. Truth is
@@ -24,11 +26,16 @@ def recall_at_k(result: DataFrame, truth: DataFrame, k: int, active: DataFrame |
 
 
 def percentile_floor(df: DataFrame, value: str, p: float) -> DataFrame:
-    """sorted[floor(p * n)], without interpolation."""
-    n = df.where(F.col(value).isNotNull()).count()
-    at = min(int(p * n), max(n - 1, 0)) + 1
-    # The front of an order instead of a window over all rows.
-    return df.where(F.col(value).isNotNull()).select(value).orderBy(value).limit(at).agg(F.max(value).alias("value"))
+    """sorted[floor(p * n)], without interpolation. Only the range that holds it is sorted."""
+    v = layout.ranged(df.where(F.col(value).isNotNull()).select(value), value)
+    sizes = sorted(v.groupBy("__p").count().collect())  # one row a range
+    n = sum(c for _, c in sizes)
+    at, here = min(int(p * n), max(n - 1, 0)), 0
+    for here, c in sizes:
+        if at < c:
+            break
+        at -= c
+    return v.where(F.col("__p") == here).select(value).orderBy(value).limit(at + 1).agg(F.max(value).alias("value"))
 
 
 def summary(df: DataFrame, value: Column) -> DataFrame:
