@@ -194,3 +194,18 @@ def test_orders_of_many_ranges(spark, monkeypatch):
     for p in (0.0, 0.3, 0.999, 1.0):
         assert metrics.percentile_floor(d, "key", p).first().value == want[min(int(p * 500), 499)][0]
     assert metrics.percentile_floor(d.where("id < 0"), "key", 0.5).first().value is None
+
+
+def test_copies_do_not_cut_a_graph(spark, points, queries, tmp_path):
+    """Four copies of each row: what leads to one leads to all, also after inserts, removals and compaction."""
+    from twinvec.index import TwinIndex
+
+    some = points.where("id < 120")
+    p = some.crossJoin(spark.range(4).select(F.col("id").alias("s"))).select((F.col("id") + 120 * F.col("s")).alias("tag"), "x", "y")
+    q = queries.where("qid < 120")
+    ix = TwinIndex.build(spark, f"file://{tmp_path}/copies", p.where("tag % 5 <> 1"))
+    assert rows(ix.search(q, 10, 64)) == rows(ix.exact(q, 10))
+    ix.insert(p.where("tag % 5 = 1"))
+    ix.remove(p.where("tag % 7 = 3").select("tag"))
+    ix.compact()
+    assert rows(ix.search(q, 10, 64)) == rows(ix.exact(q, 10))
