@@ -32,3 +32,7 @@ def test_pairs_keep_odd_vectors(spark, monkeypatch, shipped):
     got = {(r.qid, r.id): r.d for r in knn.pairs(base, q, ("x",), emit, "qid long, id long, d double").collect()}
     assert set(got) == {(a, b) for a in (0, 2, 3) for b in range(6) if a != b}
     assert got[0, 1] == 25 and np.isnan(got[0, 5]) and {k for k, v in got.items() if v is not None} == {(0, 1), (0, 5)}
+
+
+def test_l2_pairs_goes_by_blocks(spark, sf):
+    no_row_pairs(spark, sf, "l2_pairs")
