@@ -36,3 +36,7 @@ def test_pairs_keep_odd_vectors(spark, monkeypatch, shipped):
 
 def test_l2_pairs_goes_by_blocks(spark, sf):
     no_row_pairs(spark, sf, "l2_pairs")
+
+
+def test_cosine_pairs_goes_by_blocks(spark, sf):
+    no_row_pairs(spark, sf, "cosine_pairs")
