@@ -40,3 +40,7 @@ def test_l2_pairs_goes_by_blocks(spark, sf):
 
 def test_cosine_pairs_goes_by_blocks(spark, sf):
     no_row_pairs(spark, sf, "cosine_pairs")
+
+
+def test_skyline_layer0_goes_by_blocks(spark, sf):
+    no_row_pairs(spark, sf, "skyline_layer0")
