@@ -44,3 +44,20 @@ def test_cosine_pairs_goes_by_blocks(spark, sf):
 
 def test_skyline_layer0_goes_by_blocks(spark, sf):
     no_row_pairs(spark, sf, "skyline_layer0")
+
+
+def test_layers_of_blocks_equal_layers_of_all(spark, sf, monkeypatch):
+    """Also where blocks hand on too few layers at first, and where copies make long chains."""
+    p = X.points(spark, sf).select("id", "x", "y").where("id < 150")
+    p = p.crossJoin(spark.range(4).select(F.col("id").alias("s"))).select((F.col("id") + 150 * F.col("s")).alias("id"), "x", "y")
+    q = p.where("id % 40 = 0").select(F.col("id").alias("qid"), "x", "y", F.lit(0.5).alias("alpha"))
+    d = knn.pairs(p, q, ("x", "y"), lambda b: catalogue._cells(b, b.known("x"), d1=b.squares("x"), d2=b.squares("y")), "qid long, id long, d1 double, d2 double")
+    want = sorted(map(tuple, skyline.truncate_layers(skyline.skyline_layers(d), 40).select("qid", "id", "d1", "d2", "layer").collect()))
+    for depth, rows in ((12, 1 << 13), (2, 64), (1, 32)):
+        monkeypatch.setattr(skyline, "DEPTH", depth)
+        monkeypatch.setattr(skyline, "BLOCK_ROWS", rows)
+        assert sorted(map(tuple, skyline.nearest_layers(p, q, 40, 6).collect())) == want
+
+
+def test_skyline_layers_goes_by_blocks(spark, sf):
+    no_row_pairs(spark, sf, "skyline_layers")
