@@ -61,3 +61,35 @@ def test_layers_of_blocks_equal_layers_of_all(spark, sf, monkeypatch):
 
 def test_skyline_layers_goes_by_blocks(spark, sf):
     no_row_pairs(spark, sf, "skyline_layers")
+
+
+def test_order_statistics_in_passes(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(np.concatenate((rng.random(5000), np.zeros(700), np.full(300, 0.25), 1e6 * rng.random(50), [np.nan] * 4)), 6)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(3)
+
+    def values(emit, schema, done):
+        def run(batches):
+            for b in batches:
+                state: dict = {}
+                for part in np.array_split(b["v"].to_numpy(), 2):
+                    emit(part, state)
+                yield __import__("pandas").DataFrame(done(state))
+
+        return df.mapInPandas(run, schema)
+
+    want = np.sort(v[~np.isnan(v)])
+    for gathered in (metrics.GATHERED, 0):
+        metrics_gathered, metrics.GATHERED = metrics.GATHERED, gathered
+        got, n, nan, total = metrics.ordered(values, lambda n: {0, 10, 699, 700, n // 2, n - 1})
+        metrics.GATHERED = metrics_gathered
+        assert (n, nan) == (len(want), 4) and total == pytest.approx(want.sum())
+        assert got == {r: want[r] for r in got} and len(got) == 6
+
+
+def test_stats_percentiles_writes_no_distances(spark, sf, monkeypatch):
+    from twinvec.operators import layout
+
+    monkeypatch.setattr(layout, "RANGE_ROWS", 1000)
+    monkeypatch.setattr(layout, "written", None)  # a table of all distances would be written by ranges
+    assert catalogue.queries()["stats_percentiles"](spark, sf).count() == 3
