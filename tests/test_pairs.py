@@ -93,3 +93,7 @@ def test_stats_percentiles_writes_no_distances(spark, sf, monkeypatch):
     monkeypatch.setattr(layout, "RANGE_ROWS", 1000)
     monkeypatch.setattr(layout, "written", None)  # a table of all distances would be written by ranges
     assert catalogue.queries()["stats_percentiles"](spark, sf).count() == 3
+
+
+def test_distance_scale_summary_goes_by_blocks(spark, sf):
+    no_row_pairs(spark, sf, "distance_scale_summary")
