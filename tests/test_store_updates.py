@@ -209,3 +209,32 @@ def test_copies_do_not_cut_a_graph(spark, points, queries, tmp_path):
     ix.remove(p.where("tag % 7 = 3").select("tag"))
     ix.compact()
     assert rows(ix.search(q, 10, 64)) == rows(ix.exact(q, 10))
+
+
+def test_copies_in_blocks_that_meet(spark, points, monkeypatch):
+    monkeypatch.setattr(knn, "SHIPPED", 8)
+    p = points.where("id < 40").crossJoin(spark.range(2).select(F.col("id").alias("s"))).select((F.col("id") + 40 * F.col("s")).alias("id"), "x", "y")
+    e = {(r.src, r.dst) for r in graph.build_dual(p, 6, 10).select("src", "dst").collect()}
+    assert {(i, i + 40) for i in range(40)} <= e and {a for a, _ in e} == set(range(80))
+
+
+def test_an_index_passes_the_driver_as_arrays(points, edges, queries, monkeypatch):
+    """Rows as objects take many times an index's size."""
+    monkeypatch.setattr(type(points), "toPandas", None)
+    assert search.search(points, edges, queries, 10, 64).count() == 120
+    assert search.trace(points, edges, queries).count() > 0
+
+
+def test_codes_of_blocks_of_rows(points, edges, queries, monkeypatch):
+    want = rows(search.search(points, edges, queries, 10, 64, "rerank"))
+    monkeypatch.setattr(search, "CODED", 50)
+    assert rows(search.search(points, edges, queries, 10, 64, "rerank")) == want
+
+
+def test_shards_grow_by_more_than_one(points, monkeypatch):
+    """A row among many shards is assigned a few times, not once for each further shard."""
+    calls = []
+    monkeypatch.setattr(shard, "kmeans_centers", lambda p, k, seed, f=shard.kmeans_centers: calls.append(k) or f(p, k, seed))
+    got = shard.partition_with_budget(points.select("id", F.col("x").alias("vec")), 12, copies=2)
+    assert len(calls) <= 9 and calls[0] == 40 and max(r["count"] for r in got.groupBy("cid", "part").count().collect()) <= 24
+    assert got.groupBy("id").count().where("count = 2").count() == 240
