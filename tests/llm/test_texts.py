@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,77 @@ def test_encoder_equals_the_tokenizer():
         assert ids[at[i] : at[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+class Counted:
+    """A model that counts its calls."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, text):
+        self.calls += 1
+        return self.model.tokenize(text)
+
+
+def test_new_words_go_to_the_tokenizer_many_at_once(monkeypatch):
+    """Also where bytes that no text holds cannot part them, and words seen again outlast those seen once."""
+    enc = packing.Encoder(queries.tokenizer_path())
+    enc.model = Counted(enc.model)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdehinorst\0ÿéя", k=rng.randint(1, 12))) for _ in range(50)) for _ in range(200)]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, at = enc.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert enc.model.calls < 1000  # some 9,900 distinct words
+    monkeypatch.setattr(packing, "CACHE_WORDS", 100)
+    enc.model.calls = 0
+    for t, w in zip(texts, want, strict=True):
+        ids, at = enc.encode([t, "the common words"])
+        assert ids[: at[1]].tolist() == w
+    assert b" common" in enc.cache | enc.older and len(enc.cache) + len(enc.older) < 1000
+    assert enc.model.calls < 1000
+    enc.between, enc.between_id, enc.cache, enc.older = None, -1, {}, {}
+    ids, at = enc.encode(texts[:3])
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want[:3]
+
+
+def test_rows_of_small_batches_are_encoded_together(spark, monkeypatch):
+    calls, encode = [], packing.Encoder.encode
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, texts: calls.append(len(texts)) or encode(self, texts))
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = packing.tokenised(Docs(), queries.tokenizer_path(), 4)
+    texts = ["a b c d e", None, "", "x y z", "one"] * 20
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": pa.array([t], pa.string())}) for i, t in enumerate(texts)]
+    rows = [r for b in run(iter(batches)) for r in b.to_pylist()]
+    assert calls == [100]
+    monkeypatch.setattr(packing, "CHUNK_ROWS", 7)
+    assert rows == [r for b in run(iter(batches)) for r in b.to_pylist()] and max(calls[1:]) == 7
+    assert [r["doc_id"] for r in rows[:-1]] == sorted(r["doc_id"] for r in rows[:-1]) and {r["doc_id"] for r in rows[:-1]} == set(range(100))
+    assert [r["kind"] for b in run(iter([])) for r in b.to_pylist()] == [-1]
+
+
+def test_keys_of_many_tails_equal_those_of_each():
+    rng = np.random.default_rng(8)
+    tails = [rng.integers(0, rng.choice([5, 300, 9000, 50000]), rng.integers(1, 60)).astype("<u2") for _ in range(300)]
+    token, times, at = packing.distinct_tokens(tails)
+    keys = packing.lexical_keys(token, times, at)
+    for i, t in enumerate(tails):
+        own, n = np.unique(t, return_counts=True)
+        assert token[at[i] : at[i + 1]].tolist() == own.tolist() and times[at[i] : at[i + 1]].tolist() == n.tolist()
+        common = [(-k, x) for x, k in zip(own.tolist(), n.tolist()) if packing.FREQUENT[0] <= x < packing.FREQUENT[1]]
+        first = min(common)[1] if common else 0
+        rare = [*own.tolist()[::-1], 0, 0, 0][:3]
+        assert keys[i] == ((first - (1 << 15)) << 48) | (rare[0] << 32) | (rare[1] << 16) | rare[2]
+    assert packing.lexical_keys(*packing.distinct_tokens([])) == []
+    assert packing.lexical_keys(*packing.distinct_tokens([np.array([1], "<u2")])) == [(-(1 << 63)) | (1 << 32)]
+
+
 def test_neighbours_share_windows():
     """Documents of one topic end up together more often than by chance."""
     rng = np.random.default_rng(5)
