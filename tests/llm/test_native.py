@@ -252,3 +252,11 @@ def test_op10_planted_conversation(spark, sf):
     assert r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert r.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert F.col("x") is not None
+
+
+def test_mix_of_few_rows_has_few_files(spark, sf, many_partitions):
+    d = queries.table(spark, sf, "documents")
+    out = mixing.mix(d)
+    assert out.rdd.getNumPartitions() <= 12
+    want = mixing.plan(d).selectExpr("sum(__mix_full + if(__mix_cut > 0, 1, 0)) n").first().n
+    assert out.count() == want

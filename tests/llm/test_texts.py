@@ -342,6 +342,18 @@ def test_shards_hold_neighbours_more_often_than_hashed_ones(spark):
     assert np.mean(held) > 2 * 64 / len(got)
 
 
+def test_sequences_of_several_shards_in_a_task_stay_apart(spark, monkeypatch, many_partitions):
+    monkeypatch.setattr(packing, "few", lambda rows, each=0, least=8: 20 if least == 1 else 3)
+    d = spark.createDataFrame([(i, f"w{i} " * (i % 90 + 1)) for i in range(300)], "doc_id long, text string")
+    out = packing.pack(d, queries.tokenizer_path(), shard_docs=16)
+    assert out.rdd.getNumPartitions() <= 6
+    ends = {}
+    for r in sorted(out.collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert len(ends) >= 20 and max(ends.values()) <= packing.WINDOW
+
+
 def test_null_and_repeated_ids_are_packed_exactly(spark):
     big = 2**60 + 1
     docs = [(None, "a b"), (big, "same size x"), (big, "same size y"), (None, None), (big, "w " * 5000)]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinvec.llm.common import WORD, written
+from twinvec.llm.common import WORD, few, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -84,7 +84,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, seed: str =
     size = size_of(F.col("text")) if size is None else size
     d = keyed(docs.withColumn(P + "size", size), rows, seed)
     ranges = d.groupBy("source", F.col(P + "range").alias("range")).agg(F.sum(P + "size").alias("size"))
-    ranges = written(ranges, "ranges")
+    ranges = written(ranges, "ranges", few(rows))
     digits = 2 * min(8, max(1, math.ceil(math.log(max(rows, 1) / RANGE_ROWS, 256)) if rows > RANGE_ROWS else 1))
     goal = targets(ranges.groupBy("source").agg(F.sum("size").alias("size")), weights, epochs).withColumnRenamed("source", "g_source")
     ranges = (
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, seed: str =
         .select(F.col("source").alias(P + "s"), F.col("range").alias(P + "r"), F.col("start").alias(P + "start"),
                 F.col("source_size").alias(P + "source_size"), F.col("target").alias(P + "target"))
     )
-    ranges = written(ranges, "placed")
+    ranges = written(ranges, "placed", few(rows))
     inside = W.partitionBy("source", P + "range").orderBy(P + "key", "doc_id", P + "size").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn(P + "before", F.coalesce(F.sum(P + "size").over(inside), F.lit(0)))
     d = d.join(ranges, F.col("source").eqNullSafe(F.col(P + "s")) & (F.col(P + "range") == F.col(P + "r")))
@@ -104,14 +104,15 @@ def plan(docs: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, seed: str =
     return d.drop(P + "key", P + "range", P + "before", P + "start", P + "s", P + "r")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, rows: int | None = None, **options) -> DataFrame:
     """The mixed corpus: each document once per epoch that takes it; the one at
     a source's cut holds the words taken there, with the space between them."""
     columns = docs.columns
-    d = plan(docs, **options)
+    rows = docs.count() if rows is None else rows
+    d = plan(docs, rows=rows, **options)
     # Ends at the last whole word that is taken.
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col(P + "cut").cast("int")), "")
     whole = F.array_repeat(F.lit(False), F.col(P + "full").cast("int"))
     last = F.when(F.col(P + "cut") > 0, F.array(F.col(P + "cut") < F.col(P + "size"))).otherwise(F.array().cast("array<boolean>"))
     d = d.withColumn(P + "part", F.explode(F.concat(whole, last)))
-    return d.withColumn("text", F.when(F.col(P + "part"), head).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in columns])
+    return d.withColumn("text", F.when(F.col(P + "part"), head).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in columns]).coalesce(few(rows, 8000, 12))

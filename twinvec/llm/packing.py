@@ -387,10 +387,10 @@ def fill(tails: list[np.ndarray], counts: np.ndarray, window: int = WINDOW):
 
 
 def shards(rows: DataFrame, total: int) -> DataFrame:
-    """The tails in lexical order, in partitions of some thousands, each in order."""
+    """The tails in lexical order, in partitions of some thousands, each in order; part: the partition."""
     order = ["key", "doc_id", "start", "doc_tokens", "ids"]
     tails = rows.where("kind = 1").select("doc_id", "start", "doc_tokens", "ids", "key")
-    return tails.repartitionByRange(few(total, 8000, 1), "key", "doc_id").sortWithinPartitions(*order)
+    return tails.repartitionByRange(few(total, 8000, 1), "key", "doc_id").sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -400,9 +400,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_docs: int
     schema = pa.schema([(f.split()[0], pa.int64()) for f in PIECES.split(", ")])
 
     def run(batches):
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 40
+        base = None
         held: list[tuple] = []
 
         def shard():
@@ -419,6 +417,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_docs: int
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], schema=schema)
 
         for batch in batches:
+            if base is None and batch.num_rows:
+                base = batch.column("part")[0].as_py() << 40
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
                 held.append(row)
                 if len(held) == shard_docs:
@@ -427,4 +427,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_docs: int
             yield shard()
 
     whole = rows.where("kind = 0").select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return shards(rows, rows.where("kind = 1").count()).mapInArrow(run, PIECES).union(whole)
+    total = rows.where("kind = 1").count()
+    files = few(total, 8000)
+    return shards(rows, total).mapInArrow(run, PIECES).coalesce(files).union(whole.coalesce(files))
