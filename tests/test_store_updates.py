@@ -238,3 +238,28 @@ def test_shards_grow_by_more_than_one(points, monkeypatch):
     got = shard.partition_with_budget(points.select("id", F.col("x").alias("vec")), 12, copies=2)
     assert len(calls) <= 9 and calls[0] == 40 and max(r["count"] for r in got.groupBy("cid", "part").count().collect()) <= 24
     assert got.groupBy("id").count().where("count = 2").count() == 240
+
+
+def test_index_finds_nine_tenths_by_widening_its_pool(spark, points, queries, tmp_path):
+    from twinvec.index import TwinIndex
+
+    ix = TwinIndex.build(spark, f"file://{tmp_path}/ix", points.withColumnRenamed("id", "tag").coalesce(1), degree=1, pool=2)
+    truth = ix.exact(queries, 10).cache()
+    recall = [metrics.recall_at_k(ix.search(queries, 10, 10, r), truth, 10).agg(F.avg("recall")).first()[0] for r in (None, 90.0)]
+    assert recall[0] < 85 and recall[1] >= 90, recall
+
+
+def test_many_walks_at_once_find_what_each_does():
+    rng, n, each = np.random.default_rng(5), 100, 9
+    x, y = rng.normal(size=(n, 5)), rng.normal(size=(n, 4))
+    x[40:60], y[40:60] = x[40], y[40]
+    dst = np.concatenate([rng.permutation(n)[:each] for _ in range(n)])
+    ranges = rng.integers(0, 3, n * each)
+    lo = rng.random(ranges.sum()) * 0.6
+    ix = search.Index({"id": np.arange(n) * 3, "x": x.ravel(), "y": y.ravel()}, {"src": np.repeat(np.arange(n) * 3, each), "pos": np.tile(np.arange(each), n), "dst": dst * 3, "n": ranges, "lo": lo, "hi": lo + 0.4})
+    alpha, seeds = np.arange(40) % 11 / 10, [np.arange(i % 3) * 7 for i in range(40)]
+    for filtered in (True, False):
+        for pool in (1, 12, 120):
+            d, nodes = search.walk_many(ix, x[:40], y[:40], alpha, seeds, pool, filtered=filtered)
+            for i in range(40):
+                assert [(a, b) for a, b in zip(d[i].tolist(), nodes[i].tolist(), strict=True) if b >= 0] == search.walk(ix, x[i], y[i], alpha[i], pool, filtered=filtered, seeds=seeds[i])
