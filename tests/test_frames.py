@@ -41,6 +41,17 @@ def test_graph_is_built_without_moving_vectors(points, monkeypatch):
     assert _rows(graph.build_dual(points, 6, 15)) == by_joins
 
 
+def test_edges_are_chosen_without_moving_vectors(spark, points, monkeypatch):
+    """Also with candidates that are no rows, or the source itself."""
+    c = spark.range(N).select((F.col("id") * 3).alias("src"), F.explode(F.array(*[(F.col("id") * 3 + i * i * 5) % (3 * N + 9) for i in range(20)])).alias("dst"))
+    with monkeypatch.context() as m:
+        m.setattr(graph, "MAX_HELD", 0)
+        by_joins = _rows(graph.dual_edges(c, points, 5))
+    got = graph.dual_edges(c, points, 5)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert _rows(got) == by_joins
+
+
 @pytest.mark.parametrize("kind", ("plain", "ties", "near copies"))
 @pytest.mark.parametrize("chunk", (64, 2048))
 def test_many_rows_at_once_choose_what_each_does(kind, chunk, monkeypatch):
